@@ -16,7 +16,7 @@ from kwforge.llm.common import cut, table
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the scorer calls bad."""
     weights = quality_classifier.train(docs)
-    return docs if weights is None else docs.filter(quality_classifier.score(F.col("text"), weights) >= 0.5)
+    return docs if weights is None else docs.filter(quality_classifier.score(F.col("text"), weights) >= quality_classifier.THRESHOLD)
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

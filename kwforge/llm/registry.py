@@ -1,11 +1,12 @@
 """Queries of the subpackage and the SQL that holds for them."""
 
-from kwforge.llm import best_fit_packing, quality_classifier, quality_rules, sharding, token_counts
+from kwforge.llm import best_fit_packing, minhash_dedup, quality_classifier, quality_rules, sharding, token_counts
 
 QUERIES = {
     "op2_quality_classifier": quality_classifier.op2_quality_classifier,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_best_fit_packing": best_fit_packing.op4_best_fit_packing,
+    "op5_minhash_dedup": minhash_dedup.op5_minhash_dedup,
     "op8_sharding": sharding.op8_sharding,
     "op9_quality_rules": quality_rules.op9_quality_rules,
 }
