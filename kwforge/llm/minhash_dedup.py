@@ -37,6 +37,8 @@ SAMPLES = BANDS * ROWS
 IDF_BUCKETS = 1 << 20
 IDF_BLOCK = 1 << 14
 PARAMS = 1 << 16
+#: Parts that the rows of one text are dealt into when they meet their representative.
+SALTS = 16
 
 
 def word_frequencies(texts: DataFrame, column: str) -> tuple[np.ndarray, int]:
@@ -153,9 +155,12 @@ def band_keys(sample: np.ndarray) -> np.ndarray:
 
 def representatives(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, rep) for every row with a text: the smallest id with an equal text, by its 256-bit hash."""
-    hashed = df.filter(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.sha2(F.col(text_col), 256).alias("h"))
-    least = hashed.groupBy("h").agg(F.min("id").alias("rep"))
-    return hashed.join(least, "h").select("id", "rep")
+    hashed = df.filter(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("id"), F.sha2(F.col(text_col), 256).alias("h"), F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int").alias("salt")
+    )
+    least = hashed.groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("n")).filter("n > 1")
+    salted = least.select("h", "rep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return hashed.join(salted, ["h", "salt"], "left").select("id", F.coalesce("rep", "id").alias("rep"))
 
 
 def _links(shared_blocks: list[tuple], threshold: float, other: list[tuple] | None) -> list[tuple[int, int]]:
