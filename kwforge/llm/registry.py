@@ -1,8 +1,9 @@
 """Queries of the subpackage and the SQL that holds for them."""
 
-from kwforge.llm import best_fit_packing, minhash_dedup, quality_classifier, quality_rules, sharding, token_counts
+from kwforge.llm import best_fit_packing, byte_bpe, minhash_dedup, quality_classifier, quality_rules, sharding, token_counts
 
 QUERIES = {
+    "op10_byte_bpe": byte_bpe.op10_byte_bpe,
     "op2_quality_classifier": quality_classifier.op2_quality_classifier,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_best_fit_packing": best_fit_packing.op4_best_fit_packing,
