@@ -1,7 +1,7 @@
 """Operator 10, byte-level BPE: encoding and decoding by Spark's higher-order functions.
 
 The rank file becomes a literal rank map inside the plan: a flat array of longs in which the pair of tokens (left,
-right) has one of two slots, and a slot holds the pair and the rank of the two tokens' joined bytes. A word starts as
+right) has one of two slots, and a slot holds the rank of the two tokens' joined bytes and the pair. A word starts as
 the array of its bytes' tokens; `aggregate` folds one merge after another, always the leftmost pair of the least rank,
 until no pair has a rank. Decoding looks ids up in a literal array of pieces and concatenates the bytes.
 
@@ -25,9 +25,13 @@ from kwforge.llm.tokens import RANK_FILE, read_ranks, vocabulary_path
 
 #: White space as Unicode defines it; Java's own class is the ASCII one.
 SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-NO_RANK = 1 << 30
-_SHIFT = 1 << 17
-_SEP = "\x01"
+#: A packed pair: rank, left token, right token, in 17 bits each below the rank.
+_BITS = 17
+_LOW, _PAIR = (1 << _BITS) - 1, (1 << 2 * _BITS) - 1
+NO_RANK = 1 << (3 * _BITS)
+#: Bounds of the memo: texts of the sample, and distinct words kept from it.
+MEMO_ROWS, MEMO_WORDS = 16_000, 1 << 18
+_SEP, _IS = "\x01", "\x02"
 
 
 def java_pattern(pattern: str) -> str:
@@ -54,25 +58,32 @@ def _primes(least: int, n: int) -> list[int]:
     return out
 
 
-def two_slot_table(pairs: dict[tuple[int, int], int], width: int) -> tuple[list[int], int, int]:
-    """(slots, p, q): pair (l, r) has the key l * width + r and lies in slot key mod p or p + key mod q."""
-    p, q = _primes(len(pairs), 2)
+def two_slot_table(pairs: dict[tuple[int, int], int]) -> tuple[list[int], int, int]:
+    """(slots, p, q): a pair's key is left * 2**17 + right; the packed pair lies in slot key mod p or p + key mod q.
+
+    The first table is sparse: most pairs without a rank meet an empty slot there, which ends the search.
+    """
+    p, q = _primes(4 * len(pairs), 1)[0], _primes(len(pairs) // 2, 1)[0]
     while True:
         slots = [-1] * (p + q)
         for (left, right), rank in pairs.items():
-            item = (left * width + right) * _SHIFT + rank
-            at = (item // _SHIFT) % p
+            item = (((rank << _BITS) | left) << _BITS) | right
+            at = (item & _PAIR) % p
             for _ in range(500):
                 item, slots[at] = slots[at], item
                 if item < 0:
                     break
-                key = item // _SHIFT
-                at = p + key % q if at < p else key % p
+                at = p + (item & _PAIR) % q if at < p else (item & _PAIR) % p
             else:
                 break
         else:
             return slots, p, q
-        p, q = _primes(int(p * 1.2), 2)
+        p, q = _primes(int(p * 1.2), 1)[0], _primes(int(q * 1.2), 1)[0]
+
+
+def let(value: Column, f) -> Column:
+    """Bind a value to a name inside an expression."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 class Vocabulary:
@@ -85,100 +96,107 @@ class Vocabulary:
             pattern = public_tokenizers.PATTERN
         ranks = read_ranks(path or vocabulary_path(RANK_FILE))
         self.pattern = java_pattern(pattern)
-        self.width = max(ranks.values()) + 2
-        slots, self.p, self.q = two_slot_table(pair_ranks(ranks), self.width)
+        slots, self.p, self.q = two_slot_table(pair_ranks(ranks))
+        self.end = max(ranks.values()) + 1  # no token: no pair with it has a rank
         self.slots = F.split(F.lit(",".join(map(str, slots))), ",").cast("array<bigint>")
-        self.bytes = F.array(*(F.lit(ranks[bytes([b])]) for b in range(256)))
-        pieces = [b""] * self.width
+        self.bytes = F.array(*(F.lit(ranks[bytes([b])]).cast("long") for b in range(256)))
+        pieces = [b""] * self.end
         for t, r in ranks.items():
             pieces[r] = t
         self.pieces = F.split(F.lit(",".join(t.hex() for t in pieces)), ",")
 
-    def rank(self, slots: Column, left: Column, right: Column) -> Column:
-        """Rank of a pair, NO_RANK if it has none; -1 on either side stands for the end of the word."""
-        key = left.cast("long") * F.lit(self.width) + right
-        first = F.get(slots, F.pmod(key, F.lit(self.p)).cast("int"))
-        second = F.get(slots, (F.lit(self.p) + F.pmod(key, F.lit(self.q))).cast("int"))
-        mine = lambda s: F.shiftright(s, 17) == key
-        low = lambda s: s.bitwiseAND(F.lit(_SHIFT - 1)).cast("int")
-        return F.when((left < 0) | (right < 0), F.lit(NO_RANK)).when(mine(first), low(first)).when(mine(second), low(second)).otherwise(F.lit(NO_RANK))
+    def packed(self, slots: Column, key: Column) -> Column:
+        """The packed pair of a key, with NO_RANK if it has no rank."""
+
+        def found(k):
+            first = F.get(slots, F.pmod(k, F.lit(self.p)).cast("int"))
+            second = F.get(slots, (F.pmod(k, F.lit(self.q)) + F.lit(self.p)).cast("int"))
+            mine = lambda s: s.bitwiseAND(F.lit(_PAIR)) == k
+            return F.when(first < F.lit(0), k + F.lit(NO_RANK)).when(mine(first), first).when(mine(second), second).otherwise(k + F.lit(NO_RANK))
+
+        return let(key, found)
 
     def fold(self, slots: Column, word: Column) -> Column:
-        """Ids of one word as a string of decimal numbers."""
+        """Ids of one word as a string of decimal numbers.
+
+        The state is the array of adjacent packed pairs, from (end, first token) to (last token, end). A merge takes the
+        leftmost least pair out and renames the joined token in the pairs on its sides.
+        """
         chars = F.split(F.decode(word.cast("binary"), "ISO-8859-1"), "")
-        start = F.transform(chars, lambda c: F.get(self.bytes, F.ascii(c)))
-        end = F.array(F.lit(-1))
-        ids = F.concat(end, start, end)
-        let = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
-
-        def merge(s, _):
-            ids, ranks = s["ids"], s["ranks"]
-
-            def at(x):
-                p, m = x["p"], x["m"]
-                before, after = F.get(ids, p - 2), F.get(ids, p + 1)
-                return F.struct(
-                    F.concat(F.slice(ids, F.lit(1), p - 1), F.array(m), F.slice(ids, p + 2, F.size(ids))).alias("ids"),
-                    F.concat(F.slice(ranks, F.lit(1), p - 2), F.array(self.rank(slots, before, m), self.rank(slots, m, after)), F.slice(ranks, p + 2, F.size(ranks))).alias("ranks"),
+        ids = F.transform(chars, lambda c: F.get(self.bytes, F.ascii(c)))
+        end = F.array(F.lit(self.end).cast("long"))
+        left = lambda x: F.shiftright(x, _BITS).bitwiseAND(F.lit(_LOW))
+        key = lambda a, b: F.shiftleft(a, _BITS) + b
+
+        def merge(pairs, _):
+            def at(x, m):
+                rank = F.shiftright(m, 2 * _BITS)
+                return F.concat(
+                    F.slice(pairs, F.lit(1), x - F.lit(2)),
+                    F.array(self.packed(slots, key(left(F.get(pairs, x - F.lit(2))), rank)), self.packed(slots, F.shiftleft(rank, _BITS) + F.get(pairs, x).bitwiseAND(F.lit(_LOW)))),
+                    F.slice(pairs, x + F.lit(2), F.size(pairs)),
                 )
 
-            def least(m):
-                return F.when(m == F.lit(NO_RANK), s).otherwise(let(F.struct(m.alias("m"), F.array_position(ranks, m).cast("int").alias("p")), at))
-
-            return let(F.array_min(ranks), least)
-
-        done = lambda s: F.array_join(F.slice(s["ids"], F.lit(2), F.size(s["ids"]) - 2).cast("array<string>"), " ")
-        return let(
-            F.struct(ids.alias("ids")),
-            lambda w: F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w["ids"]) - 2)), F.struct(w["ids"].alias("ids"), self._ranks(slots, w["ids"]).alias("ranks")), merge, done),
-        )
+            return let(F.array_min(pairs), lambda m: F.when(m >= F.lit(NO_RANK), pairs).otherwise(let(F.array_position(pairs, m).cast("int"), lambda x: at(x, m))))
 
-    def _ranks(self, slots: Column, ids: Column) -> Column:
-        return F.zip_with(F.slice(ids, F.lit(1), F.size(ids) - 1), F.slice(ids, F.lit(2), F.size(ids) - 1), lambda a, b: self.rank(slots, a, b))
+        start = let(ids, lambda i: F.zip_with(F.concat(end, i), F.concat(i, end), lambda a, b: self.packed(slots, key(a, b))))
+        done = lambda pairs: F.array_join(F.transform(F.slice(pairs, F.lit(2), F.size(pairs) - F.lit(1)), lambda x: left(x).cast("string")), " ")
+        return F.aggregate(F.sequence(F.lit(2), F.greatest(F.lit(2), F.octet_length(word))), start, merge, done)
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
-    def memo(self, df: DataFrame, text_col: str, id_col: str, memo_rows: int, memo_words: int) -> tuple[list[str], int]:
-        """Slots of "word, separator, ids" for frequent words of about memo_rows texts; at most memo_words of them."""
+    def memo(self, df: DataFrame, text_col: str, id_col: str, memo_rows: int, memo_words: int) -> tuple[Column, int]:
+        """(slots, size): frequent words of about memo_rows texts, memo_words at most, in one of two slots each.
+
+        A slot holds a word, a mark and its ids. A word that finds both slots taken by more frequent ones is left out.
+        """
         n = df.count()
         share = max(1, n // max(1, memo_rows))
         sample = df.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(5)), F.lit(share)) == 0)
         counted = sample.select(F.explode(self.words(F.col(text_col))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).filter("n > 1")
         top = counted.orderBy(F.desc("n"), "w").limit(memo_words)
-        folded = top.repartition(F.xxhash64("w")).select("w", "n", self.with_slots(lambda s: self.fold(s, F.col("w"))).alias("ids"))
-        size = _primes(4 * memo_words, 1)[0]
+        parts = 4 * df.sparkSession.sparkContext.defaultParallelism
+        folded = top.repartition(parts, F.xxhash64("w")).select("w", "n", self.with_slots(lambda s: self.fold(s, F.col("w"))).alias("ids")).toArrow()
+        size = _primes(max(2, folded.num_rows), 1)[0]
         slots = [""] * (2 * size)
-        for r in sorted(folded.collect(), key=lambda r: (-r["n"], r["w"])):
-            at = zlib.crc32(r["w"].encode()) % size
-            if not slots[at] and _SEP not in r["w"]:
-                slots[at], slots[size + at] = r["w"], r["ids"]
-        return slots, size
+        for i in folded.to_pandas(self_destruct=True).sort_values(["n", "w"], ascending=[False, True]).itertuples():
+            h = zlib.crc32(i.w.encode())
+            at = h % size if not slots[h % size] else size + (h >> 3) % size
+            if not slots[at] and _SEP not in i.w and _IS not in i.w:
+                slots[at] = f"{i.w}{_IS}{i.ids}"
+        return F.split(F.lit(_SEP.join(slots)), _SEP), size
 
     def with_slots(self, f) -> Column:
         """The literal rank map enters the plan once and is bound to a name."""
-        return F.get(F.transform(F.array(self.slots), f), F.lit(0))
+        return let(self.slots, f)
 
-    def encode(self, text: Column, memo: tuple[list[str], int] | None = None) -> Column:
+    def encode(self, text: Column, memo: tuple[Column, int] | None = None) -> Column:
         """Ids of a whole text as decimal numbers joined by one space; empty for an empty text."""
         words = self.words(text)
         if memo is None:
             return self.with_slots(lambda s: F.array_join(F.transform(words, lambda w: self.fold(s, w)), " "))
-        known, size = F.split(F.lit(_SEP.join(memo[0])), _SEP), memo[1]
+        known, size = memo
 
         def one(s, k, w):
-            at = F.pmod(F.crc32(w.cast("binary")), F.lit(size)).cast("int")
-            return F.when(F.get(k, at) == w, F.get(k, at + F.lit(size))).otherwise(self.fold(s, w))
+            def look(h):
+                first = F.get(k, F.pmod(h, F.lit(size)).cast("int"))
+                second = F.get(k, (F.pmod(F.shiftright(h, 3), F.lit(size)) + F.lit(size)).cast("int"))
+                mine = F.concat(w, F.lit(_IS))
+                rest = lambda e: F.substring(e, F.length(w) + F.lit(2), F.lit(1 << 30))
+                return F.when(F.startswith(first, mine), rest(first)).when(F.startswith(second, mine), rest(second)).otherwise(self.fold(s, w))
+
+            return let(F.crc32(w.cast("binary")), look)
 
-        return self.with_slots(lambda s: F.get(F.transform(F.array(known), lambda k: F.array_join(F.transform(words, lambda w: one(s, k, w)), " ")), F.lit(0)))
+        return self.with_slots(lambda s: let(known, lambda k: F.array_join(F.transform(words, lambda w: one(s, k, w)), " ")))
 
     def decode(self, ids: Column) -> Column:
         """Bytes of ids given as decimal numbers joined by one space."""
         each = lambda p: F.array_join(F.transform(F.filter(F.split(ids, " "), lambda x: x != ""), lambda i: F.get(p, i.cast("int"))), "")
-        return F.unhex(F.get(F.transform(F.array(self.pieces), each), F.lit(0)))
+        return F.unhex(let(self.pieces, each))
 
 
-def encode_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, memo_rows: int = 8000, memo_words: int = 1 << 17) -> DataFrame:
+def encode_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, memo_rows: int = MEMO_ROWS, memo_words: int = MEMO_WORDS) -> DataFrame:
     """id and ids (decimal numbers joined by one space) for every row."""
     v = Vocabulary(path)
     memo = v.memo(df, text_col, id_col, memo_rows, memo_words)
@@ -197,7 +215,7 @@ def decode_rows(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", pat
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = Vocabulary()
     docs = table(spark, sf_dir, "documents")
-    memo = v.memo(docs, "text", "doc_id", 8000, 1 << 17)
+    memo = v.memo(docs, "text", "doc_id", MEMO_ROWS, MEMO_WORDS)
     ids = docs.select("doc_id", F.transform(F.array(v.encode(F.col("text"), memo)), lambda x: F.struct(
         x.alias("ids"), v.decode(x).alias("bytes"))).alias("r"))
     r = F.get("r", F.lit(0))
