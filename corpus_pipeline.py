@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kwforge.llm import best_fit_packing, quality_classifier, quality_rules
+from kwforge.llm import best_fit_packing, minhash_dedup, quality_classifier, quality_rules, secret_scan
 from kwforge.llm.common import cut, table
 
 
@@ -24,6 +24,20 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return docs.filter(quality_rules.keep(F.col("text"), quality_rules.order_rules(docs)))
 
 
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document, the smallest id, of every group of near-duplicates; rows without an id or a text stay."""
+    reps, links = minhash_dedup.near_links(docs)
+    classes = minhash_dedup.components(links).filter(F.col("id") != F.col("component")).select("id")
+    gone = reps.filter(F.col("id") != F.col("rep")).select("id").union(classes).distinct()
+    return docs.join(gone, docs.doc_id == gone.id, "left_anti")
+
+
+def secret_scan_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace every secret in the texts by a mark and bring n_chars in line; no document goes."""
+    clean = secret_scan.redact(docs, secret_scan.scan(docs))
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into sequences."""
     return best_fit_packing.pieces(best_fit_packing.pack(docs))
@@ -32,6 +46,8 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [
     ("quality_classifier", quality_classifier_stage),
     ("quality_rules", quality_rules_stage),
+    ("minhash_dedup", near_dedup_stage),
+    ("secret_scan", secret_scan_stage),
     ("best_fit_packing", packing_stage),
 ]
 
