@@ -15,8 +15,6 @@ columns are not read. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import zlib
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,13 +28,13 @@ _BITS = 17
 _LOW, _PAIR = (1 << _BITS) - 1, (1 << 2 * _BITS) - 1
 NO_RANK = 1 << (3 * _BITS)
 #: Bounds of the memo: texts of the sample, and distinct words kept from it.
-MEMO_ROWS, MEMO_WORDS = 16_000, 1 << 18
-_SEP, _IS = "\x01", "\x02"
+MEMO_ROWS, MEMO_WORDS = 32_000, 1 << 18
+_SEP = "\x01"
 
 
 def java_pattern(pattern: str) -> str:
     """The public split pattern with its white-space classes written out for Java."""
-    return pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")
+    return pattern.replace(r"\p{L}+", r"\p{L}++").replace(r"\p{N}+", r"\p{N}++").replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")
 
 
 def pair_ranks(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
@@ -81,6 +79,14 @@ def two_slot_table(pairs: dict[tuple[int, int], int]) -> tuple[list[int], int, i
         p, q = _primes(int(p * 1.2), 1)[0], _primes(int(q * 1.2), 1)[0]
 
 
+def _xxhash64(s: str) -> int:
+    """Spark's xxhash64 of a string (seed 42)."""
+    import xxhash
+
+    v = xxhash.xxh64_intdigest(s.encode(), 42)
+    return v - (1 << 64) if v >> 63 else v
+
+
 def let(value: Column, f) -> Column:
     """Bind a value to a name inside an expression."""
     return F.get(F.transform(F.array(value), f), F.lit(0))
@@ -146,10 +152,10 @@ class Vocabulary:
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
-    def memo(self, df: DataFrame, text_col: str, id_col: str, memo_rows: int, memo_words: int) -> tuple[Column, int]:
-        """(slots, size): frequent words of about memo_rows texts, memo_words at most, in one of two slots each.
+    def memo(self, df: DataFrame, text_col: str, id_col: str, memo_rows: int, memo_words: int) -> tuple[Column, Column, int]:
+        """(words, ids, size): frequent words of about memo_rows texts, memo_words at most, in one of two slots each.
 
-        A slot holds a word, a mark and its ids. A word that finds both slots taken by more frequent ones is left out.
+        A word that finds both its slots taken by more frequent ones is left out.
         """
         n = df.count()
         share = max(1, n // max(1, memo_rows))
@@ -158,42 +164,41 @@ class Vocabulary:
         top = counted.orderBy(F.desc("n"), "w").limit(memo_words)
         parts = 4 * df.sparkSession.sparkContext.defaultParallelism
         folded = top.repartition(parts, F.xxhash64("w")).select("w", "n", self.with_slots(lambda s: self.fold(s, F.col("w"))).alias("ids")).toArrow()
-        size = _primes(max(2, folded.num_rows), 1)[0]
-        slots = [""] * (2 * size)
+        size = _primes(max(2, folded.num_rows * 3 // 2), 1)[0]
+        words, ids = [""] * size, [""] * size
         for i in folded.to_pandas(self_destruct=True).sort_values(["n", "w"], ascending=[False, True]).itertuples():
-            h = zlib.crc32(i.w.encode())
-            at = h % size if not slots[h % size] else size + (h >> 3) % size
-            if not slots[at] and _SEP not in i.w and _IS not in i.w:
-                slots[at] = f"{i.w}{_IS}{i.ids}"
-        return F.split(F.lit(_SEP.join(slots)), _SEP), size
+            h = _xxhash64(i.w)
+            at = h % size if not words[h % size] else (h >> 20) % size
+            if not words[at] and _SEP not in i.w:
+                words[at], ids[at] = i.w, i.ids
+        return F.split(F.lit(_SEP.join(words)), _SEP), F.split(F.lit(_SEP.join(ids)), _SEP), size
 
     def with_slots(self, f) -> Column:
         """The literal rank map enters the plan once and is bound to a name."""
         return let(self.slots, f)
 
-    def encode(self, text: Column, memo: tuple[Column, int] | None = None) -> Column:
+    def encode(self, text: Column, memo: tuple[Column, Column, int] | None = None) -> Column:
         """Ids of a whole text as decimal numbers joined by one space; empty for an empty text."""
         words = self.words(text)
         if memo is None:
             return self.with_slots(lambda s: F.array_join(F.transform(words, lambda w: self.fold(s, w)), " "))
-        known, size = memo
+        known, known_ids, size = memo
 
         def one(s, k, w):
             def look(h):
-                first = F.get(k, F.pmod(h, F.lit(size)).cast("int"))
-                second = F.get(k, (F.pmod(F.shiftright(h, 3), F.lit(size)) + F.lit(size)).cast("int"))
-                mine = F.concat(w, F.lit(_IS))
-                rest = lambda e: F.substring(e, F.length(w) + F.lit(2), F.lit(1 << 30))
-                return F.when(F.startswith(first, mine), rest(first)).when(F.startswith(second, mine), rest(second)).otherwise(self.fold(s, w))
+                first = F.pmod(h, F.lit(size)).cast("int")
+                second = F.pmod(F.shiftright(h, 20), F.lit(size)).cast("int")
+                return F.when(F.get(k["w"], first) == w, F.get(k["i"], first)).when(F.get(k["w"], second) == w, F.get(k["i"], second)).otherwise(self.fold(s, w))
 
-            return let(F.crc32(w.cast("binary")), look)
+            return let(F.xxhash64(w), look)
 
-        return self.with_slots(lambda s: let(known, lambda k: F.array_join(F.transform(words, lambda w: one(s, k, w)), " ")))
+        both = F.struct(known.alias("w"), known_ids.alias("i"))
+        return self.with_slots(lambda s: let(both, lambda k: F.array_join(F.transform(words, lambda w: one(s, k, w)), " ")))
 
     def decode(self, ids: Column) -> Column:
         """Bytes of ids given as decimal numbers joined by one space."""
-        each = lambda p: F.array_join(F.transform(F.filter(F.split(ids, " "), lambda x: x != ""), lambda i: F.get(p, i.cast("int"))), "")
-        return F.unhex(let(self.pieces, each))
+        numbers = F.from_json(F.concat(F.lit("["), F.replace(ids, F.lit(" "), F.lit(",")), F.lit("]")), "array<int>")
+        return F.unhex(let(self.pieces, lambda p: F.array_join(F.transform(numbers, lambda i: F.get(p, i)), "")))
 
 
 def encode_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, memo_rows: int = MEMO_ROWS, memo_words: int = MEMO_WORDS) -> DataFrame:
