@@ -29,7 +29,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     reps, links = minhash_dedup.near_links(docs)
     classes = minhash_dedup.components(links).filter(F.col("id") != F.col("component")).select("id")
     gone = reps.filter(F.col("id") != F.col("rep")).select("id").union(classes).distinct()
-    return docs.join(gone, docs.doc_id == gone.id, "left_anti")
+    return docs.join(gone.hint("merge"), docs.doc_id == gone.id, "left_anti")
 
 
 def secret_scan_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -222,7 +222,8 @@ def near_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     reps = cut(representatives(df, id_col, text_col), "reps")
     own = reps.filter("id = rep").select("id").distinct()
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    once = texts.join(own, "id", "left_semi")
+    # texts are always dealt by id: what is broadcast in a small run would be shuffled in a large one
+    once = texts.join(own.hint("merge"), "id", "left_semi")
     counts, n = word_frequencies(texts, "text")
     idf = spark.sparkContext.broadcast(idf_table(counts, n))
 
@@ -240,7 +241,10 @@ def near_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     signed = cut(once.mapInArrow(sign, "id long, bands array<long>"), "bands")
     flat = signed.select("id", F.explode("bands").alias("band"))
     hubs = flat.groupBy("band").agg(F.min("id").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    edges = flat.join(hubs, "band").filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    # a text and all its hubs go to the least of them: few distinct edges, as the texts of a group share their hubs
+    met = flat.join(hubs, "band").groupBy("id").agg(F.min("hub").alias("b"), F.collect_set("hub").alias("hubs"))
+    ends = F.explode(F.array_union(F.array("id"), F.col("hubs"))).alias("a")
+    edges = met.select(ends, "b").filter("a <> b").distinct()
     clusters = components(edges)
     sizes = clusters.groupBy("component").agg(F.count("*").alias("n"))
     # a cluster of up to `block` texts is one group; a larger one is dealt into blocks and each pair of blocks is a group
@@ -248,7 +252,7 @@ def near_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     mine = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("mine")).alias("i"), F.greatest(k, F.col("mine")).alias("j")))
     member = clusters.join(sizes, "component").withColumn("parts", parts).withColumn("mine", mine)
-    texted = once.join(member, "id").join(signed, "id")
+    texted = once.join(member.hint("merge"), "id").join(signed.hint("merge"), "id")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -145,7 +145,7 @@ def redact(df: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_col:
         lambda s, x: F.struct(F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit(mark)).alias("out"), (x["start"] + x["length"]).alias("at")),
         lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text))),
     )
-    joined = df.join(spans, df[id_col].eqNullSafe(spans["__id"]), "left")
+    joined = df.join(spans.hint("merge"), df[id_col].eqNullSafe(spans["__id"]), "left")
     return joined.select(*(F.when(F.col("__spans").isNull(), text).otherwise(new).alias(c) if c == text_col else df[c] for c in df.columns))
 
 
