@@ -28,16 +28,16 @@ SUMS = ("docs", "tokens")
 SCHEMA = "source string, lang string, tokenizer string, docs long, tokens long"
 
 
-@F.pandas_udf("long")
-def _bpe_tokens(s):
-    import pandas as pd
+def bpe_tokens(text: Column) -> Column:
+    """Tokens of the byte-level BPE vocabulary."""
 
-    return pd.Series([len(encode(x)) for x in s], dtype="int64")
+    @F.pandas_udf("long")
+    def count(s):
+        import pandas as pd
 
+        return pd.Series([len(encode(x)) for x in s], dtype="int64")
 
-def bpe_tokens(text: Column) -> Column:
-    """Tokens of the byte-level BPE vocabulary."""
-    return _bpe_tokens(text)
+    return count(text)
 
 
 def word_tokens(text: Column) -> Column:
