@@ -1,9 +1,11 @@
 """Operator 10, byte-level BPE: encoding and decoding by Spark's higher-order functions.
 
 The rank file becomes a literal rank map inside the plan: a flat array of longs in which the pair of tokens (left,
-right) has one of two slots, and a slot holds the rank of the two tokens' joined bytes and the pair. A word starts as
-the array of its bytes' tokens; `aggregate` folds one merge after another, always the leftmost pair of the least rank,
-until no pair has a rank. Decoding looks ids up in a literal array of pieces and concatenates the bytes.
+right) has one of two slots, and a slot holds the rank of the two tokens' joined bytes and the pair. A second array
+holds the pairs of single bytes. A word starts as the array of its bytes' pairs; `aggregate` folds one merge after
+another, always the leftmost pair of the least rank, until no pair has a rank. Decoding looks ids up in a literal array
+of pieces and concatenates the bytes. The maps are scalar subqueries over local rows, which Spark turns into literals
+in its compact array format: a task reads them as a few blocks of bytes, not as a million objects.
 
 Words repeat, so the words that are frequent in a bounded sample of texts (`memo_rows` texts, `memo_words` words) are
 folded once, as distinct words, and kept as a second literal. The memo changes the cost alone: a word outside it is
@@ -15,6 +17,10 @@ columns are not read. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +35,6 @@ _LOW, _PAIR = (1 << _BITS) - 1, (1 << 2 * _BITS) - 1
 NO_RANK = 1 << (3 * _BITS)
 #: Bounds of the memo: texts of the sample, and distinct words kept from it.
 MEMO_ROWS, MEMO_WORDS = 32_000, 1 << 18
-_SEP = "\x01"
 
 
 def java_pattern(pattern: str) -> str:
@@ -92,8 +97,22 @@ def let(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def constant(values: list | np.ndarray, element: pa.DataType) -> Column:
+    """An array as a literal of the plan. Name it in a projection: lambdas may not hold a subquery themselves."""
+    spark = SparkSession.active()
+    return spark.createDataFrame(pa.table({"v": pa.array([values], pa.list_(element))})).scalar()
+
+
+class Memo(NamedTuple):
+    """Words and their ids, in `size` slots (a power of two)."""
+
+    words: Column
+    ids: Column
+    size: int
+
+
 class Vocabulary:
-    """A rank file as literals."""
+    """A rank file as literals. Columns that read them are built by functions of the bound literals."""
 
     def __init__(self, path: str | None = None, pattern: str | None = None):
         if pattern is None:
@@ -102,58 +121,55 @@ class Vocabulary:
             pattern = public_tokenizers.PATTERN
         ranks = read_ranks(path or vocabulary_path(RANK_FILE))
         self.pattern = java_pattern(pattern)
-        slots, self.p, self.q = two_slot_table(pair_ranks(ranks))
+        pairs = pair_ranks(ranks)
+        slots, self.p, self.q = two_slot_table(pairs)
         self.end = max(ranks.values()) + 1  # no token: no pair with it has a rank
-        self.slots = F.split(F.lit(",".join(map(str, slots))), ",").cast("array<bigint>")
-        self.bytes = F.array(*(F.lit(ranks[bytes([b])]).cast("long") for b in range(256)))
+        self.slots = constant(slots, pa.int64())
+        byte = [*(ranks[bytes([b])] for b in range(256)), self.end]
+        self.first = constant([(pairs.get((a, b), NO_RANK >> 2 * _BITS) << 2 * _BITS) | (a << _BITS) | b for a in byte for b in byte], pa.int64())
         pieces = [b""] * self.end
         for t, r in ranks.items():
             pieces[r] = t
-        self.pieces = F.split(F.lit(",".join(t.hex() for t in pieces)), ",")
+        self.pieces = constant([t.hex() for t in pieces], pa.string())
 
-    def packed(self, slots: Column, key: Column) -> Column:
+    def packed(self, slots: Column, k: Column) -> Column:
         """The packed pair of a key, with NO_RANK if it has no rank."""
+        first = F.get(slots, F.pmod(k, F.lit(self.p)).cast("int"))
+        second = F.get(slots, (F.pmod(k, F.lit(self.q)) + F.lit(self.p)).cast("int"))
+        mine = lambda s: s.bitwiseAND(F.lit(_PAIR)) == k
+        return F.when(first < F.lit(0), k + F.lit(NO_RANK)).when(mine(first), first).when(mine(second), second).otherwise(k + F.lit(NO_RANK))
 
-        def found(k):
-            first = F.get(slots, F.pmod(k, F.lit(self.p)).cast("int"))
-            second = F.get(slots, (F.pmod(k, F.lit(self.q)) + F.lit(self.p)).cast("int"))
-            mine = lambda s: s.bitwiseAND(F.lit(_PAIR)) == k
-            return F.when(first < F.lit(0), k + F.lit(NO_RANK)).when(mine(first), first).when(mine(second), second).otherwise(k + F.lit(NO_RANK))
-
-        return let(key, found)
-
-    def fold(self, slots: Column, word: Column) -> Column:
-        """Ids of one word as a string of decimal numbers.
+    def fold(self, maps: Column, word: Column) -> Column:
+        """Ids of one word as a string of decimal numbers; maps binds slots and first.
 
         The state is the array of adjacent packed pairs, from (end, first token) to (last token, end). A merge takes the
         leftmost least pair out and renames the joined token in the pairs on its sides.
         """
-        chars = F.split(F.decode(word.cast("binary"), "ISO-8859-1"), "")
-        ids = F.transform(chars, lambda c: F.get(self.bytes, F.ascii(c)))
-        end = F.array(F.lit(self.end).cast("long"))
+        codes = F.transform(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), F.ascii)
+        edge = F.array(F.lit(256))
+        start = let(codes, lambda c: F.zip_with(F.concat(edge, c), F.concat(c, edge), lambda a, b: F.get(maps["first"], a * F.lit(257) + b)))
         left = lambda x: F.shiftright(x, _BITS).bitwiseAND(F.lit(_LOW))
-        key = lambda a, b: F.shiftleft(a, _BITS) + b
 
         def merge(pairs, _):
             def at(x, m):
                 rank = F.shiftright(m, 2 * _BITS)
+                sides = F.array(
+                    F.shiftleft(left(F.get(pairs, x - F.lit(2))), _BITS) + rank, F.shiftleft(rank, _BITS) + F.get(pairs, x).bitwiseAND(F.lit(_LOW))
+                )
                 return F.concat(
-                    F.slice(pairs, F.lit(1), x - F.lit(2)),
-                    F.array(self.packed(slots, key(left(F.get(pairs, x - F.lit(2))), rank)), self.packed(slots, F.shiftleft(rank, _BITS) + F.get(pairs, x).bitwiseAND(F.lit(_LOW)))),
-                    F.slice(pairs, x + F.lit(2), F.size(pairs)),
+                    F.slice(pairs, F.lit(1), x - F.lit(2)), F.transform(sides, lambda k: self.packed(maps["slots"], k)), F.slice(pairs, x + F.lit(2), F.size(pairs))
                 )
 
             return let(F.array_min(pairs), lambda m: F.when(m >= F.lit(NO_RANK), pairs).otherwise(let(F.array_position(pairs, m).cast("int"), lambda x: at(x, m))))
 
-        start = let(ids, lambda i: F.zip_with(F.concat(end, i), F.concat(i, end), lambda a, b: self.packed(slots, key(a, b))))
         done = lambda pairs: F.array_join(F.transform(F.slice(pairs, F.lit(2), F.size(pairs) - F.lit(1)), lambda x: left(x).cast("string")), " ")
         return F.aggregate(F.sequence(F.lit(2), F.greatest(F.lit(2), F.octet_length(word))), start, merge, done)
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
-    def memo(self, df: DataFrame, text_col: str, id_col: str, memo_rows: int, memo_words: int) -> tuple[Column, Column, int]:
-        """(words, ids, size): frequent words of about memo_rows texts, memo_words at most, in one of two slots each.
+    def memo(self, df: DataFrame, text_col: str, id_col: str, memo_rows: int, memo_words: int) -> Memo:
+        """Frequent words of about memo_rows texts, memo_words at most, in one of two slots each.
 
         A word that finds both its slots taken by more frequent ones is left out.
         """
@@ -163,70 +179,61 @@ class Vocabulary:
         counted = sample.select(F.explode(self.words(F.col(text_col))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).filter("n > 1")
         top = counted.orderBy(F.desc("n"), "w").limit(memo_words)
         parts = 4 * df.sparkSession.sparkContext.defaultParallelism
-        folded = top.repartition(parts, F.xxhash64("w")).select("w", "n", self.with_slots(lambda s: self.fold(s, F.col("w"))).alias("ids")).toArrow()
-        size = _primes(max(2, folded.num_rows * 3 // 2), 1)[0]
-        words, ids = [""] * size, [""] * size
+        named = top.repartition(parts, F.xxhash64("w")).select("w", "n", self.slots.alias("slots"), self.first.alias("first"))
+        folded = named.select("w", "n", let(F.struct("slots", "first"), lambda m: self.fold(m, F.col("w"))).alias("ids")).toArrow()
+        size = 1 << max(1, (folded.num_rows * 3 // 2).bit_length())
+        words, ids = [None] * size, [None] * size
         for i in folded.to_pandas(self_destruct=True).sort_values(["n", "w"], ascending=[False, True]).itertuples():
             h = _xxhash64(i.w)
-            at = h % size if not words[h % size] else (h >> 20) % size
-            if not words[at] and _SEP not in i.w:
+            at = h & (size - 1) if words[h & (size - 1)] is None else (h >> 20) & (size - 1)
+            if words[at] is None:
                 words[at], ids[at] = i.w, i.ids
-        return F.split(F.lit(_SEP.join(words)), _SEP), F.split(F.lit(_SEP.join(ids)), _SEP), size
+        return Memo(constant(words, pa.string()), constant(ids, pa.string()), size)
 
-    def with_slots(self, f) -> Column:
-        """The literal rank map enters the plan once and is bound to a name."""
-        return let(self.slots, f)
+    def encode(self, df: DataFrame, memo: Memo) -> DataFrame:
+        """(id, ids) of (id, text): ids of a whole text as decimal numbers joined by one space; empty for an empty text."""
+        maps = {"slots": self.slots, "first": self.first, "words": memo.words, "ids": memo.ids}
+        named = df.select("id", "text", *(c.alias(name) for name, c in maps.items()))
+        slot = lambda h: h.bitwiseAND(F.lit(memo.size - 1)).cast("int")
 
-    def encode(self, text: Column, memo: tuple[Column, Column, int] | None = None) -> Column:
-        """Ids of a whole text as decimal numbers joined by one space; empty for an empty text."""
-        words = self.words(text)
-        if memo is None:
-            return self.with_slots(lambda s: F.array_join(F.transform(words, lambda w: self.fold(s, w)), " "))
-        known, known_ids, size = memo
+        def one(m, w, h):
+            first, second = slot(h), slot(F.shiftright(h, 20))
+            return F.when(F.get(m["words"], first) == w, F.get(m["ids"], first)).when(F.get(m["words"], second) == w, F.get(m["ids"], second)).otherwise(self.fold(m, w))
 
-        def one(s, k, w):
-            def look(h):
-                first = F.pmod(h, F.lit(size)).cast("int")
-                second = F.pmod(F.shiftright(h, 20), F.lit(size)).cast("int")
-                return F.when(F.get(k["w"], first) == w, F.get(k["i"], first)).when(F.get(k["w"], second) == w, F.get(k["i"], second)).otherwise(self.fold(s, w))
+        hashed = lambda m: let(self.words(F.col("text")), lambda ws: F.array_join(F.zip_with(ws, F.transform(ws, lambda w: F.xxhash64(w)), lambda w, h: one(m, w, h)), " "))
+        return named.select("id", let(F.struct(*maps), hashed).alias("ids"))
 
-            return let(F.xxhash64(w), look)
-
-        both = F.struct(known.alias("w"), known_ids.alias("i"))
-        return self.with_slots(lambda s: let(both, lambda k: F.array_join(F.transform(words, lambda w: one(s, k, w)), " ")))
-
-    def decode(self, ids: Column) -> Column:
-        """Bytes of ids given as decimal numbers joined by one space."""
-        numbers = F.from_json(F.concat(F.lit("["), F.replace(ids, F.lit(" "), F.lit(",")), F.lit("]")), "array<int>")
-        return F.unhex(let(self.pieces, lambda p: F.array_join(F.transform(numbers, lambda i: F.get(p, i)), "")))
+    def decode(self, df: DataFrame) -> DataFrame:
+        """(id, ids, bytes) of (id, ids), ids being decimal numbers joined by one space."""
+        named = df.select("id", "ids", self.pieces.alias("pieces"))
+        joined = let(F.col("pieces"), lambda p: F.array_join(F.transform(F.split("ids", " "), lambda i: F.get(p, i.cast("int"))), ""))
+        return named.select("id", "ids", F.unhex(F.when(F.col("ids") == "", F.lit("")).otherwise(joined)).alias("bytes"))
 
 
 def encode_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, memo_rows: int = MEMO_ROWS, memo_words: int = MEMO_WORDS) -> DataFrame:
     """id and ids (decimal numbers joined by one space) for every row."""
     v = Vocabulary(path)
     memo = v.memo(df, text_col, id_col, memo_rows, memo_words)
-    return df.select(F.col(id_col), v.encode(F.col(text_col), memo).alias("ids"))
+    return v.encode(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), memo).select(F.col("id").alias(id_col), "ids")
 
 
 def decode_rows(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
     """id and bytes for every row of ids; ids may also be an array of numbers."""
-    v = Vocabulary(path)
     ids = F.col(ids_col)
     if df.schema[ids_col].dataType.typeName() == "array":
         ids = F.array_join(ids.cast("array<string>"), " ")
-    return df.select(F.col(id_col), v.decode(F.coalesce(ids, F.lit(""))).alias("bytes"))
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(ids, F.lit("")).alias("ids"))
+    return Vocabulary(path).decode(rows).select(F.col("id").alias(id_col), "bytes")
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = Vocabulary()
     docs = table(spark, sf_dir, "documents")
     memo = v.memo(docs, "text", "doc_id", MEMO_ROWS, MEMO_WORDS)
-    ids = docs.select("doc_id", F.transform(F.array(v.encode(F.col("text"), memo)), lambda x: F.struct(
-        x.alias("ids"), v.decode(x).alias("bytes"))).alias("r"))
-    r = F.get("r", F.lit(0))
-    return ids.select(
-        "doc_id",
-        F.when(r["ids"] == "", F.lit(0)).otherwise(F.length(r["ids"]) - F.length(F.replace(r["ids"], F.lit(" "), F.lit(""))) + 1).cast("long").alias("n_tokens"),
-        F.sha2(r["ids"], 256).alias("ids_sha256"),
-        F.sha2(r["bytes"], 256).alias("decoded_sha256"),
+    r = v.decode(v.encode(docs.select(F.col("doc_id").alias("id"), "text"), memo))
+    return r.select(
+        F.col("id").alias("doc_id"),
+        F.when(F.col("ids") == "", F.lit(0)).otherwise(F.length("ids") - F.length(F.replace("ids", F.lit(" "), F.lit(""))) + 1).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
     )
