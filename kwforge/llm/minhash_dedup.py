@@ -9,10 +9,13 @@
    members apart. A shingle that occurs c times enters as c features of fixed weight that add up to tf * idf, which
    makes the weighted Jaccard similarity the weight of shared features over the weight of all.
 4. Improved consistent weighted sampling draws SAMPLES samples a text, banded BANDS times ROWS.
-5. Texts that share a band are joined to the band's smallest id, and the components of those edges are clusters: all
-   pairs that share a band lie within one. Each text then goes, once, to its cluster, and pairs that share a band are
-   verified by exact weighted Jaccard similarity, block by block: a cluster over `block` texts is cut into blocks and
-   every pair of blocks is one small task group. Blocks emit a spanning forest of the verified links, never all pairs.
+5. Pairs that share a band are verified by exact weighted Jaccard similarity, but only as far as the classes need it:
+   a pair whose ends are linked already, over whatever path, changes no class. First each text is verified against one
+   hub, the least id it shares a band with; a hub's texts are dealt into groups of `block`, so a group of near copies
+   costs work linear in its size, however large it is. A band is mixed if its texts are of two classes or more; texts
+   of mixed bands meet other hubs in further rounds while that settles at least half of them. What is left is verified
+   exhaustively, in pairs of blocks of `block` texts, without the pairs inside a cluster's largest class. Groups emit
+   stars or spanning forests of the verified links, never all pairs.
 6. Components of the verified links are the classes.
 
 Nulls: a null or wordless text has no shingle and links with nothing but equal texts (null with null is no link: each
@@ -216,7 +219,7 @@ def _links(shared_blocks: list[tuple], threshold: float, other: list[tuple] | No
     return out
 
 
-def near_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, block: int = 256, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+def near_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, block: int = 256, star_rounds: int = 4, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """(reps, links): reps (id, rep) of equal texts; links (a, b), a spanning forest of the verified near-duplicates."""
     spark = df.sparkSession
     reps = cut(representatives(df, id_col, text_col), "reps")
@@ -240,19 +243,91 @@ def near_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
 
     signed = cut(once.mapInArrow(sign, "id long, bands array<long>"), "bands")
     flat = signed.select("id", F.explode("bands").alias("band"))
-    hubs = flat.groupBy("band").agg(F.min("id").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    # a text and all its hubs go to the least of them: few distinct edges, as the texts of a group share their hubs
-    met = flat.join(hubs, "band").groupBy("id").agg(F.min("hub").alias("b"), F.collect_set("hub").alias("hubs"))
-    ends = F.explode(F.array_union(F.array("id"), F.col("hubs"))).alias("a")
-    edges = met.select(ends, "b").filter("a <> b").distinct()
-    clusters = components(edges)
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("n"))
-    # a cluster of up to `block` texts is one group; a larger one is dealt into blocks and each pair of blocks is a group
+    met = flat.join(flat.groupBy("band").agg(F.min("id").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n"), "band")
+    met = cut(met.select("id", "band", "hub"), "met")
+    texted = cut(texts.join(met.select("id").distinct().hint("merge"), "id"), "met-texts")
+
+    # rounds of stars: each text meets one hub, first the least of its bands, later one of another class in a mixed band
+    stars = _star_links(texted, met.groupBy("id").agg(F.min("hub").alias("hub")).filter("id <> hub"), idf, threshold, block)
+    links = cut(stars, "near")
+    before = None
+    for turn in range(max(1, star_rounds)):
+        classes = components(links)
+        mixed = cut(_mixed_bands(met, classes), "mixed")
+        drop_cut(classes)
+        left = mixed.select("id").distinct().count()
+        if not left or turn >= star_rounds - 1 or (before is not None and 2 * left > before):
+            break
+        before = left
+        order = F.xxhash64("id", F.lit(turn))
+        hubs = mixed.filter("class = least").groupBy("band").agg(F.min(F.struct(order.alias("o"), F.col("id").alias("hub")))["hub"].alias("hub"))
+        one = F.min(F.struct(F.xxhash64("hub", F.lit(turn)).alias("o"), F.col("hub")))["hub"].alias("hub")
+        others = mixed.filter("class <> least").select("id", "band").join(hubs, "band").groupBy("id").agg(one)
+        links = links.union(cut(_star_links(texted, others, idf, threshold, block), "near"))
+        drop_cut(mixed)
+    if left:
+        links = links.union(cut(_block_links(texted, signed, mixed, idf, threshold, block), "near"))
+    for done in (mixed, met, texted, signed):
+        drop_cut(done)
+    return reps, links
+
+
+def _mixed_bands(met: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, band, class, least) of the bands whose texts are of two classes or more; least is the band's least class."""
+    classed = met.join(classes.withColumnRenamed("component", "class"), "id", "left").select("id", "band", F.coalesce("class", "id").alias("class"))
+    mixed = classed.groupBy("band").agg(F.min("class").alias("least"), F.max("class").alias("most")).filter("least <> most")
+    return classed.join(mixed.drop("most"), "band").select("id", "band", "class", "least")
+
+
+def _star_links(texted: DataFrame, pairs: DataFrame, idf, threshold: float, block: int) -> DataFrame:
+    """Verified links (a, b) among pairs (id, hub). A hub's texts are dealt into groups of about `block`, its own text goes to each."""
     parts = F.ceil(F.col("n") / F.lit(block)).cast("int")
-    mine = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("mine")).alias("i"), F.greatest(k, F.col("mine")).alias("j")))
-    member = clusters.join(sizes, "component").withColumn("parts", parts).withColumn("mine", mine)
-    texted = once.join(member.hint("merge"), "id").join(signed.hint("merge"), "id")
+    pairs = cut(pairs, "pairs")
+    sizes = pairs.groupBy("hub").agg(F.count("*").alias("n")).select("hub", parts.alias("parts"))
+    rays = pairs.join(sizes, "hub").select("id", "hub", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    centres = sizes.select(F.col("hub").alias("id"), "hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    dealt = texted.join(rays.union(centres).hint("merge"), "id")
+
+    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
+        hub = int(pdf["hub"].iloc[0])
+        at_hub = pdf["id"] == hub
+        hf, hw = weighted_shingles(pdf["text"][at_hub].iloc[0] if at_hub.any() else None, idf.value)
+        total, found = float(hw.astype(np.float64).sum()), []
+        for i, text in zip(pdf["id"][~at_hub], pdf["text"][~at_hub], strict=True):
+            f, w = weighted_shingles(text, idf.value)
+            if len(hf) and len(f):
+                shared = hf[np.minimum(np.searchsorted(hf, f), len(hf) - 1)] == f
+                both, own = float(w[shared].astype(np.float64).sum()), float(w.astype(np.float64).sum())
+                if both >= threshold * (total + own - both) * (1 - 1e-6):
+                    found.append((min(int(i), hub), max(int(i), hub)))
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+    return dealt.groupBy("hub", "part").applyInPandas(verify, "a long, b long")
+
+
+def _block_links(texted: DataFrame, signed: DataFrame, mixed: DataFrame, idf, threshold: float, block: int) -> DataFrame:
+    """Verified links (a, b) among the texts of mixed bands, whose pairs of two classes the stars have not settled.
+
+    The texts that mixed bands connect are a cluster. A small cluster is one group. In a larger one the texts of its
+    largest class are dealt into blocks that meet the blocks of all other texts, but not each other.
+    """
+    hubs = mixed.groupBy("band").agg(F.min("id").alias("hub"))
+    clusters = components(mixed.join(hubs, "band").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
+    member = clusters.join(mixed.select("id", "class").distinct(), "id")
+    main = member.groupBy("component", "class").agg(F.count("*").alias("n")).groupBy("component").agg(
+        F.max(F.struct("n", "class")).alias("main"), F.sum("n").alias("n")
+    )
+    small = F.col("n") <= block
+    main_parts = F.when(small, 0).otherwise(F.ceil(F.col("main.n") / F.lit(block))).cast("int")
+    rest_parts = F.when(small, 1).otherwise(F.ceil((F.col("n") - F.col("main.n")) / F.lit(block))).cast("int")
+    sized = main.select("component", F.col("main.class").alias("main"), small.alias("small"), main_parts.alias("p"), rest_parts.alias("q"))
+    of_main = ~F.col("small") & (F.col("class") == F.col("main"))
+    place = F.xxhash64("id")
+    mine = F.when(of_main, F.pmod(place, F.greatest("p", F.lit(1)))).otherwise(F.col("p") + F.pmod(place, F.col("q"))).cast("int")
+    first = F.when(of_main, F.col("p")).otherwise(F.lit(0))
+    pairs = F.transform(F.sequence(first, F.col("p") + F.col("q") - 1), lambda k: F.struct(F.least(k, F.col("mine")).alias("i"), F.greatest(k, F.col("mine")).alias("j")))
+    member = member.join(sized, "component").withColumn("mine", mine).select("id", "component", "mine", pairs.alias("pairs"))
+    ready = texted.join(member.hint("merge"), "id").join(signed.hint("merge"), "id")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,8 +338,8 @@ def near_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
                 names=[*(batch.schema.names[i] for i in kept), "f", "w"],
             )
 
-    vectored = texted.select("id", "component", "parts", "mine", "bands", "text").mapInArrow(vectors, "id long, component long, parts int, mine int, bands array<long>, f binary, w binary")
-    dealt = vectored.withColumn("pair", F.explode(pairs)).select("id", "component", "mine", "bands", "f", "w", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"))
+    vectored = ready.select("id", "component", "mine", "pairs", "bands", "text").mapInArrow(vectors, "id long, component long, mine int, pairs array<struct<i int, j int>>, bands array<long>, f binary, w binary")
+    dealt = vectored.withColumn("pair", F.explode("pairs")).select("id", "component", "mine", "bands", "f", "w", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"))
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = [(int(r.id), np.frombuffer(r.f, np.uint64), np.frombuffer(r.w, np.float32), np.asarray(r.bands)) for r in pdf.itertuples()]
@@ -279,10 +354,7 @@ def near_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
                 out += _links(left[p : p + step], threshold, None if same else right[q : q + step])
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    links = cut(dealt.groupBy("component", "i", "j").applyInPandas(verify, "a long, b long"), "near")
-    drop_cut(clusters)
-    drop_cut(signed)
-    return reps, links
+    return dealt.groupBy("component", "i", "j").applyInPandas(verify, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
