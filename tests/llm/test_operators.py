@@ -173,18 +173,24 @@ def test_op5(odd, none, spark):
     assert minhash_dedup.near_duplicates(odd).count() == 10 and minhash_dedup.near_duplicates(none).count() == 0
 
 
-def test_op5_brute_force(spark):
+@pytest.mark.parametrize(("drift", "rounds"), [(False, 4), (True, 1), (True, 4)])
+def test_op5_brute_force(spark, drift, rounds):
+    """Groups of near copies; with drift, each text is near the one before it but not near the first."""
     g = random.Random(4)
     base = [[f"w{g.randint(0, 3000)}" for _ in range(150)] for _ in range(12)]
     texts = []
     for b in base:
+        w = list(b)
         for k in range(12):
-            w = list(b)
-            for _ in range(k // 2):
-                w[g.randrange(150)] = "new"
+            if drift:
+                w[12 * k : 12 * k + 3] = [f"n{k}a", f"n{k}b", f"n{k}c"]
+            else:
+                w = list(b)
+                for _ in range(k // 2):
+                    w[g.randrange(150)] = "new"
             texts.append(" ".join(w))
     df = docs(spark, list(enumerate(texts)))
-    got = {r.doc_id: r.class_id for r in minhash_dedup.near_duplicates(df, block=5).collect()}
+    got = {r.doc_id: r.class_id for r in minhash_dedup.near_duplicates(df, block=5, star_rounds=rounds).collect()}
     counts, n = minhash_dedup.word_frequencies(df, "text")
     idf = minhash_dedup.idf_table(counts, n)
     vec = [dict(zip(*map(list, minhash_dedup.weighted_shingles(t, idf)), strict=True)) for t in texts]
