@@ -1,26 +1,30 @@
 """Operator 1, HTML extraction by equivalence classes of tokens.
 
-A page is a sequence of tokens: tags and text runs, each told apart by the path of containers above it. The occurrence
-vector of a token says how often it occurs on each page of a host; tokens with equal vectors form a class. A class is
-valid if it occurs on several pages and its tokens keep one order; valid classes nest into the host's template. What
-lies between two template tokens is a slot. The main text is what the slots inside the article hold, without slots of
-menus, notices and the like; on pages that have no article element, it is every slot that is not boilerplate by its
-container or by being constant over the host.
+A page is a sequence of tokens: tags and text blocks, each told apart by the path of containers above it. The occurrence
+vector of a token says how often it occurs on each page of a host; tags with equal vectors form a class. A class is
+valid if it occurs on several pages, its tags keep one order on each of them, and it nests with the other classes; valid
+classes are the host's template. What lies between two template tags is a slot, told apart by the tag before it and its
+occurrence. A slot with the same content on nearly all pages belongs to the template, as does a block that nearly all
+pages have: both go, inside an article too. Of the varying slots, the fixed names of menus, notices and the like drop
+some more. The main text is what is left inside the article; on pages that have no article element, it is all that is
+left but the blocks that more than half of the host's pages have.
 
 How it scales: a vector is never stored. Each token of a page gives a hash of (page, count), and the xor of those over
 a host, with the number of pages and the total, stands for the vector; that is one aggregation with partial sums, so a
-host with a third of all pages needs no single task. Templates hold a few tokens a host; they are broadcast only while
+host with a third of all pages needs no single task. Order, nesting and slot contents are checked page by page in two
+more passes that give hashes, aggregated the same way. Templates hold a few tokens a host; they are broadcast only while
 their measured size is under `broadcast_bytes`, else pages are joined to them by host with the host salted.
 
-Nulls: null html is an empty page with an empty text; a null url is a host of its own. Repeated pages count as pages.
-An empty table gives an empty result. Extra columns are not read.
+Nulls: null html is an empty page with an empty text; a null url is a host of its own. Repeated pages, and pages with
+the same main text, count once for the template and each give their row. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
 
+import collections
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,6 +50,10 @@ BOILERPLATE_NAMES = re.compile(
     re.I,
 )
 
+#: A page's own token, and what a template holds.
+PAGE = "@page"
+KINDS = ("tags", "texts", "fixed", "constant")
+
 
 def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][\w+.-]*://([^/?#]*)", 1))
@@ -94,44 +102,137 @@ def role(kind: str, name: str, value: str, path: tuple) -> str | None:
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """(host, token, hash of page and count, count, place) for every distinct token of every page."""
+    """(host, token, is_text, doc, n): how often each tag and text block is on a page; doc is the hash of the page's plain main text.
+
+    A row of the token PAGE stands for the page itself.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for page, h, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                seen: dict[str, list[int]] = {}
-                for place, t in enumerate(tokens(text or "")):
-                    r = role(*t)
-                    if r is not None:
-                        seen.setdefault(r, [0, place])[0] += 1
-                out += [(page, h, r, n, place) for r, (n, place) in seen.items()]
+            for h, text in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+                parsed = list(tokens(text or ""))
+                found = slots(parsed, frozenset(), _xxhash64)
+                doc = _xxhash64(plain_text(found))
+                seen = collections.Counter(role(*t) for t in parsed if t[0] in ("open", "close"))
+                runs = collections.Counter(role("text", "", b, path) for _, path, blocks, _ in found for b in blocks)
+                out.append((h, PAGE, False, doc, 1))
+                out += [(h, r, False, doc, n) for r, n in seen.items()] + [(h, r, True, doc, n) for r, n in runs.items()]
             cols = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["page", "host", "token", "n", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64()), strict=True)], names=["host", "token", "is_text", "doc", "n"])
 
-    found = pages.select("page", "host", "html").mapInArrow(run, "page long, host string, token string, n long, place long")
-    return found.select("host", F.xxhash64("token").alias("token"), F.substring_index("token", "|", -1).startswith("#").alias("is_text"), F.xxhash64("page", "n").alias("mark"), "n", "place")
+    found = pages.select("host", "html").mapInArrow(run, "host string, token string, is_text boolean, doc long, n long")
+    return found.withColumn("token", F.xxhash64("token"))
 
 
-def templates(pages: DataFrame, least_pages: int = 3) -> DataFrame:
-    """One row a host: its template tokens, and the text runs that are constant over most of its pages.
+def class_orders(page: str, classes: dict[int, tuple[int, int]], sizes: dict[int, int], digest) -> dict[int, int | None]:
+    """By class that is on the page: the hash of its tokens' order, or None where it has none or crosses a class of more pages.
 
-    A class is valid if it lies on least_pages pages and at least a tenth of the host's, occurs equally often on each
-    of them, and, for text runs, on more than half of the host's pages.
+    A class has an order if its tokens come in one sequence, each once, and that sequence is repeated. Two classes nest
+    if no repetition of the one starts inside a repetition of the other and ends after it.
     """
-    counted = page_tokens(pages)
-    vectors = counted.groupBy("host", "token", "is_text").agg(F.count("*").alias("pages"), F.sum("n").alias("total"), F.bit_xor("mark").alias("vector"), F.min("place").alias("first"), F.avg("place").alias("place"))
-    repeated = vectors.filter(F.col("pages") >= least_pages)
-    sizes = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
-    frequent = repeated.join(sizes, "host").filter(
-        F.when(F.col("is_text"), F.col("pages") * 2 > F.col("host_pages")).otherwise(F.col("pages") * 10 >= F.col("host_pages")) & (F.col("total") % F.col("pages") == 0)
+    met: dict[int, list[tuple[int, int]]] = {}
+    for place, t in enumerate(tokens(page)):
+        if t[0] in ("open", "close") and (token := digest(role(*t))) in classes:
+            met.setdefault(classes[token][0], []).append((place, token))
+    pages = dict(classes.values())
+    out: dict[int, int | None] = {}
+    spans = []
+    for c, found in met.items():
+        m, order = sizes[c], [t for _, t in found]
+        good = len(set(order[:m])) == m and not len(order) % m and order == order[:m] * (len(order) // m)
+        out[c] = digest("|".join(map(str, order[:m]))) if good else None
+        if good:
+            spans += [(found[k][0], found[k + m - 1][0], c) for k in range(0, len(found), m)]
+    open_spans: list[tuple[int, int, int]] = []
+    for span in sorted(spans):
+        while open_spans and open_spans[-1][1] < span[0]:
+            open_spans.pop()
+        while open_spans and open_spans[-1][1] < span[1]:
+            worse = min(open_spans[-1][2], span[2], key=lambda c: (pages[c], c))
+            out[worse] = None
+            if worse == span[2]:
+                break
+            open_spans.pop()
+        else:
+            open_spans.append(span)
+    return out
+
+
+def with_template(pages: DataFrame, known: DataFrame, broadcast_bytes: int, salts: int) -> DataFrame:
+    """Pages with the columns of their host's template; known is a written table of one row a host with arrays of numbers."""
+    arrays = [F.size(F.coalesce(c, F.array().cast(known.schema[c].dataType))) for c in known.columns if c != "host"]
+    size = known.select(F.sum(16 + 24 * sum(arrays, F.lit(0)))).first()[0] or 0
+    if size <= broadcast_bytes:
+        return pages.join(F.broadcast(known), "host", "left")
+    spread = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return pages.withColumn("salt", F.pmod(F.xxhash64("page", "html"), F.lit(salts)).cast("int")).join(spread, ["host", "salt"], "left")
+
+
+def templates(pages: DataFrame, least_pages: int = 3, broadcast_bytes: int = 32 << 20, salts: int = 32) -> DataFrame:
+    """One row a host: tags, texts (blocks on more than half of its pages), fixed (blocks on nine tenths), constant (slots with their content).
+
+    Pages with the same main text count once, so that copies of an article don't make it a template. A class is valid if
+    it lies on least_pages pages and at least a tenth of the host's, occurs equally often on each of them, has two tags
+    or more, and keeps one order and nests on every page. A slot is constant if nine tenths of the pages that have it,
+    and least_pages at least, have the same content there.
+    """
+    once = page_tokens(pages).groupBy("host", "token", "is_text", "doc").agg(F.min("n").alias("lo"), F.max("n").alias("n"))
+    vectors = once.groupBy("host", "token", "is_text").agg(
+        F.count("*").alias("pages"), F.sum("n").alias("total"), (F.min("lo") == F.max("n")).alias("even"), F.bit_xor(F.xxhash64("doc", "n")).alias("vector")
     )
-    same = Window.partitionBy("host", "pages", "total", "vector")
-    classed = frequent.withColumn("size", F.count("*").over(same)).withColumn("start", F.min("place").over(same)).withColumn("end", F.max("place").over(same))
-    valid = classed.filter((F.col("size") > 1) | F.col("is_text"))
-    entry = F.struct(F.col("start"), F.col("end"), F.col("place"), F.col("token"), F.col("is_text"))
-    nested = valid.groupBy("host").agg(F.array_sort(F.collect_list(entry)).alias("t"))
-    return nested.select("host", F.transform(F.filter("t", lambda x: ~x["is_text"]), lambda x: x["token"]).alias("tags"), F.transform(F.filter("t", lambda x: x["is_text"]), lambda x: x["token"]).alias("texts"))
+    vectors = cut(vectors.filter((F.col("pages") >= least_pages) | (F.col("token") == _xxhash64(PAGE))), "vectors")
+    hosts = vectors.filter(F.col("token") == _xxhash64(PAGE)).select("host", F.col("pages").alias("host_pages"))
+    repeated = vectors.filter((F.col("token") != _xxhash64(PAGE)) & (F.col("pages") >= least_pages)).join(hosts, "host")
+    texts = repeated.filter(F.col("is_text") & (F.col("pages") * 2 > F.col("host_pages")))
+    texts = texts.select("host", F.explode(F.when(F.col("pages") * 10 >= F.col("host_pages") * 9, F.array(F.lit("texts"), F.lit("fixed"))).otherwise(F.array(F.lit("texts")))).alias("kind"), "token")
+
+    tags = repeated.filter(~F.col("is_text") & F.col("even") & (F.col("pages") * 10 >= F.col("host_pages"))).withColumn("class", F.xxhash64("pages", "total", "vector"))
+    tags = tags.withColumn("size", F.count("*").over(Window.partitionBy("host", "class"))).filter("size > 1")
+    tags = cut(tags.select("host", "token", "class", "pages"), "classes")
+    known = cut(tags.groupBy("host").agg(F.collect_list(F.struct("token", "class", "pages")).alias("classes")), "known")
+
+    def orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, tuple] = {}
+        for batch in batches:
+            out = []
+            for i, (h, page) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if h not in kept:
+                    if len(kept) > 1000:
+                        kept.clear()
+                    classes = {x["token"]: (x["class"], x["pages"]) for x in batch.column(2)[i].as_py()}
+                    kept[h] = classes, collections.Counter(c for c, _ in classes.values())
+                out += [(h, c, o) for c, o in class_orders(page or "", *kept[h], _xxhash64).items()]
+            cols = list(zip(*out, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["host", "class", "ord"])
+
+    met = with_template(pages.select("page", "host", "html"), known, broadcast_bytes, salts).filter(F.col("classes").isNotNull()).select("host", "html", "classes").mapInArrow(orders, "host string, class long, ord long")
+    valid = met.groupBy("host", "class").agg(((F.count("ord") == F.count("*")) & (F.min("ord") == F.max("ord"))).alias("valid")).filter("valid")
+    tags = cut(tags.join(valid.select("host", "class"), ["host", "class"], "left_semi").select("host", F.lit("tags").alias("kind"), "token"), "tags")
+    known = cut(tags.groupBy("host").agg(F.collect_list("token").alias("tags")), "known")
+
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, frozenset] = {}
+        for batch in batches:
+            out = []
+            for i, (h, page) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if h not in kept:
+                    if len(kept) > 1000:
+                        kept.clear()
+                    kept[h] = frozenset(batch.column(2)[i].as_py())
+                found = slots(tokens(page or ""), kept[h], _xxhash64)
+                doc = _xxhash64(plain_text(found))
+                out += [(h, _xxhash64(slot), content(slot, blocks, _xxhash64), doc) for slot, _, blocks, _ in found if slot]
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["host", "slot", "token", "doc"])
+
+    held = with_template(pages.select("page", "host", "html"), known, broadcast_bytes, salts).filter(F.col("tags").isNotNull()).select("host", "html", "tags")
+    held = cut(held.mapInArrow(contents, "host string, slot long, token long, doc long").distinct(), "slots")
+    total = held.select("host", "slot", "doc").distinct().groupBy("host", "slot").agg(F.count("*").alias("total"))
+    same = held.groupBy("host", "slot", "token").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages)
+    constant = same.join(total, ["host", "slot"]).filter(F.col("n") * 10 >= F.col("total") * 9).select("host", F.lit("constant").alias("kind"), "token")
+    every = tags.union(texts).union(constant)
+    return every.groupBy("host").agg(*(F.collect_list(F.when(F.col("kind") == k, F.col("token"))).alias(k) for k in KINDS))
 
 
 def _boilerplate(path: tuple) -> bool:
@@ -150,12 +251,18 @@ def _main(path: tuple) -> bool:
     return any(t in ("article", "main") or "articlebody" in n.replace("-", "") for t, n in path)
 
 
-def slots(page: str, tags: frozenset, digest) -> list[tuple[tuple, list[str], bool]]:
-    """Slots of a page, cut at template tags: (path, blocks, in the article). A block ends at a block-level tag."""
-    out: list[tuple[tuple, list[str], bool]] = []
+def slots(parsed: Iterable[tuple], tags: frozenset, digest) -> list[tuple[str, tuple, list[str], bool]]:
+    """Slots of a page, cut at template tags: (name, path, blocks, in the article). A block ends at a block-level tag.
+
+    A slot's name is the template tag before it, which occurrence on the page that is, and the path; it is empty before
+    the first template tag.
+    """
+    out: list[tuple[str, tuple, list[str], bool]] = []
     where: tuple | None = None
     blocks: list[str] = []
     parts: list[str] = []
+    after = ""
+    met: dict[int, int] = {}
 
     def end_block() -> None:
         run = " ".join(html.unescape("".join(parts)).split())
@@ -166,10 +273,10 @@ def slots(page: str, tags: frozenset, digest) -> list[tuple[tuple, list[str], bo
     def end_slot() -> None:
         end_block()
         if blocks:
-            out.append((where or (), blocks.copy(), _main(where or ())))
+            out.append((role("slot", after, "", where or ()) if after else "", where or (), blocks.copy(), _main(where or ())))
             blocks.clear()
 
-    for t in tokens(page):
+    for t in parsed:
         kind, name, value, path = t
         if kind == "text":
             if path != where:
@@ -179,19 +286,42 @@ def slots(page: str, tags: frozenset, digest) -> list[tuple[tuple, list[str], bo
         elif kind == "skip":
             end_block()
         elif name in BLOCKS:
-            (end_slot if tags and digest(role(*t)) in tags else end_block)()
+            token = digest(role(*t)) if tags else None
+            if token in tags:
+                end_slot()
+                met[token] = met.get(token, 0) + 1
+                after = f"{token}.{met[token]}"
+            else:
+                end_block()
     end_slot()
     return out
 
 
-def main_text(page: str | None, tags: frozenset, texts: frozenset, digest) -> str:
-    """Blocks of the main slots, in page order, one a line."""
-    found = [s for s in slots(page or "", tags, digest) if not _boilerplate(s[0])]
-    if any(main for _, _, main in found):
-        kept = [b for _, blocks, main in found if main for b in blocks]
+def content(slot: str, blocks: list[str], digest) -> int:
+    """The hash of a slot with what it holds."""
+    return digest("\n".join([slot, *blocks]))
+
+
+def plain_text(found: list[tuple]) -> str:
+    """Main text of a page's slots by the fixed names alone, without a template."""
+    found = [s for s in found if not _boilerplate(s[1])]
+    some = any(main for *_, main in found)
+    return "\n".join(b for _, _, blocks, main in found if main or not some for b in blocks)
+
+
+def main_text(page: str | None, tags: frozenset, texts: frozenset, fixed: frozenset, constant: frozenset, digest) -> str:
+    """Blocks of the main slots, in page order, one a line.
+
+    What the template holds goes first: constant slots and fixed blocks, also inside the article; the fixed names check
+    what is left.
+    """
+    found = slots(tokens(page or ""), tags, digest)
+    varying = [s for s in found if not (s[0] and constant and content(s[0], s[2], digest) in constant) and not _boilerplate(s[1])]
+    if any(main for _, path, _, main in found if not _boilerplate(path)):
+        varying, known = [s for s in varying if s[3]], fixed
     else:
-        kept = [b for path, blocks, _ in found for b in blocks if digest(role("text", "", b, path)) not in texts]
-    return "\n".join(kept)
+        known = texts
+    return "\n".join(b for _, path, blocks, _ in varying for b in blocks if not known or digest(role("text", "", b, path)) not in known)
 
 
 def _xxhash64(s: str) -> int:
@@ -205,29 +335,24 @@ def _xxhash64(s: str) -> int:
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_bytes: int = 32 << 20, salts: int = 32) -> DataFrame:
     """id, url, text, n_chars for every page."""
     pages = df.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    known = cut(templates(pages), "templates")
-    size = known.select(F.sum(16 + 8 * (F.size("tags") + F.size("texts"))).alias("b")).first()["b"] or 0
-    if size <= broadcast_bytes:
-        joined = pages.join(F.broadcast(known), "host", "left")
-    else:
-        spread = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = pages.withColumn("salt", F.pmod(F.xxhash64("page"), F.lit(salts)).cast("int")).join(spread, ["host", "salt"], "left")
+    known = cut(templates(pages, broadcast_bytes=broadcast_bytes, salts=salts), "templates")
+    joined = with_template(pages, known, broadcast_bytes, salts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[str, tuple] = {}
         for batch in batches:
             out = []
-            hosts, pages_, tags, texts = batch.column(2), batch.column(3).to_pylist(), batch.column(4), batch.column(5)
+            hosts, pages_ = batch.column(2), batch.column(3).to_pylist()
             for i, page in enumerate(pages_):
                 h = hosts[i].as_py()
                 if h not in kept:
                     if len(kept) > 1000:
                         kept.clear()
-                    kept[h] = frozenset(tags[i].as_py() or ()), frozenset(texts[i].as_py() or ())
+                    kept[h] = tuple(frozenset(batch.column(4 + k)[i].as_py() or ()) for k in range(len(KINDS)))
                 out.append(main_text(page, *kept[h], _xxhash64))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["page", "url", "text"])
 
-    done = joined.select("page", "url", "host", "html", "tags", "texts").mapInArrow(run, "page long, url string, text string")
+    done = joined.select("page", "url", "host", "html", *KINDS).mapInArrow(run, "page long, url string, text string")
     return done.select(F.col("page").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))
 
 

@@ -80,6 +80,40 @@ def test_op1_template(spark):
     assert {r.text for r in got} == {f"text {i} alone" for i in range(9)}  # a run that is constant over the host goes
 
 
+def test_op1_slots(spark):
+    """Template tags decide: a constant slot or block goes also inside an article, the same words in a varying slot stay."""
+    body = lambda i: f"<html><body><article><h1>Title {i}</h1><section><p>Fish &amp; <b>chips</b></p></section><div><p>Body {i}{'</p><p>Fish &amp; chips' if i == 2 else ''}</p></div>{'<p>more</p>' * i}<p>Read&nbsp;on</p></article></body></html>"
+    schema = "page_id long, url string, html string"
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame([(i, "http://h.x/", body(i)) for i in range(9)], schema)).collect()}
+    want = {i: "\n".join([f"Title {i}", f"Body {i}", *["Fish & chips"] * (i == 2), *["more"] * i]) for i in range(9)}
+    assert got == want
+    copies = html_extract.extract(spark.createDataFrame([(i, "http://h.x/", body(4)) for i in range(9)], schema)).collect()
+    assert {r.text for r in copies} == {"\n".join(["Title 4", "Fish & chips", "Body 4", *["more"] * 4, "Read on"])}  # copies are no template
+
+
+def test_op1_template_decides():
+    d = html_extract._xxhash64
+    page = "<article><p>same</p><div><p>same</p></div></article>"
+    parsed = list(html_extract.tokens(page))
+    tags = frozenset(d(html_extract.role(*t)) for t in parsed if t[1] == "p")
+    first = html_extract.slots(parsed, tags, d)[0]
+    constant = frozenset([html_extract.content(first[0], first[2], d)])
+    none = frozenset()
+    assert html_extract.main_text(page, tags, none, none, constant, d) == "same"
+    assert html_extract.main_text(page, none, none, none, constant, d) == "same\nsame"
+
+
+def test_op1_classes():
+    page = "<div><p></p></div><div><p></p></div>"
+    d = html_extract._xxhash64
+    t = [d(html_extract.role(*x)) for x in html_extract.tokens(page)][:4]
+    orders = lambda html, a, b: html_extract.class_orders(html, {t[k]: (1 if k in a else 2, 3 if k in a else 4) for k in a + b}, {1: len(a), 2: len(b)}, d)
+    assert None not in orders(page, (0, 3), (1, 2)).values()
+    assert orders("<div></p><p></div>", (1, 2), ())[1] != orders(page, (1, 2), ())[1]  # another order than elsewhere
+    assert orders("<div><p></p><p></div>", (1, 2), ())[1] is None  # no order
+    assert orders(page, (0, 2), (1, 3))[1] is None  # the classes cross
+
+
 def test_op2(spark, odd, none, real):
     assert quality_classifier.classify(odd).count() == 10 and quality_classifier.classify(none).count() == 0
     held = quality_classifier.classify(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
