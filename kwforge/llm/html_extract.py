@@ -39,8 +39,9 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
     re.S | re.I,
 )
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_TELLING = re.compile(r"class|id|role|hidden|style", re.I)
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 CONTAINERS = frozenset("html body article main section div nav header footer aside form ul ol dl table figure dialog blockquote menu".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th thead tbody tfoot caption pre hr br figcaption address details summary fieldset head".split())
 VOID = frozenset("br hr img input meta link area base col embed source track wbr param".split())
@@ -49,6 +50,24 @@ BOILERPLATE_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|nav\w*|menu|breadcrumbs?|sidebar|side|aside|footer|header|masthead|comments?|replies|disqus|share|social|related|recommend\w*|widget|toolbar|login|signup|search|pagination|pager|complementary|contentinfo|navigation)(?:$|[\s_-])",
     re.I,
 )
+#: Names that tell furniture even where an article lies around; the others are also names of an article's own parts.
+FURNITURE = re.compile(r"ads?|advert\w*|sponsor(?:ed)?|cookie-?(?:notice|consent|banner)|newsletter|subscribe|breadcrumbs?|sidebar|comments?|disqus|share|sharing|pagination|navigation|complementary|contentinfo", re.I)
+ADVERTS = re.compile(r"ads?|advert\w*|sponsor(?:ed)?", re.I)
+
+#: Start tags that end an open element of the same or a like name without its end tag: (elements ended, where the search stops).
+_LISTS, _TABLE = frozenset("ul ol menu".split()), frozenset(["table"])
+_CELLS, _ROWS = frozenset(["td", "th"]), frozenset(["td", "th", "tr"])
+_GROUPS = _ROWS | frozenset("thead tbody tfoot caption".split())
+_TERMS, _OPTION = frozenset(["dt", "dd"]), frozenset(["option"])
+IMPLIED_ENDS = {
+    "li": (frozenset(["li"]), _LISTS), "dt": (_TERMS, frozenset(["dl"])), "dd": (_TERMS, frozenset(["dl"])), "td": (_CELLS, _TABLE), "th": (_CELLS, _TABLE), "tr": (_ROWS, _TABLE),
+    "thead": (_GROUPS, _TABLE), "tbody": (_GROUPS, _TABLE), "tfoot": (_GROUPS, _TABLE), "option": (_OPTION, frozenset(["select"])),
+}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_ENDS_P = (CONTAINERS | HEADINGS | frozenset("p pre hr li dt dd address details summary fieldset figcaption".split())) - {"html", "body"}
+#: An end tag closes nothing beyond these.
+_SCOPE = {"li": _LISTS, "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "td": _TABLE, "th": _TABLE, "tr": _TABLE, "p": _TABLE}
+
 
 #: A page's own token, and what a template holds.
 PAGE = "@page"
@@ -75,23 +94,52 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, tuple]]:
             if m.group(1) and m.group(1).lower() not in ("script", "style"):
                 yield "skip", m.group(1).lower(), "", tuple(path)
             continue
-        names = " ".join(x for g in _NAMES.findall(m.group(4)) for x in g if x).lower() if not m.group(2) and m.group(4) else ""
         if not m.group(2):
-            hidden = " hidden" if m.group(4) and _HIDDEN.search(m.group(4)) else ""
+            names, hidden = _telling(m.group(4)) if m.group(4) and _TELLING.search(m.group(4)) else ("", "")
+            if name in _ENDS_P:
+                _end(path, _PARAGRAPH, _TABLE)
+            if name in IMPLIED_ENDS:
+                _end(path, *IMPLIED_ENDS[name])
+            elif name in HEADINGS and path and path[-1][0] in HEADINGS:
+                path.pop()
             yield "open", name, names, tuple(path)
-            if name in CONTAINERS or hidden or (names and BOILERPLATE_NAMES.search(names)) or name in BOILERPLATE_TAGS:
+            if name in CONTAINERS or hidden or (names and BOILERPLATE_NAMES.search(names)) or name in BOILERPLATE_TAGS or any(t == name for t, _ in path):
                 if name not in VOID and not m.group(4).rstrip().endswith("/"):
                     path.append((name, names + hidden))
         else:
-            for k in range(len(path) - 1, -1, -1):
-                if path[k][0] == name:
-                    del path[k:]
-                    break
+            _end(path, (name,), _SCOPE.get(name, ()))
             yield "close", name, "", tuple(path)
     if at < len(page):
         yield "text", "", page[at:], tuple(path)
 
 
+_PARAGRAPH = ("p",)
+#: What the path says of a hidden element; "!" tells it apart from a class of that name.
+HIDDEN = " !hidden"
+
+
+def _telling(attributes: str) -> tuple[str, str]:
+    """(class, id and role in lower case, HIDDEN if the element is hidden) from a tag's attributes, each by its own name."""
+    names, hidden = [], ""
+    for key, *values in _ATTRIBUTE.findall(attributes):
+        key, value = key.lower(), values[0] or values[1] or values[2]
+        if key in ("class", "id", "role"):
+            names.append(value.lower())
+        elif key == "hidden" or (key == "aria-hidden" and value.strip().lower() == "true") or (key == "style" and _NO_DISPLAY.search(value)):
+            hidden = HIDDEN
+    return " ".join(x for x in names if x), hidden
+
+
+def _end(path: list[tuple[str, str]], names, stop) -> None:
+    """Close the innermost open element of one of these names, with all inside it, if no element of `stop` lies between."""
+    for k in range(len(path) - 1, -1, -1):
+        if path[k][0] in names:
+            del path[k:]
+            return
+        if path[k][0] in stop:
+            return
+
+
 def role(kind: str, name: str, value: str, path: tuple) -> str | None:
     """A token's identity within a host: its kind, name and container path; None for white space."""
     above = ">".join(f"{t}.{n}" if n else t for t, n in path)
@@ -236,11 +284,23 @@ def templates(pages: DataFrame, least_pages: int = 3, broadcast_bytes: int = 32
 
 
 def _boilerplate(path: tuple) -> bool:
-    """A menu, notice or the like lies above; a header is one only outside the article."""
+    """A menu, notice or the like lies above; a header is one only outside the article.
+
+    Inside an article a name counts only if it is a whole name of FURNITURE on a container (or an advert's on any element
+    but a heading); above one, only if it is a whole name. What else is furniture there, the template tells by its content.
+    """
+    around = any(tag in ("article", "main") for tag, _ in path)
     inside = False
     for tag, names in path:
-        if tag in BOILERPLATE_TAGS or names.endswith(" hidden") or (names and tag not in ("html", "body", "article", "main") and BOILERPLATE_NAMES.search(names)):
+        if tag in BOILERPLATE_TAGS or names.endswith(HIDDEN):
             return True
+        if names and tag not in ("html", "body", "article", "main"):
+            if inside:
+                telling = FURNITURE if tag in CONTAINERS else ADVERTS
+                if tag not in HEADINGS and any(telling.fullmatch(x) for x in names.split()):
+                    return True
+            elif BOILERPLATE_NAMES.search(names) and (not around or any(BOILERPLATE_NAMES.fullmatch(x) for x in names.split())):
+                return True
         if tag == "header" and not inside:
             return True
         inside = inside or tag in ("article", "main")

@@ -103,6 +103,24 @@ def test_op1_template_decides():
     assert html_extract.main_text(page, none, none, none, constant, d) == "same\nsame"
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ('<article><p class="ad">x<p>body one</p><p>two</article>', "body one\ntwo"),
+    ('<article><ul><li class="ad">x<li>one<li>two</ul>end</article>', "one\ntwo\nend"),
+    ('<article><p class="ad">x<div>kept</div></article>', "kept"),
+    ('<article><table><tr><td class="ad">x<td>y<tr class="ad"><td>z<tr><td>w</table></article>', "y\nw"),
+    ('<article><dl><dt class="ad">x<dd>y</dl></article>', "y"),
+    ('<article class="overflow-hidden">a</article>', "a"),
+    ('<article title="hidden gems"><p aria-hidden="false">a</p><p data-class="ad">b</p><p title="class=ad">c</p></article>', "a\nb\nc"),
+    ('<article><p hidden>a</p><p aria-hidden="true">b</p><p style="color:red; display: none">c</p><p class="hidden">d</p></article>', "d"),
+    ('<article><div class="section-header">a</div><h2 id="comments">b</h2><div class="notice">c</div><div class="comments">no</div></article>', "a\nb\nc"),
+    ('<div class="right-sidebar"><article>a</article></div><div class="sidebar"><article>no</article></div>', "a"),
+    ('<article><ul class="share"><li class="ad"><ul><li>x</li></ul>y</li></ul>z</article>', "z"),
+])
+def test_op1_keeps_article_text(page, want):
+    none = frozenset()
+    assert html_extract.main_text(page, none, none, none, none, html_extract._xxhash64) == want
+
+
 def test_op1_classes():
     page = "<div><p></p></div><div><p></p></div>"
     d = html_extract._xxhash64
