@@ -8,8 +8,8 @@ scanners stumble over); any other table of the same columns and a label can be g
 Texts without a candidate leave after one pattern match. Offsets come from the pieces between candidates, so one text
 with many candidates costs one pass.
 
-Nulls: a null text has no finding. Findings of a null id carry a null id. Repeated rows repeat their findings. Extra
-columns are not read. An empty table gives an empty result.
+Nulls: a null text has no finding. Findings of a null id carry a null id; a redacted row takes those of its own text
+alone. Repeated rows repeat their findings. Extra columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -43,21 +43,31 @@ FEATURES = (
 )
 
 
+#: Parts that rows of one id and text are dealt into when they meet their findings.
+SALTS = 8
+
+
+def text_key(text: Column) -> Column:
+    """A text's 256-bit hash, which tells the findings of rows with the same id apart."""
+    return F.sha2(text, 256)
+
+
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Candidates: id, start (characters before the value), value, before, after."""
+    """Candidates: id, start (characters before the value), value, before, after, text_key."""
     text = F.col("text")
     hit = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.rlike(text, F.lit(CANDIDATE)))
-    cut_up = hit.select("id", F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split(text, CANDIDATE, -1).alias("between"))
+    cut_up = hit.select("id", text_key(text).alias("text_key"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split(text, CANDIDATE, -1).alias("between"))
     sizes = F.zip_with(F.slice(F.col("between"), F.lit(1), F.size("found")), F.col("found"), lambda b, c: F.struct(F.length(b).alias("b"), F.length(c).alias("c")))
     starts = F.aggregate(
         sizes, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
         lambda s, x: F.struct((s["at"] + x["b"] + x["c"]).alias("at"), F.concat(s["out"], F.array(s["at"] + x["b"])).alias("out")), lambda s: s["out"],
     )
-    each = cut_up.select("id", "found", "between", starts.alias("starts")).select("id", "between", F.posexplode(F.arrays_zip("found", "starts")).alias("i", "x"))
+    each = cut_up.select("id", "text_key", "found", "between", starts.alias("starts")).select("id", "text_key", "between", F.posexplode(F.arrays_zip("found", "starts")).alias("i", "x"))
     found, prefix = F.col("x.found"), F.regexp_extract(F.col("x.found"), f"^{_ASSIGN}", 0)
     value = F.substring(found, F.length(prefix) + F.lit(1), F.length(found))
     return each.select(
         "id",
+        "text_key",
         (F.col("x.starts") + F.length(prefix)).cast("long").alias("start"),
         value.alias("value"),
         F.right(F.concat(F.get("between", F.col("i")), prefix), F.lit(_CONTEXT)).alias("before"),
@@ -129,25 +139,34 @@ def train(findings: DataFrame, trees: int = 24, depth: int = 7, seed: int = 17)
 
 
 def scan(df: DataFrame, model: PipelineModel | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """Every candidate with its verdict: id, start, length, value, probability, is_secret."""
+    """Every candidate with its verdict: id, start, length, value, probability, is_secret, text_key."""
     model = model or train(labelled_findings(df.sparkSession))
     judged = model.transform(with_features(find(df, id_col, text_col)))
     p = F.round(F.get(vector_to_array("probability"), F.lit(1)), 6)
-    return judged.select(F.col("id").alias(id_col), "start", F.length("value").cast("long").alias("length"), "value", p.alias("probability"), (p >= threshold).alias("is_secret"))
+    return judged.select(F.col("id").alias(id_col), "start", F.length("value").cast("long").alias("length"), "value", p.alias("probability"), (p >= threshold).alias("is_secret"), "text_key")
 
 
 def redact(df: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """The table with every found secret replaced by a mark; its columns and rows stay as they are."""
-    spans = findings.filter("is_secret").select(F.col(id_col).alias("__id"), F.struct("start", "length").alias("__s")).groupBy("__id").agg(F.array_sort(F.collect_set("__s")).alias("__spans"))
+    """The table with every found secret replaced by a mark; its columns and rows stay as they are.
+
+    findings are those of `scan`: a row takes only the findings of its own id and text, so rows that
+    share an id, or have none, don't change each other. Equal rows share their findings, whatever their number; rows
+    meet them salted, as one id and text may be very frequent.
+    """
+    spans = findings.filter("is_secret").select(F.col(id_col).alias("__id"), F.col("text_key").alias("__key"), F.struct("start", "length").alias("__s"))
+    spans = spans.groupBy("__id", "__key").agg(F.array_sort(F.collect_set("__s")).alias("__spans"))
+    spans = spans.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     text = F.col(text_col)
     new = F.aggregate(
         "__spans", F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
         lambda s, x: F.struct(F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit(mark)).alias("out"), (x["start"] + x["length"]).alias("at")),
         lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text))),
     )
-    joined = df.join(spans.hint("merge"), df[id_col].eqNullSafe(spans["__id"]), "left")
-    return joined.select(*(F.when(F.col("__spans").isNull(), text).otherwise(new).alias(c) if c == text_col else df[c] for c in df.columns))
+    keyed = df.withColumns({"__text": text_key(text), "__part": F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")})
+    same = keyed[id_col].eqNullSafe(spans["__id"]) & (keyed["__text"] == spans["__key"]) & (keyed["__part"] == spans["__salt"])
+    joined = keyed.join(spans.hint("merge"), same, "left")
+    return joined.select(*(F.when(F.col("__spans").isNull(), text).otherwise(new).alias(c) if c == text_col else keyed[c] for c in df.columns))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"))
+    return scan(table(spark, sf_dir, "documents")).drop("text_key")

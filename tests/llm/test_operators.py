@@ -297,6 +297,17 @@ def test_op7(spark, odd, none, real):
     assert clean[1].startswith('é token = "[SECRET]" and commit ' + key) and clean[2] == "nothing" and clean[None] == "secret=[SECRET]"
 
 
+def test_op7_redact_by_row(spark):
+    """Rows without an id, or of one id, keep their own text apart from the secrets of the others."""
+    key = hashlib.sha1(b"y").hexdigest()
+    plain = "a clean text that is long enough to be cut by others " * 2
+    secret, other = f"secret={key}", f"here and there token = {key}"
+    df = docs(spark, [(None, secret), (None, plain), (None, "short"), (None, None), (None, other), (5, secret), (5, plain), (5, secret), (None, secret)])
+    got = collections.Counter((r.doc_id, r.text) for r in secret_scan.redact(df, secret_scan.scan(df)).collect())
+    clean = [(None, "secret=[SECRET]"), (None, plain), (None, "short"), (None, None), (None, "here and there token = [SECRET]"), (5, "secret=[SECRET]"), (5, plain), (5, "secret=[SECRET]"), (None, "secret=[SECRET]")]
+    assert got == collections.Counter(clean)
+
+
 def test_op8(spark, odd, none):
     many = docs(spark, [(7, "x")] * 500 + [(i, str(i)) for i in range(700)])
     for df, n in ((odd, 10), (many, 1200)):
