@@ -1,7 +1,7 @@
 """Operator 6, embedding near-duplicates by a pivot-permutation index.
 
 A vector is described by its `near` closest pivots, in order, among `pivots` reference vectors, which are a bounded
-sample drawn by hash. An inverted list holds, for each label and pivot, the vectors that have it among their closest.
+sample drawn by hash and thinned until no two are near each other. An inverted list holds, for each label and pivot, the vectors that have it among their closest.
 Two vectors of a label that share at least `shared` pivots are candidates, and a candidate is a link if its cosine, in
 double precision, reaches the threshold.
 
@@ -28,6 +28,10 @@ from pyspark.sql import functions as F
 from kwforge.llm.common import components, cut, drop_cut, table
 
 
+#: Vector lengths that get pivots of their own; vectors of any other length are compared in one list.
+LENGTHS = 32
+
+
 def unit_vectors(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
     """(rows that hold a usable vector, their unit vectors in double precision)."""
     at, out = [], []
@@ -44,18 +48,44 @@ def unit_vectors(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.array(at, np.int64), out
 
 
-def choose_pivots(vectors: DataFrame, pivots: int) -> dict[int, np.ndarray]:
-    """By vector length: unit pivots, `pivots` at most over all, drawn by hash of the id."""
-    drawn = vectors.orderBy(F.xxhash64("id"), "id").limit(pivots).toArrow().combine_chunks().to_batches()
-    by_size: dict[int, list[np.ndarray]] = {}
-    for batch in drawn:
-        for v in unit_vectors(batch)[1]:
-            by_size.setdefault(len(v), []).append(v)
-    return {k: np.unique(np.array(v), axis=0) for k, v in by_size.items()}
+def spread(units: np.ndarray, most: int, apart: float) -> np.ndarray:
+    """At most `most` rows, each in turn with a cosine under `apart` to all taken before; the first is always taken."""
+    out = np.empty((min(most, len(units)), units.shape[1]))
+    n = 0
+    for v in units:
+        if n == most:
+            break
+        if not n or (out[:n] @ v).max() < apart:
+            out[n] = v
+            n += 1
+    return out[:n]
+
+
+def choose_pivots(vectors: DataFrame, pivots: int, near: int, apart: float, drawn_for: int = 4) -> dict[int, np.ndarray]:
+    """By vector length: unit pivots that are spread out, at most `pivots` of a length, from a sample drawn by hash of the id.
+
+    The sample holds `drawn_for` vectors for each pivot, and every one of the `LENGTHS` most frequent lengths has its
+    share of it, `near` vectors at least. A group of near copies gives few pivots, however large it is, so its members are
+    described by the same pivots outside it. Where fewer than `near` are found, random directions fill up: then all
+    vectors of the length share all pivots and are compared with each other.
+    """
+    sized = vectors.select("id", "label", "vector", F.size("vector").alias("size")).filter("size > 0")
+    sizes = {r["size"]: r["n"] for r in sized.groupBy("size").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").limit(LENGTHS).collect()}
+    total = sum(sizes.values())
+    out = {}
+    for size, n in sizes.items():
+        share = max(near, drawn_for * pivots * n // total)
+        drawn = sized.filter(F.col("size") == size).select("id", "label", "vector").orderBy(F.xxhash64("id"), "id").limit(share).toArrow().combine_chunks().to_batches()
+        units = [v for batch in drawn for v in unit_vectors(batch)[1]]
+        if units:
+            found = spread(np.array(units), max(near, pivots * n // total), apart)
+            more = np.random.default_rng(size).normal(size=(max(0, near - len(found)), size))
+            out[size] = np.vstack([found, more / np.linalg.norm(more, axis=1, keepdims=True)])
+    return out
 
 
 def describe(vectors: DataFrame, pivots: dict[int, np.ndarray], near: int) -> DataFrame:
-    """(id, label, unit, key, nearest) for every usable vector; nearest holds pivot numbers, closest first."""
+    """(id, label, unit, key, nearest) for every usable vector; nearest holds pivot numbers, closest first. A length without pivots has the same numbers for all."""
     label = vectors.schema["label"].dataType.simpleString()
     sent = vectors.sparkSession.sparkContext.broadcast(pivots)
 
@@ -65,7 +95,7 @@ def describe(vectors: DataFrame, pivots: dict[int, np.ndarray], near: int) -> Da
             nearest = []
             for v in units:
                 p = sent.value.get(len(v))
-                nearest.append([0] if p is None else np.argsort(-(p @ v), kind="stable")[:near].tolist())
+                nearest.append(list(range(near)) if p is None else np.argsort(-(p @ v), kind="stable")[:near].tolist())
             blobs = [v.tobytes() for v in units]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(blobs, pa.binary()), pa.array(nearest, pa.list_(pa.int32()))],
@@ -148,17 +178,18 @@ def _join(good: np.ndarray, ra: np.ndarray, rb: np.ndarray, found: dict[int, lis
 
 def link(
     df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93,
-    pivots: int | None = None, near: int = 8, shared: int = 2, block: int = 512,
+    pivots: int | None = None, near: int = 8, shared: int = 2, block: int = 512, apart: float = 0.8,
 ) -> DataFrame:
     """id, n_links, component_id, kept for every vector.
 
-    pivots (default: one for 64 vectors, 64 at least and 2,048 at most) bounds the sample that the index is fitted on.
+    pivots (default: one for 64 vectors, 64 at least and 2,048 at most) bounds the sample that the index is fitted on; no two
+    pivots have a cosine of `apart` or more.
     """
     vectors = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("vector"))
     usable = vectors.filter(F.col("vector").isNotNull() & F.col("label").isNotNull())
     if pivots is None:
         pivots = max(64, min(2048, usable.count() // 64))
-    described = cut(describe(usable, choose_pivots(usable, pivots), near), "described")
+    described = cut(describe(usable, choose_pivots(usable, pivots, near, apart), near), "described")
     entries = described.groupBy("label", "key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.any_value("unit").alias("unit"), F.any_value("nearest").alias("nearest"))
     entries = cut(entries, "entries")
     listed = entries.select("label", "rep", "copies", "unit", "nearest", F.explode("nearest").alias("pivot"))

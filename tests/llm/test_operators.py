@@ -283,6 +283,23 @@ def test_op6(spark):
     assert embedding_dedup.link(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_op6_hot_group(spark):
+    """Distinct near copies that are a third of all rows, many pivots; a length of one group alone; a rare length."""
+    g = np.random.default_rng(8)
+    centre, rare = g.normal(size=64), g.normal(size=24)
+    vecs = [centre + g.normal(size=64) * 0.16 for _ in range(300)] + [g.normal(size=64) for _ in range(600)]
+    vecs += [rare + g.normal(size=24) * 0.1 for _ in range(4)]
+    rows = [(i, [float(x) for x in v], 0) for i, v in enumerate(vecs)]
+    got = {r.vec_id: r.n_links for r in embedding_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), pivots=512).collect()}
+    unit = [np.array(v, np.float32).astype(float) for _, v, _ in rows]
+    want = dict.fromkeys(got, 0)
+    for k in (slice(0, 900), slice(900, 904)):
+        u = np.array([v / np.linalg.norm(v) for v in unit[k]])
+        want |= dict(zip(range(k.start, k.stop), ((u @ u.T >= 0.93).sum(1) - 1).tolist(), strict=True))
+    assert all(got[i] <= want[i] for i in got) and sum(want[i] for i in range(300)) > 80_000
+    assert sum(got.values()) >= 0.98 * sum(want.values()) and [got[i] for i in range(900, 904)] == [want[i] for i in range(900, 904)] == [3] * 4
+
+
 def test_op7(spark, odd, none, real):
     model = secret_scan.train(secret_scan.labelled_findings(spark))
     held = model.transform(secret_scan.with_features(secret_scan.labelled_findings(spark, 1500, seed=99)))
