@@ -11,6 +11,11 @@ Words repeat, so the words that are frequent in a bounded sample of texts (`memo
 folded once, as distinct words, and kept as a second literal. The memo changes the cost alone: a word outside it is
 folded in place, so every text is encoded whole and alike at every size. Nothing is shuffled but the sample's counts.
 
+Very long words: a word of more than `LONG` bytes is first cut where two bytes meet that no token of the vocabulary
+holds side by side, as nothing is ever merged there; that is linear in its length. A part that is still long is folded
+in rounds over a string of one character a token, each of which merges all places of the least pair at once, so runs and
+periods take few rounds.
+
 Nulls: a null text is an empty one: no ids, and the hashes of nothing. Repeated rows are encoded row by row. Extra
 columns are not read. An empty table gives an empty result.
 """
@@ -33,8 +38,14 @@ SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{
 _BITS = 17
 _LOW, _PAIR = (1 << _BITS) - 1, (1 << 2 * _BITS) - 1
 NO_RANK = 1 << (3 * _BITS)
+#: The code of a word's edge, one above the bytes; as a character it parts the segments of a long word.
+EDGE = 256
+#: Bytes of a word beyond which it is cut into segments first.
+LONG = 256
+#: In the string of a long segment, token t is the character CHARS + t.
+CHARS = 0x10000
 #: Bounds of the memo: texts of the sample, and distinct words kept from it.
-MEMO_ROWS, MEMO_WORDS = 32_000, 1 << 18
+MEMO_ROWS, MEMO_WORDS = 64_000, 1 << 19
 
 
 def java_pattern(pattern: str) -> str:
@@ -93,8 +104,8 @@ def _xxhash64(s: str) -> int:
 
 
 def let(value: Column, f) -> Column:
-    """Bind a value to a name inside an expression."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
+    """Bind a value to a name inside an expression: the end of a fold over no element, which copies nothing."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda a, _: a, f)
 
 
 def constant(values: list | np.ndarray, element: pa.DataType) -> Column:
@@ -127,43 +138,84 @@ class Vocabulary:
         self.slots = constant(slots, pa.int64())
         byte = [*(ranks[bytes([b])] for b in range(256)), self.end]
         self.first = constant([(pairs.get((a, b), NO_RANK >> 2 * _BITS) << 2 * _BITS) | (a << _BITS) | b for a in byte for b in byte], pa.int64())
+        near = {t[i : i + 2] for t in ranks for i in range(len(t) - 1)}
+        self.apart = constant([bytes([a, b]) not in near for a in range(256) for b in range(256)], pa.bool_())
+        self.chars = constant([chr(CHARS + t) for t in range(self.end)], pa.string())
         pieces = [b""] * self.end
         for t, r in ranks.items():
             pieces[r] = t
         self.pieces = constant([t.hex() for t in pieces], pa.string())
 
-    def packed(self, slots: Column, k: Column) -> Column:
+    def maps(self) -> dict[str, Column]:
+        """The literals that a fold reads, to be bound by name."""
+        return {"slots": self.slots, "first": self.first, "apart": self.apart, "chars": self.chars}
+
+    def packed(self, slots: Column, pair: Column) -> Column:
         """The packed pair of a key, with NO_RANK if it has no rank."""
-        first = F.get(slots, F.pmod(k, F.lit(self.p)).cast("int"))
-        second = F.get(slots, (F.pmod(k, F.lit(self.q)) + F.lit(self.p)).cast("int"))
-        mine = lambda s: s.bitwiseAND(F.lit(_PAIR)) == k
-        return F.when(first < F.lit(0), k + F.lit(NO_RANK)).when(mine(first), first).when(mine(second), second).otherwise(k + F.lit(NO_RANK))
+
+        def search(k):
+            none = k + F.lit(NO_RANK)
+            mine = lambda s: s.bitwiseAND(F.lit(_PAIR)) == k
+            second = F.get(slots, (F.pmod(k, F.lit(self.q)) + F.lit(self.p)).cast("int"))
+            last = lambda s: F.when(mine(s), s).otherwise(none)
+            return let(F.get(slots, F.pmod(k, F.lit(self.p)).cast("int")), lambda s: F.when(s < F.lit(0), none).when(mine(s), s).otherwise(let(second, last)))
+
+        return let(pair, search)
 
     def fold(self, maps: Column, word: Column) -> Column:
-        """Ids of one word as a string of decimal numbers; maps binds slots and first.
+        """Ids of one word as a string of decimal numbers; maps binds what `maps` names."""
+        parts = lambda d: F.transform(self.segments(maps, d), lambda s: F.when(F.length(s) <= F.lit(LONG), self.fold_short(maps, s)).otherwise(self.fold_long(maps, s)))
+        latin = F.decode(word.cast("binary"), "ISO-8859-1")
+        return let(latin, lambda d: F.when(F.length(d) <= F.lit(LONG), self.fold_short(maps, d)).otherwise(F.array_join(parts(d), " ")))
+
+    def fold_short(self, maps: Column, latin: Column) -> Column:
+        """Ids of a word that is given as one character a byte.
 
         The state is the array of adjacent packed pairs, from (end, first token) to (last token, end). A merge takes the
         leftmost least pair out and renames the joined token in the pairs on its sides.
         """
-        codes = F.transform(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), F.ascii)
-        edge = F.array(F.lit(256))
-        start = let(codes, lambda c: F.zip_with(F.concat(edge, c), F.concat(c, edge), lambda a, b: F.get(maps["first"], a * F.lit(257) + b)))
+        codes = F.transform(F.split(F.concat(F.lit(chr(EDGE)), latin, F.lit(chr(EDGE))), ""), F.ascii)
+        begin = lambda c: F.transform(F.slice(c, F.lit(2), F.size(c) - F.lit(1)), lambda x, i: F.get(maps["first"], F.get(c, i) * F.lit(EDGE + 1) + x))
         left = lambda x: F.shiftright(x, _BITS).bitwiseAND(F.lit(_LOW))
 
         def merge(pairs, _):
-            def at(x, m):
-                rank = F.shiftright(m, 2 * _BITS)
+            def at(x, rank):
                 sides = F.array(
-                    F.shiftleft(left(F.get(pairs, x - F.lit(2))), _BITS) + rank, F.shiftleft(rank, _BITS) + F.get(pairs, x).bitwiseAND(F.lit(_LOW))
-                )
-                return F.concat(
-                    F.slice(pairs, F.lit(1), x - F.lit(2)), F.transform(sides, lambda k: self.packed(maps["slots"], k)), F.slice(pairs, x + F.lit(2), F.size(pairs))
+                    self.packed(maps["slots"], F.shiftleft(left(F.get(pairs, x - F.lit(2))), _BITS) + rank),
+                    self.packed(maps["slots"], F.shiftleft(rank, _BITS) + F.get(pairs, x).bitwiseAND(F.lit(_LOW))),
                 )
+                return F.flatten(F.array(F.slice(pairs, F.lit(1), x - F.lit(2)), sides, F.slice(pairs, x + F.lit(2), F.size(pairs))))
 
-            return let(F.array_min(pairs), lambda m: F.when(m >= F.lit(NO_RANK), pairs).otherwise(let(F.array_position(pairs, m).cast("int"), lambda x: at(x, m))))
+            found = lambda m: let(F.array_position(pairs, m).cast("int"), lambda x: let(F.shiftright(m, 2 * _BITS), lambda rank: at(x, rank)))
+            return let(F.array_min(pairs), lambda m: F.when(m >= F.lit(NO_RANK), pairs).otherwise(found(m)))
 
         done = lambda pairs: F.array_join(F.transform(F.slice(pairs, F.lit(2), F.size(pairs) - F.lit(1)), lambda x: left(x).cast("string")), " ")
-        return F.aggregate(F.sequence(F.lit(2), F.greatest(F.lit(2), F.octet_length(word))), start, merge, done)
+        return F.aggregate(F.sequence(F.lit(2), F.greatest(F.lit(2), F.length(latin))), let(codes, begin), merge, done)
+
+    def segments(self, maps: Column, latin: Column) -> Column:
+        """A long word cut between the bytes that no token holds side by side."""
+        code = lambda cs, i: F.ascii(F.get(cs, i))
+        mark = lambda cs: F.transform(cs, lambda c, i: F.when(F.get(maps["apart"], code(cs, i - F.lit(1)) * F.lit(256) + F.ascii(c)), F.concat(F.lit(chr(EDGE)), c)).otherwise(c))
+        return F.split(F.array_join(let(F.split(latin, ""), mark), ""), chr(EDGE))
+
+    def fold_long(self, maps: Column, latin: Column) -> Column:
+        """Ids of a long segment: a round merges all places of the least pair. A leading space says that no pair is left."""
+        byte = lambda c: F.get(maps["first"], F.lit(EDGE * (EDGE + 1)) + F.ascii(c)).bitwiseAND(F.lit(_LOW)).cast("int")
+        start = F.array_join(F.transform(F.split(latin, ""), lambda c: F.get(maps["chars"], byte(c))), "")
+        token = lambda c: (F.ascii(c) - F.lit(CHARS)).cast("long")
+        char = lambda t: F.get(maps["chars"], t.bitwiseAND(F.lit(_LOW)).cast("int"))
+
+        def least(cs):
+            next_ = lambda i: F.coalesce(token(F.get(cs, i + F.lit(1))), F.lit(self.end))
+            return F.array_min(F.transform(cs, lambda c, i: self.packed(maps["slots"], F.shiftleft(token(c), _BITS) + next_(i))))
+
+        def merge(state, _):
+            pair = lambda m: F.concat(char(F.shiftright(m, _BITS)), char(m))
+            put = lambda m: F.when(m >= F.lit(NO_RANK), F.concat(F.lit(" "), state)).otherwise(F.replace(state, pair(m), char(F.shiftright(m, 2 * _BITS))))
+            return F.when(F.startswith(state, F.lit(" ")), state).otherwise(let(let(F.split(state, ""), least), put))
+
+        done = lambda s: F.array_join(F.transform(F.split(F.ltrim(s), ""), lambda c: token(c).cast("string")), " ")
+        return F.aggregate(F.sequence(F.lit(1), F.length(latin)), start, merge, done)
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
@@ -179,8 +231,9 @@ class Vocabulary:
         counted = sample.select(F.explode(self.words(F.col(text_col))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).filter("n > 1")
         top = counted.orderBy(F.desc("n"), "w").limit(memo_words)
         parts = 4 * df.sparkSession.sparkContext.defaultParallelism
-        named = top.repartition(parts, F.xxhash64("w")).select("w", "n", self.slots.alias("slots"), self.first.alias("first"))
-        folded = named.select("w", "n", let(F.struct("slots", "first"), lambda m: self.fold(m, F.col("w"))).alias("ids")).toArrow()
+        maps = self.maps()
+        named = top.repartition(parts, F.xxhash64("w")).select("w", "n", *(c.alias(name) for name, c in maps.items()))
+        folded = named.select("w", "n", let(F.struct(*maps), lambda m: self.fold(m, F.col("w"))).alias("ids")).toArrow()
         size = 1 << max(1, (folded.num_rows * 3 // 2).bit_length())
         words, ids = [None] * size, [None] * size
         for i in folded.to_pandas(self_destruct=True).sort_values(["n", "w"], ascending=[False, True]).itertuples():
@@ -192,7 +245,7 @@ class Vocabulary:
 
     def encode(self, df: DataFrame, memo: Memo) -> DataFrame:
         """(id, ids) of (id, text): ids of a whole text as decimal numbers joined by one space; empty for an empty text."""
-        maps = {"slots": self.slots, "first": self.first, "words": memo.words, "ids": memo.ids}
+        maps = self.maps() | {"words": memo.words, "ids": memo.ids}
         named = df.select("id", "text", *(c.alias(name) for name, c in maps.items()))
         slot = lambda h: h.bitwiseAND(F.lit(memo.size - 1)).cast("int")
 
