@@ -1,7 +1,9 @@
 """Similarity graphs over objects: shared keywords or shared hits, top neighbours, normalisation, smoothing.
 
-Pairs come from a self equi-join on the shared item, so their number is the sum of squared frequencies: meant for the
-bounded samples that a split is trained on, not for a corpus.
+Pairs come from a self equi-join on the shared item. An item that very many ids share is dealt into blocks, and each
+pair of blocks is a key of its own, so no item is one task; shared counts are summed before they are shuffled. The pairs
+of an item are still the square of its frequency, which is what the graph asks for: meant for the bounded samples that
+a split is trained on, not for a corpus.
 """
 
 from __future__ import annotations
@@ -10,14 +12,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kwforge.sources.shared import cut
 
-def overlaps(pairs: DataFrame, id_col: str, item: str) -> DataFrame:
+
+def overlaps(pairs: DataFrame, id_col: str, item: str, block: int = 2048) -> DataFrame:
     """(src, dst, shared, n_src, n_dst) for src < dst with a shared item."""
     n = pairs.groupBy(id_col).agg(F.count("*").alias("n"))
-    sized = pairs.join(n, id_col).select(F.col(id_col).alias("id"), F.col(item).alias("item"), "n")
-    a, b = sized.alias("a"), sized.alias("b")
-    met = a.join(b, (F.col("a.item") == F.col("b.item")) & (F.col("a.id") < F.col("b.id")))
-    return met.groupBy(F.col("a.id").alias("src"), F.col("b.id").alias("dst"), F.col("a.n").alias("n_src"), F.col("b.n").alias("n_dst")).agg(F.count("*").alias("shared"))
+    parts = pairs.groupBy(item).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("parts"))
+    sized = pairs.join(parts, item).join(n, id_col).select(F.col(id_col).alias("id"), F.col(item).alias("item"), "n", "parts", F.pmod(F.xxhash64(id_col), F.col("parts")).cast("int").alias("mine"))
+    sized = cut(sized, "sized")
+    # an id of block k meets block j >= k as a left side, and stands in block k as a right side for every i <= k
+    a = sized.select("*", F.col("mine").alias("i"), F.explode(F.sequence(F.col("mine"), F.col("parts") - 1)).alias("j")).alias("a")
+    b = sized.select("*", F.col("mine").alias("j"), F.explode(F.sequence(F.lit(0), F.col("mine"))).alias("i")).alias("b")
+    same = (F.col("a.item") == F.col("b.item")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j"))
+    met = a.join(b, same & ((F.col("a.i") < F.col("a.j")) | (F.col("a.id") < F.col("b.id"))))
+    turned = F.col("a.id") > F.col("b.id")
+    side = lambda c, x, y: F.when(turned, F.col(f"{y}.{c}")).otherwise(F.col(f"{x}.{c}"))
+    return met.groupBy(side("id", "a", "b").alias("src"), side("id", "b", "a").alias("dst"), side("n", "a", "b").alias("n_src"), side("n", "b", "a").alias("n_dst")).agg(F.count("*").alias("shared"))
 
 
 def jaccard(pairs: DataFrame, id_col: str, item: str) -> DataFrame:

@@ -7,25 +7,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kwforge.functions.text import TOKENIZERS
+from kwforge.sources.shared import cut
 
 
-def keyword_pairs(df: DataFrame, id_col: str, text: str | Column, out_id: str = "obj_id", tokenizer: str = "alphanumeric") -> DataFrame:
-    """Distinct (id, kw). Rows without keywords leave no pair; the duplicates go before the shuffle, row by row."""
+def keyword_pairs(df: DataFrame, id_col: str, text: str | Column, out_id: str = "obj_id", tokenizer: str = "alphanumeric", unique_ids: bool = False) -> DataFrame:
+    """Distinct (id, kw). Rows without keywords leave no pair; the duplicates of a row go in that row.
+
+    unique_ids says that no id comes twice: then no pair can either, and nothing is shuffled.
+    """
     col = F.col(text) if isinstance(text, str) else text
-    return df.select(F.col(id_col).alias(out_id), F.explode(F.array_distinct(TOKENIZERS[tokenizer](col))).alias("kw")).distinct()
+    pairs = df.select(F.col(id_col).alias(out_id), F.explode(F.array_distinct(TOKENIZERS[tokenizer](col))).alias("kw"))
+    return pairs if unique_ids else pairs.distinct()
 
 
 def vocabulary(pairs: DataFrame) -> DataFrame:
     """(kw, kw_id): dense ids from 0 in keyword order.
 
-    Ids are ranks within the keywords of one two-character beginning, plus the number of keywords under earlier
-    beginnings; only the table of beginnings, bounded by the alphabet, is ever in one task.
+    Keywords are dealt into ranges of like size and written. Ids are ranks within a range, plus the number of keywords
+    in the ranges before it; only the table of ranges, one row a partition, is ever in one task.
     """
-    words = pairs.select("kw").distinct().withColumn("head", F.substring("kw", 1, 2))
-    ahead = Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)
-    heads = words.groupBy("head").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n")
-    ranked = words.withColumn("r", F.row_number().over(Window.partitionBy("head").orderBy("kw")))
-    return ranked.join(heads, "head").select("kw", (F.col("base") + F.col("r") - 1).cast("long").alias("kw_id"))
+    words = cut(pairs.select("kw").distinct().repartitionByRange("kw").withColumn("part", F.spark_partition_id()), "vocabulary")
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = words.groupBy("part").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n")
+    ranked = words.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("kw")))
+    return ranked.join(F.broadcast(base), "part").select("kw", (F.col("base") + F.col("r") - 1).cast("long").alias("kw_id"))
 
 
 def postings(pairs: DataFrame, id_col: str = "obj_id") -> DataFrame:
@@ -42,9 +47,23 @@ def lengths(pairs: DataFrame, id_col: str, name: str) -> DataFrame:
     return pairs.groupBy(id_col).agg(F.count("*").alias(name))
 
 
-def known_pairs(query_pairs: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Query pairs whose keyword some object has: unknown keywords are dropped."""
-    return query_pairs.join(vocab.select("kw"), "kw", "left_semi")
+def lookup(tokens: DataFrame, vocab: DataFrame, unknown: str = "<UNK>") -> DataFrame:
+    """(kw, kw_id, known) of each token: -1 for one that the vocabulary lacks; known is the token or the mark for unknown ones."""
+    return tokens.join(vocab, "kw", "left").select("kw", F.coalesce("kw_id", F.lit(-1)).alias("kw_id"), F.when(F.col("kw_id").isNull(), F.lit(unknown)).otherwise(F.col("kw")).alias("known"))
+
+
+def tokens_of(ids: DataFrame, vocab: DataFrame, unknown: str = "<UNK>") -> DataFrame:
+    """(kw_id, kw) of each id, with the mark for ids that the vocabulary lacks."""
+    return ids.join(vocab, "kw_id", "left").select("kw_id", F.coalesce("kw", F.lit(unknown)).alias("kw"))
+
+
+def mean_vectors(pairs: DataFrame, vectors: DataFrame, id_col: str = "obj_id") -> DataFrame:
+    """(id, dim, value): the mean of the vectors (kw, vector) of an id's keywords; keywords without a vector don't count.
+
+    An id none of whose keywords has a vector gets no row: its mean is zero everywhere.
+    """
+    each = pairs.join(vectors, "kw").select(id_col, F.posexplode("vector").alias("dim", "x"))
+    return each.groupBy(id_col, "dim").agg(F.avg(F.col("x").cast("double")).alias("value"))
 
 
 def tf_idf(df: DataFrame, id_col: str, text_col: str, min_df: int = 2, max_df: float = 0.95) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kwforge.operators.search import contains_all
+from kwforge.sources.shared import cut
+
 LEFT, RIGHT = 1, 2
 
 
@@ -33,17 +36,17 @@ def single_step_deltas(objects: DataFrame, side: Column, queries: DataFrame, new
     for each the object answers.
     """
     sided = objects.withColumn("side", side).filter("side IS NOT NULL")
-    have = sided.select("side", "kw").distinct()
+    have = cut(sided.select("side", "kw").distinct(), "have")  # read four times below
     state = sided.groupBy("side").agg(F.count_distinct("obj_id").alias("o"), F.count_distinct("kw").alias("omega"))
     size = queries.groupBy("query_id").agg(F.count("*").alias("q"))
     sides = state.select("side")
     met = queries.join(have, "kw").groupBy("side", "query_id").agg(F.count("*").alias("m"))
-    active = met.join(size, "query_id").filter("m = q").select("side", "query_id", "q")
+    active = cut(met.join(size, "query_id").filter("m = q").select("side", "query_id", "q"), "active")
     base = state.join(active.groupBy("side").agg(F.sum(F.col("q") - 1).alias("sum_q"), F.count("*").alias("n_act")), "side", "left").na.fill(0)
     each = new.select("obj_id").distinct().join(F.broadcast(sides))  # two sides
-    fresh = new.join(F.broadcast(sides)).join(have, ["side", "kw"], "left_anti")
+    fresh = cut(new.join(F.broadcast(sides)).join(have, ["side", "kw"], "left_anti"), "fresh")
     d_omega = fresh.groupBy("obj_id", "side").agg(F.count("*").alias("d_omega"))
-    holds = new.join(queries, "kw").groupBy("obj_id", "query_id").agg(F.count("*").alias("m")).join(size, "query_id").filter("m = q").select("obj_id", "query_id")
+    holds = cut(contains_all(new, queries), "holds")
     hit = holds.join(active, "query_id").groupBy("obj_id", "side").agg(F.count("*").alias("hits"))
     # a query becomes feasible if the object has every keyword of it that the side lacks
     lacks = queries.join(F.broadcast(sides)).join(have, ["side", "kw"], "left_anti")
@@ -60,3 +63,20 @@ def single_step_deltas(objects: DataFrame, side: Column, queries: DataFrame, new
         (alpha * c("sum_q") + beta * c("n_act") + gamma * c("hits")).alias("delta_existing"),
         (epsilon * c("n_new") + (c("o") + 1) * (alpha * c("new_q") + beta * c("n_new")) + gamma * c("new_hits")).alias("delta_new"),
     )
+
+
+def assign_batches(seeds: DataFrame, queries: DataFrame, new: DataFrame, model, batches: int = 8) -> DataFrame:
+    """(obj_id, side) of every new object: each goes where it costs less, against the sides as the batches before left them.
+
+    seeds are (obj_id, kw, side). Objects are dealt into batches by hash; within a batch all are weighed against the same
+    sides, so that a batch is one set of joins. Ties go left. As many batches as objects would be the exact one-by-one pass.
+    """
+    sides, out = cut(seeds.select("obj_id", "kw", "side"), "sides"), None
+    for k in range(batches):
+        batch = new.filter(F.pmod(F.xxhash64("obj_id"), F.lit(batches)) == k)
+        deltas = single_step_deltas(sides, F.col("side"), queries, batch, model.alpha, model.beta, model.gamma, model.epsilon)
+        cost = F.lit(model.storage_weight) * F.col("delta_storage") + F.lit(model.query_weight) * (F.col("delta_existing") + F.col("delta_new"))
+        chosen = cut(deltas.groupBy("obj_id").agg(F.min(F.struct(cost.alias("cost"), "side"))["side"].alias("side")), "chosen")
+        out = chosen if out is None else out.unionByName(chosen)
+        sides = cut(sides.unionByName(batch.join(chosen, "obj_id").select("obj_id", "kw", "side")), "sides") if k < batches - 1 else sides
+    return out

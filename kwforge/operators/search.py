@@ -1,37 +1,42 @@
 """Batched keyword search: which objects hold all, or any, of a query's keywords.
 
-All-keyword search is relational division. Each query enters at its rarest keyword only, so the candidates are as many
-as the shortest posting lists allow; an object is then checked against the whole query with array functions. Object
-keyword arrays are joined by object id only for candidates.
+All-keyword search is relational division. Objects are read once: most keywords are in no query, so the pairs whose
+keyword is in one are a small table, written before the search proper. Each query enters at its rarest keyword only,
+so the candidates are as many as the shortest posting lists allow; a candidate is then checked by the other keywords.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from kwforge.operators.keywords import document_frequency
+from kwforge.sources.shared import cut
 
 
-def contains_all(objects: DataFrame, queries: DataFrame, unknown: str = "fail") -> DataFrame:
+def held_pairs(objects: DataFrame, queries: DataFrame) -> DataFrame:
+    """The object pairs whose keyword is in some query, as a written table: the one pass over the objects."""
+    return cut(objects.join(queries.select("kw").distinct(), "kw", "left_semi"), "held")
+
+
+def contains_all(objects: DataFrame, queries: DataFrame, unknown: str = "fail", held: DataFrame | None = None) -> DataFrame:
     """(query_id, obj_id) for every object that holds every keyword of the query.
 
     objects (obj_id, kw) and queries (query_id, kw) are distinct pairs. unknown="drop" ignores keywords that no object
-    has; "fail" lets such a query match nothing. An empty query matches nothing.
+    has; "fail" lets such a query match nothing. An empty query matches nothing. held: what held_pairs gave for these
+    queries, if it is at hand.
     """
-    df = document_frequency(objects.join(queries.select("kw").distinct(), "kw", "left_semi"))
+    held = held_pairs(objects, queries) if held is None else held
+    df = held.groupBy("kw").agg(F.count("*").alias("df"))
     known = queries.join(df, "kw", "inner" if unknown == "drop" else "left")
-    rank = Window.partitionBy("query_id").orderBy("df", "kw")
-    entry = known.withColumn("r", F.row_number().over(rank)).withColumn("q", F.count("*").over(Window.partitionBy("query_id")))
-    pivot = entry.filter("r = 1 AND df IS NOT NULL").select("query_id", "kw", "q")
-    candidates = objects.join(pivot, "kw").select("query_id", "obj_id", "q")
-    rest = entry.filter("r > 1").select("query_id", "kw")
-    # a candidate holds the rarest keyword; it is an answer if it also holds the q - 1 others
-    needed = candidates.join(rest, "query_id")
-    found = needed.join(objects, ["obj_id", "kw"]).groupBy("query_id", "obj_id", "q").agg(F.count("*").alias("m"))
-    many = found.filter("m = q - 1").select("query_id", "obj_id")
-    return many.unionByName(candidates.filter("q = 1").select("query_id", "obj_id"))
+    # a query is one row: its keywords in ascending frequency; one without objects comes first
+    sorted_kws = F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("kw"))))
+    entry = known.groupBy("query_id").agg(sorted_kws.alias("k")).filter("k[0].df > 0")
+    pivot = entry.select("query_id", F.col("k")[0]["kw"].alias("kw"), F.transform(F.slice("k", F.lit(2), F.size("k")), lambda x: x["kw"]).alias("rest"))
+    candidates = held.join(pivot, "kw").select("query_id", "obj_id", "rest")
+    needed = candidates.select("query_id", "obj_id", F.size("rest").alias("q"), F.explode("rest").alias("kw"))
+    found = needed.join(held, ["obj_id", "kw"]).groupBy("query_id", "obj_id", "q").agg(F.count("*").alias("m"))
+    many = found.filter("m = q").select("query_id", "obj_id")
+    return many.unionByName(candidates.filter(F.size("rest") == 0).select("query_id", "obj_id"))
 
 
 def contains_any(objects: DataFrame, queries: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ANCHORS, UNIVERSAL, FILLERS = 200, 8, 4
@@ -83,3 +83,62 @@ def regression_metrics(df: DataFrame, truth: str, predicted: str, by: str | None
     got = base.groupingSets([[F.col(by)], []], F.col(by)).agg(*sums) if by else base.agg(*sums)
     r2 = F.when(F.col("tot") <= 1e-12, F.lit(0.0)).otherwise(1 - F.col("res") / F.col("tot"))
     return got.withColumn("r2", r2).drop("res", "tot")
+
+
+def linear_grid(spark: SparkSession, start: int, end: int, n: int) -> DataFrame:
+    """(i, x): n whole numbers evenly from start to end; one that equals the number before is raised by one, none passes end or falls."""
+    at = lambda i: F.round((F.lit(1.0) - i / F.lit(float(max(1, n - 1)))) * F.lit(float(start)) + i / F.lit(float(max(1, n - 1))) * F.lit(float(end))).cast("long")
+
+    def add(xs, i):
+        last, x = F.element_at(xs, -1), at(i)
+        raised = F.when(F.size(xs) == 0, x).when(x == last, last + 1).otherwise(x)
+        held = F.least(F.greatest(raised, F.lit(start).cast("long")), F.lit(end).cast("long"))
+        return F.concat(xs, F.array(F.when(F.size(xs) == 0, held).otherwise(F.greatest(held, last))))
+
+    steps = F.sequence(F.lit(0), F.lit(n - 1)) if n > 0 else F.array().cast("array<int>")
+    grid = F.aggregate(steps, F.array().cast("array<bigint>"), add) if n != 1 else F.array(F.lit(start).cast("long"))
+    return spark.range(1).select(F.posexplode(grid).alias("i", "x"))
+
+
+def split_parts(df: DataFrame, id_col: str, train: float = 0.7, validation: float = 0.15) -> DataFrame:
+    """The rows with a column `part` (train, validation, test), by hash of the id: the same at every run and in every order."""
+    share = F.conv(F.substring(F.md5(F.col(id_col).cast("string").cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    return df.withColumn("part", F.when(share < train, F.lit("train")).when(share < train + validation, F.lit("validation")).otherwise(F.lit("test")))
+
+
+def log_target(c: Column) -> Column:
+    """ln(1 + x) of a target, negative values taken as 0."""
+    return F.log1p(F.greatest(c.cast("double"), F.lit(0.0)))
+
+
+def from_log_target(c: Column) -> Column:
+    """What log_target came from, never below 0."""
+    return F.greatest(F.expm1(c), F.lit(0.0))
+
+
+def principal_axes(df: DataFrame, vector_col: str, k: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """(axes, shares of variance): the k main axes of the vectors of one length, each with its largest component positive.
+
+    One aggregation sums vectors and their products by dimension, so the driver gets a matrix of the vectors' length.
+    Vectors that are null or hold null or non-finite components are left out.
+    """
+    usable = df.filter(F.col(vector_col).isNotNull() & F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))))
+    pairs = usable.select(F.posexplode(F.col(vector_col).cast("array<double>")).alias("i", "x"), F.col(vector_col).cast("array<double>").alias("v"))
+    sums = pairs.select("i", "x", F.posexplode("v").alias("j", "y")).groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum("x").alias("x"), F.count("*").alias("n")).collect()
+    if not sums:
+        return np.zeros((k, 0)), np.zeros(k)
+    d = 1 + max(r["i"] for r in sums)
+    xy, mean = np.zeros((d, d)), np.zeros(d)
+    for r in sums:
+        xy[r["i"], r["j"]], mean[r["i"]] = r["xy"] / r["n"], r["x"] / r["n"]
+    values, axes = np.linalg.eigh(xy - np.outer(mean, mean))
+    axes = axes[:, ::-1][:, :k].T
+    axes *= np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(1)])[:, None]
+    return axes, np.maximum(values[::-1][:k], 0) / max(float(np.maximum(values, 0).sum()), 1e-300)
+
+
+def project(df: DataFrame, vector_col: str, axes: np.ndarray, names: tuple = ("x", "y")) -> DataFrame:
+    """The rows with one column an axis: the product of vector and axis, null where the vector is."""
+    v = F.col(vector_col).cast("array<double>")
+    dot = lambda a: F.aggregate(F.zip_with(v, F.array(*map(F.lit, a.tolist())), lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
+    return df.withColumns({name: dot(a) for name, a in zip(names, axes, strict=True)})

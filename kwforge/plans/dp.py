@@ -1,71 +1,77 @@
-"""Which inner nodes of a binary tree to keep: a small dynamic programme over node metadata on the driver.
+"""Which inner nodes of a binary tree to keep: dynamic programming over node tables, one join and one minimum a level.
 
-A node's table says, for every number k of branches that it may hand to its parent, the least cost of its subtree. A
-node that is broken hands up its children's branches; a node that is kept hands up one. The tree has far fewer nodes
-than the collection has objects; the loop is iterative, so depth is no limit.
+A node's rows say, for every number k of branches that it may hand to its parent, the least cost of its subtree, how
+often these branches are visited, and which numbers of its two children's branches that takes. A node that is broken
+hands up its children's branches; a node that is kept hands up one. The rows of a level come from joining the rows of
+the two children on their parent; the pairs are weighed in SQL and the minimum is taken by (node, k), so no task holds
+more of a node than its partial sums. A node has at most as many rows as it has leaves below it.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from kwforge.functions.cost import CostModel
+from kwforge.sources.shared import cut
 
 
-@dataclass
-class Node:
-    """Statistics of one node: keywords, queries, sum of (query length - 1), and the cost of a leaf."""
+def kept_cost(branches: Column, visits: Column, model: CostModel) -> Column:
+    """Cost of a kept inner node (omega, queries, sum_len) with so many branches, which are visited so often."""
+    c = F.col
+    bits = c("omega") * branches + F.lit(32) * c("omega") + F.lit(32) * branches
+    ns = F.lit(model.epsilon) * c("queries") + F.lit(model.alpha) * c("sum_len") * branches + F.lit(model.beta) * branches + F.lit(model.gamma) * visits
+    return (F.lit(model.storage_weight) * bits + F.lit(model.query_weight) * ns).cast("double")
 
-    omega: int = 0
-    queries: int = 0
-    sum_len: int = 0
-    cost: float = 0.0
-    children: tuple = ()
-    ct: dict = field(default_factory=dict)
-    ws: dict = field(default_factory=dict)
-    pick: dict = field(default_factory=dict)
 
+def solve(nodes: DataFrame, edges: DataFrame, model: CostModel) -> DataFrame:
+    """(node_id, k, cost, visits, l, r) for every node: k branches at this cost, from l and r branches of its children.
 
-def kept_cost(node: Node, branches: int, visits: int, model: CostModel) -> float:
-    """Cost of keeping a node with so many branches, whose branches are visited so often."""
-    bits = node.omega * branches + 32 * node.omega + 32 * branches
-    ns = model.epsilon * node.queries + model.alpha * node.sum_len * branches + model.beta * branches + model.gamma * visits
-    return model.storage_weight * bits + model.query_weight * ns
+    nodes: node_id, depth, omega, queries, sum_len, cost (of a leaf). edges: parent, child_pos (0 or 1), child. Ties go to
+    the smaller l, then the smaller r. A leaf has one row, with l and r 0.
+    """
+    inner = nodes.join(edges.select(F.col("parent").alias("node_id")).distinct(), "node_id", "left_semi")
+    leaves = nodes.join(inner.select("node_id"), "node_id", "left_anti")
+    columns = ("node_id", "k", "cost", "visits", "l", "r")
+    solved = leaves.select("node_id", F.lit(1).alias("k"), F.col("cost").cast("double").alias("cost"), F.col("queries").cast("long").alias("visits"), F.lit(0).alias("l"), F.lit(0).alias("r"))
+    solved = cut(solved, "solved")
+    depth = inner.agg(F.max("depth")).first()[0]
+    while depth is not None and depth >= 0:
+        level = inner.filter(F.col("depth") == depth).select("node_id", "omega", "queries", "sum_len")
+        below = solved.join(edges, F.col("node_id") == F.col("child")).select("parent", "child_pos", "k", "cost", "visits")
+        side = lambda pos, k: below.filter(F.col("child_pos") == pos).select(F.col("parent").alias("node_id"), F.col("k").alias(k), F.col("cost").alias(f"{k}_cost"), F.col("visits").alias(f"{k}_visits"))  # noqa: B023, E731
+        pairs = level.join(side(0, "l"), "node_id").join(side(1, "r"), "node_id")
+        total, visits, branches = F.col("l_cost") + F.col("r_cost"), F.col("l_visits") + F.col("r_visits"), F.col("l") + F.col("r")
+        broken = F.struct(total.alias("cost"), "l", "r", visits.alias("visits"), branches.alias("k"))
+        kept = F.struct((total + kept_cost(branches, visits, model)).alias("cost"), "l", "r", F.col("queries").cast("long").alias("visits"), F.lit(1).alias("k"))
+        ways = pairs.select("node_id", F.explode(F.array(broken, kept)).alias("w"))
+        best = ways.groupBy("node_id", F.col("w.k").alias("k")).agg(F.min(F.struct("w.cost", "w.l", "w.r", "w.visits")).alias("b"))
+        solved = solved.unionByName(cut(best.select("node_id", "k", "b.cost", "b.visits", "b.l", "b.r"), "solved"))
+        depth -= 1
+    return solved.select(*columns)
 
 
-def solve(nodes: dict, root, model: CostModel) -> None:
-    """Fill ct (cost), ws (visits) and pick (left, right) of every node, children before parents."""
-    order, stack = [], [root]
-    while stack:
-        order.append(n := stack.pop())
-        stack += nodes[n].children
-    for name in reversed(order):
-        n = nodes[name]
-        if not n.children:
-            n.ct, n.ws = {1: n.cost}, {1: n.queries}
-            continue
-        a, b = (nodes[c] for c in n.children)
-        for i in sorted(a.ct):
-            for j in sorted(b.ct):
-                cost, ws = a.ct[i] + b.ct[j], a.ws[i] + b.ws[j]
-                if cost < n.ct.get(i + j, float("inf")):
-                    n.ct[i + j], n.ws[i + j], n.pick[i + j] = cost, ws, (i, j)
-        best = min(((n.ct[k] + kept_cost(n, k, n.ws[k], model), k) for k in sorted(n.ct)), key=lambda x: x[0])
-        n.pick[1], n.ct[1], n.ws[1] = n.pick[best[1]], best[0], n.queries
+def materialize(solved: DataFrame, edges: DataFrame, root: int) -> DataFrame:
+    """(parent, child_pos, child) of the tree in which the root is kept and every other node kept or broken as solved.
 
-
-def materialize(nodes: dict, root) -> list[tuple]:
-    """(parent, child_pos, child) of the tree in which the root is kept and every other node kept or broken as solved."""
-    edges, kept = [], [root]
-    while kept:
-        parent = kept.pop()
-        out, todo = [], list(zip(nodes[parent].children, nodes[parent].pick.get(1, ()), strict=True))[::-1]
-        while todo:
-            name, k = todo.pop()
-            if k == 1:
-                out.append(name)
-            else:
-                todo += list(zip(nodes[name].children, nodes[name].pick[k], strict=True))[::-1]
-        edges += [(parent, i, c) for i, c in enumerate(out)]
-        kept += [c for c in reversed(out) if nodes[c].children]
-    return edges
+    Goes down level by level. A row of the front is a node with the number of branches that it hands up, the kept node
+    above it, and its place among that node's branches.
+    """
+    spark = edges.sparkSession
+    children = edges.groupBy("parent").agg(F.max(F.when(F.col("child_pos") == 0, F.col("child"))).alias("a"), F.max(F.when(F.col("child_pos") == 1, F.col("child"))).alias("b"))
+    picks = solved.select("node_id", "k", "l", "r")
+    front = spark.createDataFrame([(root, 1, None, 0)], "node_id long, k int, above long, place int")
+    out = spark.createDataFrame([], "parent long, child_pos int, child long")
+    while True:
+        # a node that hands up one branch is kept (or a leaf) and hangs below; its own branches start anew
+        out = out.unionByName(front.filter((F.col("k") == 1) & F.col("above").isNotNull()).select(F.col("above").alias("parent"), F.col("place").alias("child_pos"), F.col("node_id").alias("child")))
+        down = front.join(picks, ["node_id", "k"]).join(children, F.col("node_id") == F.col("parent"))
+        kept = F.col("k") == 1
+        above, first = F.when(kept, F.col("node_id")).otherwise(F.col("above")), F.when(kept, F.lit(0)).otherwise(F.col("place"))
+        each = F.array(
+            F.struct(F.col("a").alias("node_id"), F.col("l").alias("k"), above.alias("above"), first.alias("place")),
+            F.struct(F.col("b").alias("node_id"), F.col("r").alias("k"), above.alias("above"), (first + F.col("l")).alias("place")),
+        )
+        front = cut(down.select(F.explode(each).alias("x")).select("x.*"), "front")
+        if not front.limit(1).count():
+            return cut(out, "edges")

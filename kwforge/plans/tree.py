@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kwforge.operators.search import contains_all
+from kwforge.functions.cost import CostModel
+from kwforge.operators.search import contains_all, held_pairs
+from kwforge.plans.dp import kept_cost
 
 
 def leaf_objects(objects: DataFrame, leaf: Column) -> DataFrame:
@@ -31,12 +33,24 @@ def candidate_leaves(leaf_kw: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def search(objects: DataFrame, leaf: Column, queries: DataFrame) -> DataFrame:
-    """All-keyword search that reads only candidate leaves."""
-    sided = objects.withColumn("leaf_id", leaf)
-    routed = queries.join(candidate_leaves(leaf_keywords(objects, leaf), queries), "query_id")
-    q = queries.groupBy("query_id").agg(F.count("*").alias("q"))
-    met = sided.join(routed, ["leaf_id", "kw"]).groupBy("query_id", "obj_id").agg(F.count("*").alias("m"))
-    return met.join(q, "query_id").filter("m = q").select("query_id", "obj_id")
+    """All-keyword search that reads only candidate leaves; the objects themselves are read once."""
+    return search_leaves(held_pairs(objects.withColumn("leaf_id", leaf), queries), queries)
+
+
+def search_leaves(sided: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, obj_id) from (leaf_id, obj_id, kw): a leaf that lacks a keyword of a query is never looked into.
+
+    In a candidate leaf, a query enters at the keyword that the fewest of the leaf's objects hold.
+    """
+    df = sided.groupBy("leaf_id", "kw").agg(F.count("*").alias("df"))
+    size = queries.groupBy("query_id").agg(F.count("*").alias("q"))
+    sorted_kws = F.array_sort(F.collect_list(F.struct("df", "kw")))
+    routed = df.join(queries, "kw").groupBy("leaf_id", "query_id").agg(sorted_kws.alias("k")).join(size, "query_id").filter(F.size("k") == F.col("q"))
+    entry = routed.select("query_id", "leaf_id", F.col("k")[0]["kw"].alias("kw"), F.transform(F.slice("k", F.lit(2), F.size("k")), lambda x: x["kw"]).alias("rest"))
+    candidates = sided.join(entry, ["leaf_id", "kw"]).select("query_id", "obj_id", "rest")
+    needed = candidates.select("query_id", "obj_id", F.size("rest").alias("q"), F.explode("rest").alias("kw"))
+    found = needed.join(sided.select("obj_id", "kw"), ["obj_id", "kw"]).groupBy("query_id", "obj_id", "q").agg(F.count("*").alias("m"))
+    return found.filter("m = q").select("query_id", "obj_id").unionByName(candidates.filter(F.size("rest") == 0).select("query_id", "obj_id"))
 
 
 def subtree_keywords(edges: DataFrame, leaf_kw: DataFrame, depth: int) -> DataFrame:
@@ -87,3 +101,16 @@ def index_bits(leaf: DataFrame, inner: DataFrame) -> DataFrame:
     b = inner.agg(F.sum(F.expr("omega * c + 32 * omega + 32 * c")).cast("long").alias("inner_bits"), F.count("*").alias("n_inner"))
     both = a.join(b).na.fill(0)
     return both.select("n_leaves", "n_inner", "leaf_bits", "inner_bits", F.expr("leaf_bits + inner_bits").alias("total_bits"), F.expr("(leaf_bits + inner_bits + 7) div 8").alias("total_bytes"))
+
+
+def cost_of(nodes: DataFrame, edges: DataFrame, model: CostModel) -> DataFrame:
+    """(cost, n_leaves, n_inner) of a tree: leaves at their own cost, inner nodes by their branches and the visits of these.
+
+    nodes: node_id, omega, queries, sum_len, cost (of the node as a leaf). Nodes that edges don't name are left out.
+    """
+    there = edges.select(F.explode(F.array("parent", "child")).alias("node_id")).distinct()
+    met = edges.join(nodes.select(F.col("node_id").alias("child"), "queries"), "child").groupBy(F.col("parent").alias("node_id")).agg(F.count("*").alias("branches"), F.sum("queries").alias("visits"))
+    each = nodes.join(there, "node_id").join(met, "node_id", "left")
+    leaf = F.col("branches").isNull()
+    cost = F.when(leaf, F.col("cost")).otherwise(kept_cost(F.col("branches"), F.col("visits"), model))
+    return each.agg(F.sum(cost).alias("cost"), F.count_if(leaf).alias("n_leaves"), F.count_if(~leaf).alias("n_inner"))

@@ -6,16 +6,19 @@ two inner nodes and a root, so that their answers have a closed form.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kwforge.functions.cost import BOTH
+from kwforge.functions.cost import BOTH, CostModel
 from kwforge.functions.text import TOKENIZERS
 from kwforge.operators import bitmaps, graph, keywords, routing, search
-from kwforge.plans import calibrate, tree
+from kwforge.plans import build, calibrate, dp, tree
+from kwforge.sources import readers
+from kwforge.sources.shared import cut, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -37,22 +40,27 @@ def _table(s: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _ow(s, d):
-    return keywords.keyword_pairs(_table(s, d, "documents"), "doc_id", "text")
+    return keywords.keyword_pairs(_table(s, d, "documents"), "doc_id", "text", unique_ids=True)
+
+
+def _ow_once(s, d):
+    """The pairs of all documents, tokenised once and written, for queries that read them more than once."""
+    return cut(_ow(s, d), "pairs")
 
 
 def _qw(s, d):
-    return keywords.keyword_pairs(_table(s, d, "benchmark"), "item_id", "text", "query_id")
+    return keywords.keyword_pairs(_table(s, d, "benchmark"), "item_id", "text", "query_id", unique_ids=True)
 
 
 def _pw(s, d):
-    return keywords.keyword_pairs(_table(s, d, "part"), "p_partkey", F.concat_ws(" ", "p_name", "p_brand", "p_type"))
+    return keywords.keyword_pairs(_table(s, d, "part"), "p_partkey", F.concat_ws(" ", "p_name", "p_brand", "p_type"), unique_ids=True)
 
 
 def _names(s, d):
     """Distinct part names as queries, numbered by name."""
     named = _table(s, d, "part").select("p_name").distinct()
     ids = keywords.vocabulary(named.select(F.col("p_name").alias("kw")))
-    return keywords.keyword_pairs(ids, "kw_id", "kw", "query_id")
+    return keywords.keyword_pairs(ids, "kw_id", "kw", "query_id", unique_ids=True)
 
 
 def _hits(s, d):
@@ -68,8 +76,9 @@ def _edges(s):
     return s.createDataFrame(rows, "parent long, child_pos int, child long")
 
 
-def _node_kw(s, d):
-    return tree.subtree_keywords(_edges(s), tree.leaf_keywords(_ow(s, d), _leaf()), 2)
+def _node_kw(s, d, ow=None):
+    leaf_kw = tree.leaf_keywords(_ow(s, d) if ow is None else ow, _leaf())
+    return tree.subtree_keywords(_edges(s), cut(leaf_kw, "leaf-keywords"), 2)
 
 
 def _samples(s, d):
@@ -121,7 +130,7 @@ def postings(s, d):
 
 @query(f"WITH {_OW}, {_VOCAB} SELECT obj_id, kw_id FROM ow JOIN vocab USING (kw)")
 def object_keywords(s, d):
-    ow = _ow(s, d)
+    ow = _ow_once(s, d)
     return ow.join(keywords.vocabulary(ow), "kw").select("obj_id", "kw_id")
 
 
@@ -254,7 +263,7 @@ def remaining_objects(s, d):
 
 @query(f"WITH {_OW}, {_VOCAB} SELECT kw_id, obj_id // 32 AS word_idx, bit_or(1::BIGINT << (obj_id % 32)::INT) AS word FROM ow JOIN vocab USING (kw) GROUP BY ALL")
 def bitmap_words(s, d):
-    ow = _ow(s, d)
+    ow = _ow_once(s, d)
     return bitmaps.encode(ow.join(keywords.vocabulary(ow), "kw"), ["kw_id"], "obj_id")
 
 
@@ -271,7 +280,7 @@ def bitmap_search(s, d):
 
 @query(f"WITH {_OW}, {_EDGES}, lo AS (SELECT obj_id % 8 AS leaf_id, obj_id, row_number() OVER (PARTITION BY obj_id % 8 ORDER BY obj_id) - 1 AS pos FROM (SELECT DISTINCT obj_id FROM ow)) SELECT leaf_id, kw, pos // 32 AS word_idx, bit_or(1::BIGINT << (pos % 32)::INT) AS word FROM ow JOIN lo USING (obj_id) GROUP BY ALL")
 def leaf_bitmaps(s, d):
-    ow = _ow(s, d)
+    ow = _ow_once(s, d)
     return bitmaps.encode(ow.join(tree.leaf_objects(ow, _leaf()), "obj_id"), ["leaf_id", "kw"], "pos")
 
 
@@ -286,9 +295,9 @@ def internal_child_masks(s, d):
 _SIDES = "sides AS (SELECT kw, bit_or(2 - quality) AS bits FROM ow JOIN labels ON doc_id = obj_id WHERE quality IS NOT NULL GROUP BY kw)"
 
 
-def _sided(s, d):
+def _sided(s, d, ow=None):
     lab = _table(s, d, "labels").select(F.col("doc_id").alias("obj_id"), (F.lit(2) - F.col("quality")).alias("label_side"))
-    return _ow(s, d).join(lab, "obj_id")
+    return (_ow(s, d) if ow is None else ow).join(lab, "obj_id")
 
 
 @query(f"WITH {_OW}, {_SIDES} SELECT kw, bits FROM sides")
@@ -314,8 +323,9 @@ round(CAST(0.106 AS DOUBLE) * coalesce(sum_q, 0) + CAST(1.749 AS DOUBLE) * coale
 round(CAST(380.17 AS DOUBLE) * coalesce(n, 0) + (o + 1) * (CAST(0.106 AS DOUBLE) * coalesce(sq, 0)) + CAST(1.749 AS DOUBLE) * coalesce(nh, 0), 6) AS delta_new
 FROM ids CROSS JOIN st LEFT JOIN sq USING (side) LEFT JOIN dw USING (obj_id, side) LEFT JOIN hi USING (obj_id, side) LEFT JOIN oq USING (obj_id, side)""")
 def assign_delta_cost(s, d):
-    new = _ow(s, d).join(_table(s, d, "labels").select(F.col("doc_id").alias("obj_id")), "obj_id", "left_anti")
-    out = routing.single_step_deltas(_sided(s, d), F.col("label_side"), _qw(s, d), new, BOTH.alpha, BOTH.beta, BOTH.gamma, BOTH.epsilon)
+    ow = _ow_once(s, d)
+    new = ow.join(_table(s, d, "labels").select(F.col("doc_id").alias("obj_id")), "obj_id", "left_anti")
+    out = routing.single_step_deltas(_sided(s, d, ow), F.col("label_side"), _qw(s, d), new, BOTH.alpha, BOTH.beta, BOTH.gamma, BOTH.epsilon)
     return out.select("obj_id", "side", F.col("delta_storage").cast("long").alias("delta_storage"), F.round("delta_existing", 6).alias("delta_existing"), F.round("delta_new", 6).alias("delta_new"))
 
 
@@ -332,7 +342,7 @@ def _jaccard(s, d):
 
 
 def _graph(s, d):
-    return graph.top_neighbours(graph.combine(_jaccard(s, d), graph.jaccard(_hits(s, d), "query_id", "obj_id"), 0.5, 0.5), 20)
+    return graph.top_neighbours(graph.combine(_jaccard(s, d), graph.jaccard(cut(_hits(s, d), "hits"), "query_id", "obj_id"), 0.5, 0.5), 20)
 
 
 @query(f"WITH {_QW}, {_OVER} SELECT src, dst, shared FROM ov")
@@ -355,7 +365,7 @@ _NH = f"{_PW}, {_NW}, " + _HITS.replace("FROM ow JOIN qw", "FROM pw JOIN nw").re
 
 @query(f"WITH {_NH} SELECT src, dst, round(weight, 6) AS weight FROM jh")
 def hit_jaccard(s, d):
-    hits = search.contains_all(_pw(s, d), _names(s, d))
+    hits = cut(search.contains_all(_pw(s, d), _names(s, d)), "hits")
     return graph.jaccard(hits, "query_id", "obj_id").select("src", "dst", F.round("weight", 6).alias("weight"))
 
 
@@ -384,10 +394,17 @@ def graph_smoothing(s, d):
 # --- node statistics, cost, sizes
 
 
+def _sizes(ow):
+    """(leaf_id, o, omega): two plain counts of distinct pairs; both at once would expand every row twice."""
+    sided = ow.withColumn("leaf_id", _leaf())
+    o = sided.select("leaf_id", "obj_id").distinct().groupBy("leaf_id").agg(F.count("*").alias("o"))
+    return o.join(sided.select("leaf_id", "kw").distinct().groupBy("leaf_id").agg(F.count("*").alias("omega")), "leaf_id")
+
+
 def _node_stats(s, d):
     """(leaf_id, o, omega, w, sum_len, r) of the eight leaves."""
-    ow, qw = _ow(s, d), _qw(s, d)
-    base = ow.withColumn("leaf_id", _leaf()).groupBy("leaf_id").agg(F.count_distinct("obj_id").alias("o"), F.count_distinct("kw").alias("omega"))
+    ow, qw = _ow_once(s, d), _qw(s, d)
+    base = _sizes(ow)
     q = keywords.lengths(qw, "query_id", "q")
     load = tree.candidate_leaves(tree.leaf_keywords(ow, _leaf()), qw).join(q, "query_id").groupBy("leaf_id").agg(F.count("*").alias("w"), F.sum(F.col("q") - 1).alias("sum_len"))
     hits = search.contains_all(ow, qw).withColumn("leaf_id", _leaf()).groupBy("leaf_id").agg(F.count("*").alias("r"))
@@ -419,13 +436,12 @@ def workload_totals(s, d):
 
 @query(f"WITH {_OW} SELECT obj_id % 8 AS leaf_id, CAST(count(DISTINCT kw) * count(DISTINCT obj_id) + 32 * count(DISTINCT kw) + 32 * count(DISTINCT obj_id) AS BIGINT) AS bits FROM ow GROUP BY ALL")
 def storage_cost(s, d):
-    g = _ow(s, d).withColumn("leaf_id", _leaf()).groupBy("leaf_id").agg(F.count_distinct("obj_id").alias("o"), F.count_distinct("kw").alias("omega"))
-    return g.select("leaf_id", BOTH.storage(F.col("o"), F.col("omega")).cast("long").alias("bits"))
+    return _sizes(_ow_once(s, d)).select("leaf_id", BOTH.storage(F.col("o"), F.col("omega")).cast("long").alias("bits"))
 
 
 @query(f"{_DQ} SELECT query_id, round(CAST(380.17 AS DOUBLE) + CAST(0.106 AS DOUBLE) * (q - 1) * (SELECT count(DISTINCT obj_id) FROM ow) + CAST(1.749 AS DOUBLE) * n, 6) AS ns FROM (SELECT ql.query_id, q, count(obj_id) AS n FROM ql LEFT JOIN hits USING (query_id) GROUP BY ALL)")
 def query_cost(s, d):
-    ow, qw = _ow(s, d), _qw(s, d)
+    ow, qw = _ow_once(s, d), _qw(s, d)
     sizes = search.result_sizes(search.contains_all(ow, qw), qw).join(keywords.lengths(qw, "query_id", "q"), "query_id")
     total = ow.agg(F.count_distinct("obj_id").alias("o"))
     return sizes.join(F.broadcast(total)).select("query_id", F.round(BOTH.query(F.col("o"), F.col("q"), F.col("n_results")), 6).alias("ns"))
@@ -433,7 +449,7 @@ def query_cost(s, d):
 
 @query(f"{_DQ}, o AS (SELECT count(DISTINCT obj_id) AS o, count(DISTINCT kw) AS omega FROM ow) SELECT CAST(omega * o + 32 * omega + 32 * o AS BIGINT) AS storage_bits, round(CAST(380.17 AS DOUBLE) * w + CAST(0.106 AS DOUBLE) * sq * o + CAST(1.749 AS DOUBLE) * r, 4) AS query_ns FROM o, (SELECT count(*) AS w, sum(q - 1) AS sq FROM ql), (SELECT count(*) AS r FROM hits)")
 def root_cost(s, d):
-    ow, qw = _ow(s, d), _qw(s, d)
+    ow, qw = _ow_once(s, d), _qw(s, d)
     o = ow.agg(F.count_distinct("obj_id").alias("o"), F.count_distinct("kw").alias("omega"))
     w = keywords.lengths(qw, "query_id", "q").agg(F.count("*").alias("w"), F.sum(F.col("q") - 1).alias("sq"))
     r = search.contains_all(ow, qw).agg(F.count("*").alias("r"))
@@ -468,8 +484,9 @@ def soft_keyword_mass(s, d):
 
 @query(f"WITH {_OW}, {_NODES}, lf AS (SELECT obj_id % 8 AS n, count(DISTINCT obj_id) AS o, count(DISTINCT kw) AS omega FROM ow GROUP BY ALL), inn AS (SELECT parent AS n, count(DISTINCT child) AS c, count(DISTINCT kw) AS omega FROM node_kw JOIN edges ON child = node_id GROUP BY parent), a AS (SELECT count(*) AS n_leaves, CAST(sum(omega * o + 32 * omega + 32 * o) AS BIGINT) AS leaf_bits FROM lf), b AS (SELECT count(*) AS n_inner, CAST(sum(omega * c + 32 * omega + 32 * c) AS BIGINT) AS inner_bits FROM inn) SELECT *, leaf_bits + inner_bits AS total_bits, (leaf_bits + inner_bits + 7) // 8 AS total_bytes FROM a, b")
 def index_size_breakdown(s, d):
-    leaf = _ow(s, d).withColumn("leaf_id", _leaf()).groupBy("leaf_id").agg(F.count_distinct("obj_id").alias("o"), F.count_distinct("kw").alias("omega"))
-    met = _node_kw(s, d).join(_edges(s), F.col("node_id") == F.col("child"))
+    ow = _ow_once(s, d)
+    leaf = _sizes(ow)
+    met = _node_kw(s, d, ow).join(_edges(s), F.col("node_id") == F.col("child"))
     return tree.index_bits(leaf, met.groupBy("parent").agg(F.count_distinct("child").alias("c"), F.count_distinct("kw").alias("omega")))
 
 
@@ -481,7 +498,7 @@ def baseline_index_size(s, d):
 
 @query(f"WITH {_OW}, o AS (SELECT count(DISTINCT obj_id) AS n, count(DISTINCT kw) AS v FROM ow), t AS (SELECT CAST(sum(strlen(kw)) AS BIGINT) AS vocab_bytes FROM (SELECT DISTINCT kw FROM ow)) SELECT CAST(v * ((n + 7) // 8) AS BIGINT) AS packed_bytes, CAST(v * ((n + 63) // 64) * 8 AS BIGINT) AS word_bytes, vocab_bytes FROM o, t")
 def bitmap_storage_estimate(s, d):
-    ow = _ow(s, d)
+    ow = _ow_once(s, d)
     o = ow.agg(F.count_distinct("obj_id").alias("n"), F.count_distinct("kw").alias("v"))
     t = ow.select("kw").distinct().agg(F.sum(F.octet_length("kw")).cast("long").alias("vocab_bytes"))
     return o.join(t).select(F.expr("v * ((n + 7) div 8)").alias("packed_bytes"), F.expr("v * ((n + 63) div 64) * 8").alias("word_bytes"), "vocab_bytes")
@@ -489,8 +506,9 @@ def bitmap_storage_estimate(s, d):
 
 @query(f"WITH {_OW}, {_NODES}, k AS (SELECT node_id, count(*) AS n_keywords FROM node_kw GROUP BY node_id) SELECT node_id, CAST(CASE WHEN node_id < 8 THEN 2 WHEN node_id < 10 THEN 1 ELSE 0 END AS INTEGER) AS depth, n_keywords, coalesce(o, 0) AS n_objects, coalesce(c, 0) AS n_children FROM k LEFT JOIN (SELECT obj_id % 8 AS node_id, count(DISTINCT obj_id) AS o FROM ow GROUP BY ALL) USING (node_id) LEFT JOIN (SELECT parent AS node_id, count(*) AS c FROM edges GROUP BY ALL) USING (node_id)")
 def tree_summary(s, d):
-    k = _node_kw(s, d).groupBy("node_id").agg(F.count("*").alias("n_keywords"))
-    o = _ow(s, d).groupBy(_leaf().alias("node_id")).agg(F.count_distinct("obj_id").alias("n_objects"))
+    ow = _ow_once(s, d)
+    k = _node_kw(s, d, ow).groupBy("node_id").agg(F.count("*").alias("n_keywords"))
+    o = ow.groupBy(_leaf().alias("node_id")).agg(F.count_distinct("obj_id").alias("n_objects"))
     c = _edges(s).groupBy(F.col("parent").alias("node_id")).agg(F.count("*").alias("n_children"))
     depth = F.when(F.col("node_id") < LEAVES, F.lit(2)).when(F.col("node_id") < ROOT, F.lit(1)).otherwise(F.lit(0))
     return k.join(o, "node_id", "left").join(c, "node_id", "left").na.fill(0).withColumn("depth", depth)
@@ -512,9 +530,167 @@ def subtree_keywords(s, d):
     return _node_kw(s, d)
 
 
+# --- the life of a tree: built, stored, searched, thinned out
+
+
+def _built(s, d, depth=2):
+    """(objects, queries, leaves, edges) of a tree over all documents, split by 2-means on samples."""
+    ow, qw = _ow_once(s, d), cut(_qw(s, d), "queries")
+    leaves, edges = build.build(ow, qw, CostModel(), max_depth=depth)
+    return ow, qw, cut(leaves, "leaves"), build.edge_table(s, edges)
+
+
+def _stored(s, d):
+    """The built tree after it was saved and loaded again."""
+    ow, qw, leaves, edges = _built(s, d)
+    leaf_kw = cut(ow.join(leaves, "obj_id"), "sided")
+    node_kw = tree.subtree_keywords(edges, leaf_kw.select("leaf_id", "kw").distinct(), 2)
+    path = f"{shared_dir(s)}/kwforge/{s.sparkContext.applicationId}/tree-{uuid.uuid4().hex}"
+    readers.save_tree(path, edges, leaf_kw, node_kw)
+    return qw, *readers.load_tree(s, path)
+
+
+@query(f"WITH {_OW} SELECT obj_id, count(DISTINCT kw) AS n_keywords, CAST(1 AS BIGINT) AS n_leaves FROM ow GROUP BY obj_id")
+def built_leaves(s, d):
+    """Every object lies in one leaf of the built tree, with all its keywords."""
+    _, _, leaves, _ = _stored(s, d)
+    return leaves.groupBy("obj_id").agg(F.count("*").alias("n_keywords"), F.count_distinct("leaf_id").alias("n_leaves"))
+
+
+@query(f"{_DQ} SELECT query_id, obj_id FROM hits")
+def built_tree_search(s, d):
+    """Search over the built, saved and loaded tree; only the folders of candidate leaves hold answers."""
+    qw, _, leaves, _ = _stored(s, d)
+    return tree.search_leaves(search.held_pairs(leaves, qw), qw)
+
+
+@query("SELECT CAST(0 AS BIGINT) AS missing_children, CAST(0 AS BIGINT) AS shared_children, CAST(0 AS BIGINT) AS root_parents, CAST(0 AS BIGINT) AS orphans")
+def built_tree_integrity(s, d):
+    _, edges, leaves, _ = _stored(s, d)
+    return tree.integrity(edges, leaves.select("leaf_id", "obj_id").distinct(), 1)
+
+
+# a binary tree of eight leaves with the statistics of the documents, so that the node removal has an answer in SQL
+_BINARY = [(8 + n // 2, n % 2, n) for n in range(8)] + [(12 + n // 2, n % 2, 8 + n) for n in range(4)] + [(14, n, 12 + n) for n in range(2)]
+
+
+def _binary_nodes(s, d):
+    """(nodes as in build.node_table, edges) of that tree."""
+    ow, qw = _ow_once(s, d), cut(_qw(s, d), "queries")
+    edges = build.edge_table(s, _BINARY)
+    up = F.array(F.col("leaf"), F.lit(8) + F.floor(F.col("leaf") / 2), F.lit(12) + F.floor(F.col("leaf") / 4), F.lit(14)).cast("array<bigint>")
+    members = cut(ow.select("obj_id", _leaf().alias("leaf")).distinct().select("obj_id", F.explode(up).alias("node")), "members")
+    depth = F.when(F.col("node") < 8, 3).when(F.col("node") < 12, 2).when(F.col("node") < 14, 1).otherwise(0)
+    costs = build.node_costs(members, ow, qw, BOTH, ["node"])
+    return cut(costs.select(F.col("node").alias("node_id"), depth.alias("depth"), "omega", F.col("w").alias("queries"), "sum_len", "o", "cost"), "nodes"), edges
+
+
+_BEDGES = "be AS (SELECT 8 + n // 2 AS parent, n % 2 AS child_pos, n AS child FROM range(8) t(n) UNION ALL SELECT 12 + n // 2, n % 2, 8 + n FROM range(4) t(n) UNION ALL SELECT 14, n, 12 + n FROM range(2) t(n))"
+_BSTATS = f"""{_STATS}, bm AS (SELECT leaf_id AS node_id, leaf_id FROM (SELECT DISTINCT leaf_id FROM lk) UNION ALL SELECT 8 + n // 2, n FROM range(8) t(n) UNION ALL SELECT 12 + n // 4, n FROM range(8) t(n) UNION ALL SELECT 14, n FROM range(8) t(n)),
+bk AS (SELECT DISTINCT node_id, kw FROM bm JOIN lk USING (leaf_id)), bo AS (SELECT node_id, count(*) AS omega FROM bk GROUP BY node_id), bq AS (SELECT node_id, count(*) AS queries, sum(q - 1) AS sum_len FROM (SELECT node_id, query_id, count(*) AS m FROM bk JOIN qw USING (kw) GROUP BY ALL) JOIN ql USING (query_id) WHERE m = q GROUP BY node_id),
+bs AS (SELECT node_id, omega, coalesce(queries, 0) AS queries, coalesce(sum_len, 0) AS sum_len FROM bo LEFT JOIN bq USING (node_id))"""
+_KEPT = "omega * c + 32 * omega + 32 * c + CAST(380.17 AS DOUBLE) * queries + CAST(0.106 AS DOUBLE) * sum_len * c + CAST(1.749 AS DOUBLE) * v"
+
+
+def _solved_sql():
+    """s0, s1, ... of the levels from the leaves up, and sv of all of them."""
+    parts = [f"s0 AS (SELECT leaf_id AS node_id, 1 AS k, CAST({_NODE} AS DOUBLE) AS cost, w AS visits FROM ns)"]
+    for i in (1, 2, 3):
+        parts.append(f"p{i} AS (SELECT e.parent AS node_id, a.k AS l, b.k AS r, a.cost + b.cost AS t, a.visits + b.visits AS v, a.k + b.k AS c FROM be e JOIN s{i - 1} a ON a.node_id = e.child AND e.child_pos = 0 JOIN be f ON f.parent = e.parent AND f.child_pos = 1 JOIN s{i - 1} b ON b.node_id = f.child)")
+        parts.append(f"w{i} AS (SELECT node_id, c AS k, t AS cost, v AS visits, l, r FROM p{i} UNION ALL SELECT node_id, 1, t + {_KEPT}, queries, l, r FROM p{i} JOIN bs USING (node_id))")
+        parts.append(f"s{i} AS (SELECT node_id, k, cost, visits FROM w{i} QUALIFY row_number() OVER (PARTITION BY node_id, k ORDER BY cost, l, r) = 1)")
+    return ", ".join(parts) + ", sv AS (SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3)"
+
+
+@query(f"WITH {_BSTATS}, {_BEDGES}, {_solved_sql()} SELECT node_id, CAST(k AS INTEGER) AS k, round(cost, 3) AS cost, CAST(visits AS BIGINT) AS visits FROM sv")
+def node_removal(s, d):
+    """What every node can hand to its parent: the least cost of its subtree for each number of branches."""
+    nodes, edges = _binary_nodes(s, d)
+    return dp.solve(nodes, edges, BOTH).select("node_id", "k", F.round("cost", 3).alias("cost"), "visits")
+
+
+@query(f"WITH {_BSTATS}, {_BEDGES}, {_solved_sql()}, x AS (SELECT cost FROM sv WHERE node_id = 14 AND k = 1) SELECT round(cost, 2) AS claimed, round(cost, 2) AS recounted FROM x")
+def thinned_tree_cost(s, d):
+    """The cost that the node removal claims for the root, and the same counted anew over the tree that it leaves."""
+    nodes, edges = _binary_nodes(s, d)
+    solved = dp.solve(nodes, edges, BOTH)
+    claimed = solved.filter("node_id = 14 AND k = 1").select(F.round("cost", 2).alias("claimed"))
+    return claimed.join(tree.cost_of(nodes, dp.materialize(solved, edges, 14), BOTH).select(F.round("cost", 2).alias("recounted")))
+
+
+@query(f"WITH {_BSTATS}, {_BEDGES}, i AS (SELECT node_id, 2 AS c, (SELECT sum(CASE WHEN x.child < 8 THEN coalesce(n.w, 0) ELSE coalesce(b.queries, 0) END) FROM be x LEFT JOIN ns n ON n.leaf_id = x.child LEFT JOIN bs b ON b.node_id = x.child WHERE x.parent = bs.node_id) AS v, omega, queries, sum_len FROM bs WHERE node_id >= 8) SELECT round((SELECT sum({_NODE}) FROM ns) + sum({_KEPT}), 2) AS cost, (SELECT count(*) FROM ns) AS n_leaves, count(*) AS n_inner FROM i")
+def full_tree_cost(s, d):
+    """Cost of a whole tree: leaves, and inner nodes by their branches and the visits of these."""
+    nodes, edges = _binary_nodes(s, d)
+    return tree.cost_of(nodes, edges, BOTH).select(F.round("cost", 2).alias("cost"), "n_leaves", "n_inner")
+
+
+@query(f"WITH {_OW}, {_QW}, {_NODES}, v AS (SELECT node_id, query_id FROM (SELECT node_id, query_id, count(*) AS m FROM node_kw JOIN qw USING (kw) GROUP BY ALL) JOIN ql USING (query_id) WHERE m = q), {_HITS} SELECT (SELECT count(*) FROM ql) AS n_queries, (SELECT count(*) FROM ql) + (SELECT count(*) FROM v WHERE node_id IN (8, 9)) AS inner_visits, (SELECT count(*) FROM v WHERE node_id < 8) AS leaf_visits, (SELECT count(*) FROM hits) AS total_results")
+def benchmark_totals(s, d):
+    """Visits to inner nodes and to leaves, and results, of the whole workload."""
+    ow, qw = _ow_once(s, d), cut(_qw(s, d), "queries")
+    e = _edges(s)
+    seen = tree.descend(e, cut(tree.child_masks(e, _node_kw(s, d, ow)), "masks"), qw, ROOT, 2)
+    visits = seen.agg(F.count_if(F.col("node_id") >= LEAVES).alias("inner_visits"), F.count_if(F.col("node_id") < LEAVES).alias("leaf_visits"))
+    n = qw.agg(F.count_distinct("query_id").alias("n_queries"))
+    return n.join(visits).join(search.contains_all(ow, qw).agg(F.count("*").alias("total_results")))
+
+
+_DELTAS = ORACLE_SQL["assign_delta_cost"]
+
+
+@query(f"SELECT obj_id, CAST(arg_min(side, (delta_storage, side)) AS INTEGER) AS side FROM ({_DELTAS}) GROUP BY obj_id")
+def assign_by_cost(s, d):
+    """Objects without a label go to the side that grows less by them, in one batch against the labelled objects."""
+    ow = _ow_once(s, d)
+    new = ow.join(_table(s, d, "labels").select(F.col("doc_id").alias("obj_id")), "obj_id", "left_anti")
+    seeds = _sided(s, d, ow).withColumnRenamed("label_side", "side")
+    return routing.assign_batches(seeds.filter("side IS NOT NULL"), _qw(s, d), new, CostModel(), batches=1)
+
+
 # --- sets and samples
 
 
+@query(f"WITH {_OW}, sv AS (SELECT DISTINCT kw FROM ow WHERE obj_id < 100) SELECT obj_id, kw, CASE WHEN obj_id < 100 THEN 'sample' ELSE 'rest' END AS part FROM ow SEMI JOIN sv ON sv.kw = ow.kw")
+def head_sample_split(s, d):
+    """The first objects as a sample, the others over the sample's keywords alone."""
+    ow = _ow_once(s, d)
+    head = F.col("obj_id") < 100
+    part = F.when(head, F.lit("sample")).otherwise(F.lit("rest"))
+    return ow.join(ow.filter(head).select("kw").distinct(), "kw", "left_semi").select("obj_id", "kw", part.alias("part"))
+
+
+@query(rf"""WITH {_OW}, {_VOCAB}, q AS (SELECT conv_id * 1000 + turn AS query_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[,\s;|]+'), lambda x: x <> '') AS ws FROM conversations), t AS (SELECT query_id, unnest(ws) AS kw FROM q), p AS (SELECT q.query_id, count(t.kw) AS tokens, count(v.kw_id) AS known FROM q LEFT JOIN t USING (query_id) LEFT JOIN vocab v ON v.kw = t.kw GROUP BY q.query_id)
+SELECT count(*) AS queries, count(*) FILTER (known = 0) AS skipped, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(tokens - known) AS BIGINT) AS unknown FROM p""")
+def workload_load_counts(s, d):
+    """A workload of conversation turns mapped to keyword ids: how many queries and tokens the vocabulary does not know."""
+    turns = _table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), TOKENIZERS["piped"](F.col("text")).alias("kws"))
+    return readers.workload_ids(turns, keywords.vocabulary(_ow(s, d)))[1]
+
+
+@query(f"WITH {_OW}, {_VOCAB}, {_QW}, e AS (SELECT kw, embedding FROM vocab JOIN embeddings ON vec_id = kw_id % 500), x AS (SELECT query_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM qw JOIN e USING (kw)) SELECT query_id, CAST(dim AS INTEGER) AS dim, round(avg(CAST(x AS DOUBLE)), 5) AS value FROM x GROUP BY ALL")
+def mean_keyword_vectors(s, d):
+    """The mean of the vectors of an item's keywords."""
+    vectors = keywords.vocabulary(_ow(s, d)).withColumn("vec_id", F.col("kw_id") % 500).join(_table(s, d, "embeddings"), "vec_id").select("kw", F.col("embedding").alias("vector"))
+    return keywords.mean_vectors(_qw(s, d), vectors, "query_id").select("query_id", "dim", F.round("value", 5).alias("value"))
+
+
+@query("SELECT event_id, CASE WHEN h < 0.7 * 4294967296 THEN 'train' WHEN h < 0.85 * 4294967296 THEN 'validation' ELSE 'test' END AS part FROM (SELECT event_id, CAST('0x' || md5(CAST(event_id AS VARCHAR))[1:8] AS BIGINT) AS h FROM events)")
+def sample_split(s, d):
+    return calibrate.split_parts(_table(s, d, "events").select("event_id"), "event_id")
+
+
+@query(f"WITH {_SAMPLES} SELECT event_id, round(ln(1 + greatest(ns, 0)), 6) AS target, round(greatest(exp(ln(1 + CAST(greatest(ns, 0) AS DOUBLE))) - 1, 0), 3) AS back FROM s")
+def log_targets(s, d):
+    t = calibrate.log_target(F.col("ns"))
+    return _samples(s, d).select("event_id", F.round(t, 6).alias("target"), F.round(calibrate.from_log_target(t), 3).alias("back"))
+
+
+@query("SELECT CAST(i AS INTEGER) AS i, CAST(round(10 + i * 99990.0 / 299) AS BIGINT) AS x FROM range(300) t(i)")
+def size_grid(s, d):
+    return calibrate.linear_grid(s, 10, 100_000, 300)
+
+
 @query(f"WITH {_OW}, {_QW} SELECT kw FROM ow INTERSECT SELECT kw FROM qw")
 def shared_keywords(s, d):
     return _ow(s, d).select("kw").intersect(_qw(s, d).select("kw"))
@@ -533,7 +709,7 @@ def deterministic_sample(s, d):
 
 @query(f"WITH {_OW}, a AS (SELECT count(DISTINCT obj_id) AS o, count(DISTINCT kw) AS w FROM ow), b AS (SELECT count(DISTINCT obj_id) AS o, count(DISTINCT kw) AS w FROM ow SEMI JOIN labels ON doc_id = obj_id) SELECT round(a.o / b.o, 6) AS r_objects, round(a.w / b.w, 6) AS r_keywords FROM a, b")
 def sampling_ratios(s, d):
-    ow = _ow(s, d)
+    ow = _ow_once(s, d)
     a = ow.agg(F.count_distinct("obj_id").alias("o"), F.count_distinct("kw").alias("w"))
     seen = ow.join(_table(s, d, "labels").select(F.col("doc_id").alias("obj_id")), "obj_id", "left_semi").agg(F.count_distinct("obj_id").alias("so"), F.count_distinct("kw").alias("sw"))
     return a.join(seen).select(F.round(F.col("o") / F.col("so"), 6).alias("r_objects"), F.round(F.col("w") / F.col("sw"), 6).alias("r_keywords"))
