@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import os
 import re
-import tempfile
-import uuid
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kwforge.sources.shared import cut, drop_cut, shared_dir
+
+__all__ = ["SALTS", "WORD", "components", "cut", "drop_cut", "each_salt", "mix", "salt", "salts_met", "shared_dir", "shingle_hashes", "table", "word_hashes"]
+
 #: A word: a run of characters other than ASCII white space.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -22,38 +21,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir.
+#: Parts that the rows of one key are dealt into where they meet the one row that the key has on the other side.
+SALTS = 16
 
-    Only where the session has no such setting (tests in local mode), a temporary folder is set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="kwforge-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir() or found
-    return found.rstrip("/")
 
+def salt(c: str | Column) -> Column:
+    """The part of a row, by hash of a column that tells the rows of one key apart."""
+    return F.pmod(F.xxhash64(c, F.lit(3)), F.lit(SALTS)).cast("int")
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write a result to the shared folder and read it back, which cuts its lineage.
 
-    A lost executor then costs a reread of the files, never the work before them.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kwforge/{label}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+def salts_met(part: str | Column) -> Column:
+    """An aggregate: which parts a key has rows in, as a set of bits."""
+    return F.bit_or(F.expr(f"shiftleft(1, {part})") if isinstance(part, str) else F.shiftleft(F.lit(1), part))
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Delete the files of a written table that nothing needs any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in {os.path.dirname(x) for x in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def each_salt(mask: str = "mask") -> Column:
+    """One row for each part in a set of bits. The copies of a key's row are no more than the rows that they meet."""
+    return F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.getbit(F.col(mask), i) == 1))
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -61,41 +45,28 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
 
     Minimum labels spread along links and along the labels themselves, so rounds grow with the logarithm of the
     diameter for the star-like links that the operators emit. Labels live in written tables; the driver sees one
-    count a round. Ids without a link are absent from the result. Null ends are dropped; self links are allowed.
+    count a round. The links of a hub and the ids of a component meet its label dealt into parts, as either may be a
+    large part of all. Ids without a link are absent from the result. Null ends are dropped; self links are allowed.
     """
     e = links.select(F.col(a).alias("s"), F.col(b).alias("d")).dropna()
-    e = cut(e.union(e.select(F.col("d"), F.col("s"))).distinct(), "links")
-    labels = cut(e.groupBy(F.col("s").alias("id")).agg(F.least(F.col("id"), F.min("d")).alias("component")), "labels")
+    e = cut(e.union(e.select(F.col("d"), F.col("s"))).distinct().withColumn("salt", salt("d")), "links")
+    labels = cut(e.groupBy(F.col("s").alias("id")).agg(F.least(F.col("id"), F.min("d")).alias("component"), salts_met("salt").alias("mask")), "labels")
     for _ in range(max_rounds):
-        near = (
-            e.join(labels, e.s == labels.id).groupBy(F.col("d").alias("id")).agg(F.min("component").alias("near"))
-        )
-        step = labels.join(near, "id").select("id", F.least("component", "near").alias("component"), F.col("component").alias("was"))
-        up = labels.select(F.col("id").alias("component"), F.col("component").alias("up"))
-        new = cut(
-            step.join(up, "component").select("id", F.least("component", "up").alias("component"), "was"), "labels"
-        )
+        told = labels.select(F.col("id").alias("s"), "component", each_salt().alias("salt"))
+        near = e.join(told, ["s", "salt"]).groupBy(F.col("d").alias("id")).agg(F.min("component").alias("near"))
+        step = labels.join(near, "id").select("id", "mask", F.least("component", "near").alias("component"), F.col("component").alias("was"), salt("id").alias("salt"))
+        up = step.groupBy("component").agg(salts_met("salt").alias("met")).join(labels.select(F.col("id").alias("component"), F.col("component").alias("up")), "component")
+        up = up.select("component", "up", each_salt("met").alias("salt"))
+        new = cut(step.join(up, ["component", "salt"]).select("id", "mask", F.least("component", "up").alias("component"), "was"), "labels")
         changed = new.filter(F.col("component") != F.col("was")).limit(1).count()
-        old, labels = labels, new.select("id", "component")
+        old, labels = labels, new.select("id", "component", "mask")
         drop_cut(old)
         if not changed:
             drop_cut(e)
-            return labels
+            return labels.drop("mask")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def by_batch(fn, schema: str | pa.Schema):
-    """Adapt a function from a RecordBatch to a RecordBatch or None for mapInArrow."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = fn(batch)
-            if out is not None and out.num_rows:
-                yield out
-
-    return run
-
-
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]

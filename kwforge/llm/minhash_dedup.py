@@ -33,15 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kwforge.llm.common import components, cut, drop_cut, mix, shingle_hashes, table, word_hashes
+from kwforge.llm.common import SALTS, components, cut, drop_cut, each_salt, mix, salt, salts_met, shingle_hashes, table, word_hashes
 
 BANDS, ROWS = 24, 6
 SAMPLES = BANDS * ROWS
 IDF_BUCKETS = 1 << 20
 IDF_BLOCK = 1 << 14
+#: Rows of random numbers that features share by hash: two features of one row draw alike, one pair in 65,536.
 PARAMS = 1 << 16
-#: Parts that the rows of one text are dealt into when they meet their representative.
-SALTS = 16
 
 
 def word_frequencies(texts: DataFrame, column: str) -> tuple[np.ndarray, int]:
@@ -157,13 +156,11 @@ def band_keys(sample: np.ndarray) -> np.ndarray:
 
 
 def representatives(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, rep) for every row with a text: the smallest id with an equal text, by its 256-bit hash."""
-    hashed = df.filter(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.sha2(F.col(text_col), 256).alias("h"), F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int").alias("salt")
-    )
-    least = hashed.groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("n")).filter("n > 1")
-    salted = least.select("h", "rep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return hashed.join(salted, ["h", "salt"], "left").select("id", F.coalesce("rep", "id").alias("rep"))
+    """(id, rep, text_key) for every row with an id and a text: the smallest id with an equal text, by its 256-bit hash, and 64 bits of that."""
+    hashed = df.filter(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.sha2(F.col(text_col), 256).alias("h"), salt(id_col).alias("salt"))
+    least = hashed.groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("n"), salts_met("salt").alias("mask")).filter("n > 1")
+    salted = least.select("h", "rep", each_salt().alias("salt"))
+    return hashed.join(salted, ["h", "salt"], "left").select("id", F.coalesce("rep", "id").alias("rep"), F.xxhash64("h").alias("text_key"))
 
 
 def _links(shared_blocks: list[tuple], threshold: float, other: list[tuple] | None) -> list[tuple[int, int]]:
@@ -220,7 +217,7 @@ def _links(shared_blocks: list[tuple], threshold: float, other: list[tuple] | No
 
 
 def near_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, block: int = 256, star_rounds: int = 4, seed: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(reps, links): reps (id, rep) of equal texts; links (a, b), a spanning forest of the verified near-duplicates."""
+    """(reps, links): reps (id, rep, text_key) of equal texts; links (a, b), a spanning forest of the verified near-duplicates."""
     spark = df.sparkSession
     reps = cut(representatives(df, id_col, text_col), "reps")
     own = reps.filter("id = rep").select("id").distinct()
@@ -242,9 +239,10 @@ def near_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32()), flat)], names=["id", "bands"])
 
     signed = cut(once.mapInArrow(sign, "id long, bands array<long>"), "bands")
-    flat = signed.select("id", F.explode("bands").alias("band"))
-    met = flat.join(flat.groupBy("band").agg(F.min("id").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n"), "band")
-    met = cut(met.select("id", "band", "hub"), "met")
+    # a band that very many texts share is one key: its texts meet its hub dealt into parts
+    flat = signed.select("id", F.explode("bands").alias("band"), salt("id").alias("salt"))
+    hubs = flat.groupBy("band").agg(F.min("id").alias("hub"), F.count("*").alias("n"), salts_met("salt").alias("mask")).filter("n > 1")
+    met = cut(flat.join(hubs.select("band", "hub", each_salt().alias("salt")), ["band", "salt"]).select("id", "band", "salt", "hub"), "met")
     texted = cut(texts.join(met.select("id").distinct().hint("merge"), "id"), "met-texts")
 
     # rounds of stars: each text meets one hub, first the least of its bands, later one of another class in a mixed band
@@ -260,9 +258,10 @@ def near_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
             break
         before = left
         order = F.xxhash64("id", F.lit(turn))
-        hubs = mixed.filter("class = least").groupBy("band").agg(F.min(F.struct(order.alias("o"), F.col("id").alias("hub")))["hub"].alias("hub"))
+        first = F.when(F.col("class") == F.col("least"), F.struct(order.alias("o"), F.col("id").alias("hub")))
+        hubs = mixed.groupBy("band").agg(F.min(first)["hub"].alias("hub"), F.bit_or(F.expr("if(class <> least, shiftleft(1, salt), 0)")).alias("mask"))
         one = F.min(F.struct(F.xxhash64("hub", F.lit(turn)).alias("o"), F.col("hub")))["hub"].alias("hub")
-        others = mixed.filter("class <> least").select("id", "band").join(hubs, "band").groupBy("id").agg(one)
+        others = mixed.filter("class <> least").select("id", "band", "salt").join(hubs.select("band", "hub", each_salt().alias("salt")), ["band", "salt"]).groupBy("id").agg(one)
         links = links.union(cut(_star_links(texted, others, idf, threshold, block), "near"))
         drop_cut(mixed)
     if left:
@@ -273,18 +272,19 @@ def near_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
 
 
 def _mixed_bands(met: DataFrame, classes: DataFrame) -> DataFrame:
-    """(id, band, class, least) of the bands whose texts are of two classes or more; least is the band's least class."""
-    classed = met.join(classes.withColumnRenamed("component", "class"), "id", "left").select("id", "band", F.coalesce("class", "id").alias("class"))
-    mixed = classed.groupBy("band").agg(F.min("class").alias("least"), F.max("class").alias("most")).filter("least <> most")
-    return classed.join(mixed.drop("most"), "band").select("id", "band", "class", "least")
+    """(id, band, salt, class, least) of the bands whose texts are of two classes or more; least is the band's least class."""
+    classed = met.join(classes.withColumnRenamed("component", "class"), "id", "left").select("id", "band", "salt", F.coalesce("class", "id").alias("class"))
+    mixed = classed.groupBy("band").agg(F.min("class").alias("least"), F.max("class").alias("most"), salts_met("salt").alias("mask")).filter("least <> most")
+    return classed.join(mixed.select("band", "least", each_salt().alias("salt")), ["band", "salt"]).select("id", "band", "salt", "class", "least")
 
 
 def _star_links(texted: DataFrame, pairs: DataFrame, idf, threshold: float, block: int) -> DataFrame:
     """Verified links (a, b) among pairs (id, hub). A hub's texts are dealt into groups of about `block`, its own text goes to each."""
     parts = F.ceil(F.col("n") / F.lit(block)).cast("int")
     pairs = cut(pairs, "pairs")
-    sizes = pairs.groupBy("hub").agg(F.count("*").alias("n")).select("hub", parts.alias("parts"))
-    rays = pairs.join(sizes, "hub").select("id", "hub", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    pairs = pairs.withColumn("salt", salt("id"))
+    sizes = pairs.groupBy("hub").agg(F.count("*").alias("n"), salts_met("salt").alias("mask")).select("hub", "mask", parts.alias("parts"))
+    rays = pairs.join(sizes.select("hub", "parts", each_salt().alias("salt")), ["hub", "salt"]).select("id", "hub", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
     centres = sizes.select(F.col("hub").alias("id"), "hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     dealt = texted.join(rays.union(centres).hint("merge"), "id")
 
@@ -311,22 +311,22 @@ def _block_links(texted: DataFrame, signed: DataFrame, mixed: DataFrame, idf, th
     The texts that mixed bands connect are a cluster. A small cluster is one group. In a larger one the texts of its
     largest class are dealt into blocks that meet the blocks of all other texts, but not each other.
     """
-    hubs = mixed.groupBy("band").agg(F.min("id").alias("hub"))
-    clusters = components(mixed.join(hubs, "band").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
-    member = clusters.join(mixed.select("id", "class").distinct(), "id")
-    main = member.groupBy("component", "class").agg(F.count("*").alias("n")).groupBy("component").agg(
-        F.max(F.struct("n", "class")).alias("main"), F.sum("n").alias("n")
+    hubs = mixed.groupBy("band").agg(F.min("id").alias("hub"), salts_met("salt").alias("mask")).select("band", "hub", each_salt().alias("salt"))
+    clusters = components(mixed.join(hubs, ["band", "salt"]).select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
+    member = clusters.join(mixed.select("id", "class", "salt").distinct(), "id")
+    main = member.groupBy("component", "class").agg(F.count("*").alias("n"), salts_met("salt").alias("mask")).groupBy("component").agg(
+        F.max(F.struct("n", "class")).alias("main"), F.sum("n").alias("n"), F.bit_or("mask").alias("mask")
     )
     small = F.col("n") <= block
     main_parts = F.when(small, 0).otherwise(F.ceil(F.col("main.n") / F.lit(block))).cast("int")
     rest_parts = F.when(small, 1).otherwise(F.ceil((F.col("n") - F.col("main.n")) / F.lit(block))).cast("int")
-    sized = main.select("component", F.col("main.class").alias("main"), small.alias("small"), main_parts.alias("p"), rest_parts.alias("q"))
+    sized = main.select("component", F.col("main.class").alias("main"), small.alias("small"), main_parts.alias("p"), rest_parts.alias("q"), each_salt().alias("salt"))
     of_main = ~F.col("small") & (F.col("class") == F.col("main"))
     place = F.xxhash64("id")
     mine = F.when(of_main, F.pmod(place, F.greatest("p", F.lit(1)))).otherwise(F.col("p") + F.pmod(place, F.col("q"))).cast("int")
     first = F.when(of_main, F.col("p")).otherwise(F.lit(0))
     pairs = F.transform(F.sequence(first, F.col("p") + F.col("q") - 1), lambda k: F.struct(F.least(k, F.col("mine")).alias("i"), F.greatest(k, F.col("mine")).alias("j")))
-    member = member.join(sized, "component").withColumn("mine", mine).select("id", "component", "mine", pairs.alias("pairs"))
+    member = member.join(sized, ["component", "salt"]).withColumn("mine", mine).select("id", "component", "mine", pairs.alias("pairs"))
     ready = texted.join(member.hint("merge"), "id").join(signed.hint("merge"), "id")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,7 +361,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """id, class_id (the smallest id of its class), kept (id = class_id) for every row."""
     reps, links = near_links(df, id_col, text_col, **options)
     classes = components(links)
-    rep_class = reps.join(classes.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    reps = reps.withColumn("salt", salt("id"))
+    met = reps.groupBy("rep").agg(salts_met("salt").alias("mask")).join(classes.select(F.col("id").alias("rep"), "component"), "rep")
+    rep_class = reps.join(met.select("rep", "component", each_salt().alias("salt")), ["rep", "salt"], "left")
     by_id = rep_class.groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("class_id"))
     out = df.select(F.col(id_col).alias("id")).join(by_id, "id", "left")
     cls = F.coalesce(F.col("class_id"), F.col("id"))
