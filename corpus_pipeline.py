@@ -25,10 +25,14 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, the smallest id, of every group of near-duplicates; rows without an id or a text stay."""
+    """Keep one document, the smallest id, of every group of near-duplicates; rows without an id or a text stay.
+
+    Rows of one id that has several texts stay too: an id can't say which of them is the copy.
+    """
     reps, links = minhash_dedup.near_links(docs)
     classes = minhash_dedup.components(links).filter(F.col("id") != F.col("component")).select("id")
-    gone = reps.filter(F.col("id") != F.col("rep")).select("id").union(classes).distinct()
+    several = reps.groupBy("id").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high")).filter("low <> high").select("id")
+    gone = reps.filter(F.col("id") != F.col("rep")).select("id").union(classes).distinct().join(several, "id", "left_anti")
     return docs.join(gone.hint("merge"), docs.doc_id == gone.id, "left_anti")
 
 
