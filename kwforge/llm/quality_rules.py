@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import time
 from collections.abc import Callable, Iterator, Sequence
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,23 +30,33 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 class Text:
-    """One text and its word list, split once however many rules read it."""
-
-    __slots__ = ("text", "words")
+    """One text with its word list and counts, each taken once however many rules read it."""
 
     def __init__(self, text: str | None):
         self.text = text or ""
         self.words = WORD.findall(self.text)
 
+    @cached_property
+    def symbols(self) -> int:
+        return sum(map(self.text.count, SYMBOLS))
+
+    @cached_property
+    def lines(self) -> list[str]:
+        """Lines with a word."""
+        return [x for x in self.text.split("\n") if WORD.search(x)]
+
+    @cached_property
+    def dup_lines(self) -> int:
+        return len(self.lines) - len(set(self.lines))
+
 
 def n_symbols(t: Text) -> int:
-    return sum(map(t.text.count, SYMBOLS))
+    return t.symbols
 
 
 def n_dup_lines(t: Text) -> int:
     """Lines with a word that equal an earlier line."""
-    lines = [x for x in t.text.split("\n") if WORD.search(x)]
-    return len(lines) - len(set(lines))
+    return t.dup_lines
 
 
 def n_repeat_words(t: Text, window: int = 3) -> int:
@@ -82,8 +93,7 @@ def rejects_word_length(t: Text) -> bool:
 
 def rejects_dup_lines(t: Text) -> bool:
     """More than three in ten of the lines with words repeat an earlier one."""
-    lines = sum(1 for x in t.text.split("\n") if WORD.search(x))
-    return 10 * n_dup_lines(t) > 3 * lines
+    return 10 * n_dup_lines(t) > 3 * len(t.lines)
 
 
 def rejects_few_distinct(t: Text) -> bool:
