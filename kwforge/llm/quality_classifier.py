@@ -4,8 +4,8 @@ Overlapping heuristic labellers vote on every document: good, bad, or no vote. O
 counts the vote patterns, of which there are at most 3 to the power of the labellers; expectation-maximisation over
 that bounded table estimates the class share and each labeller's accuracy, with no gold label. The posterior of a
 document's pattern is its label. A logistic scorer over hashed text features is fitted to posteriors of a bounded
-sample (`train_rows`, drawn evenly by hash of id and text over all documents) and then scores every document; the verdict
-is the scorer's.
+sample (`train_rows`, drawn evenly by hash of the text over all documents, each text once, so that copies can't
+swell it) and then scores every document; the verdict is the scorer's.
 
 Nulls: a null text is an empty one. An empty text gets a score like any other. Null ids stay null, repeated rows are
 scored row by row, extra columns are not read, and an empty table gives an empty result (no model is fitted).
@@ -41,8 +41,7 @@ def by_repeats(t: Text) -> int:
 
 
 def by_lines(t: Text) -> int:
-    lines = sum(1 for x in t.text.split("\n") if x.strip())
-    return BAD if 10 * n_dup_lines(t) > 3 * lines else NONE
+    return BAD if 10 * n_dup_lines(t) > 3 * len(t.lines) else NONE
 
 
 def by_distinct(t: Text) -> int:
@@ -180,8 +179,8 @@ def train(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", train_r
             yield pa.RecordBatch.from_arrays([pa.array([w.astype(np.float64).tobytes()], pa.binary())], names=["w"])
 
     text = F.col(text_col)
-    drawn = F.pmod(F.xxhash64(F.col(id_col), text, F.lit(seed)), F.lit(share)) == 0
-    sample = df.filter(drawn).select(text.alias("text"))
+    drawn = F.pmod(F.xxhash64(text, F.lit(seed)), F.lit(share)) == 0
+    sample = df.filter(drawn).select(text.alias("text")).distinct()
     fitted = sample.mapInArrow(labelled, "x binary, y double").repartition(1).mapInArrow(fit, "w binary").collect()
     return np.frombuffer(fitted[0]["w"], np.float64) if fitted else np.zeros(dim + 1)
 
