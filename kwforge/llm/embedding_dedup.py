@@ -11,8 +11,9 @@ pair only in the first list that both are in, so no pair is counted twice. A gro
 links: how many it has found there and one link of a spanning forest; pairs never leave a group.
 
 Nulls: a null label, a null, empty or zero vector, or one with a null or non-finite component links with nothing. Vectors
-of different lengths never link. Repeated rows (the same id) count as vectors of their own in n_links. A null id is
-dropped. An empty table gives an empty result. Extra columns are not read.
+of different lengths never link. Repeated rows (the same id) count as vectors of their own in n_links and share one
+outcome. A row with a null id links with nothing: no links, a null component, kept. An empty table gives an empty
+result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -185,8 +186,8 @@ def link(
     pivots (default: one for 64 vectors, 64 at least and 2,048 at most) bounds the sample that the index is fitted on; no two
     pivots have a cosine of `apart` or more.
     """
-    vectors = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("vector"))
-    usable = vectors.filter(F.col("vector").isNotNull() & F.col("label").isNotNull())
+    vectors = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("vector"))
+    usable = vectors.filter(F.col("id").isNotNull() & F.col("vector").isNotNull() & F.col("label").isNotNull())
     if pivots is None:
         pivots = max(64, min(2048, usable.count() // 64))
     described = cut(describe(usable, choose_pivots(usable, pivots, near, apart), near), "described")
@@ -208,7 +209,7 @@ def link(
     by_id = described.select("id", "label", "key").join(result, ["label", "key"]).groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     out = vectors.select("id").join(by_id, "id", "left")
     component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("id")).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
