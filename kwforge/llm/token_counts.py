@@ -5,7 +5,9 @@ of the old count and an insert of the new. Totals are sums, so a batch is first
 is written. Each batch is one folder named by its id: a batch that is already there is not written again, so a retried
 or repeated commit changes nothing; a batch that failed half-way has no _SUCCESS marker, is not read, and is written
 anew. Reading sums the live batches by key; `compact` folds them into one so that reading stays in proportion to the
-keys.
+keys. A compaction is written under a temporary name, with the ids that it holds beside its sums, and published by one
+rename: before it nothing has changed, after it the ids that it holds are read from it alone, whether their folders are
+still there or not. A rollup has one writer at a time.
 
 Nulls: a null text has 0 tokens; a null source or language is a key of its own. A null sign counts as an insert.
 Repeated rows count as often as they come. Keys whose documents all went keep a row of zeros until `compact` drops it.
@@ -14,9 +16,9 @@ An empty delta commits an empty batch. Extra columns are not read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,36 +84,51 @@ class Rollup:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def committed(self) -> list[str]:
-        """Ids of the batches whose write ended."""
+    def _names(self, prefix: str) -> list[str]:
         fs, p = self._fs(self.path)
         if not fs.exists(p):
             return []
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        return sorted(n[6:] for n in names if n.startswith("batch=") and fs.exists(self._fs(f"{self.path}/{n}/_SUCCESS")[1]))
+        return sorted(n.removeprefix(prefix) for n in (s.getPath().getName() for s in fs.listStatus(p)) if n.startswith(prefix))
+
+    def _delete(self, name: str) -> None:
+        fs, p = self._fs(f"{self.path}/{name}")
+        fs.delete(p, True)
+
+    def _ended(self, name: str) -> bool:
+        fs, marker = self._fs(f"{self.path}/{name}/_SUCCESS")
+        return fs.exists(marker)
+
+    def committed(self) -> list[str]:
+        """Ids of the batches whose write ended and whose folders are there."""
+
+        return [n for n in self._names("batch=") if self._ended(f"batch={n}")]
+
+    def compactions(self) -> dict[str, set[str]]:
+        """Published compactions and the ids that each holds, those of earlier compactions included."""
+        names = [n for n in self._names("compact=") if self._ended(f"compact={n}/members")]
+        if not names:
+            return {}
+        paths = [f"{self.path}/compact={n}/members" for n in names]
+        rows = self.spark.read.schema("id string, member string").parquet(*paths).collect()
+        return {n: {r["member"] for r in rows if r["id"] == n} for n in names}
 
     def commit(self, batch_id: str, delta: DataFrame) -> bool:
-        """Add a batch once. False if it was there already."""
-        if batch_id in self.committed() or batch_id in self._folded():
+        """Add a batch once. False if it was there already, also as part of a compaction."""
+        held = self.compactions()
+        if batch_id in self.committed() or batch_id in held or any(batch_id in m for m in held.values()):
             return False
         summed = delta.groupBy(*KEYS).agg(*(F.sum(c).cast("long").alias(c) for c in SUMS))
         summed.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
         return True
 
-    def _folded(self) -> dict[str, str]:
-        """Batches that a compaction took in, and the batch that holds them now."""
-        fs, p = self._fs(f"{self.path}/folded")
-        if not fs.exists(p):
-            return {}
-        return {r["batch"]: r["id"] for r in self.spark.read.schema("batch string, id string").parquet(f"{self.path}/folded").collect()}
-
     def live(self) -> list[str]:
-        """Committed batches, without those that a committed compaction holds."""
-        there, folded = set(self.committed()), self._folded()
-        return sorted(b for b in there if folded.get(b) not in there)
+        """Folders that the totals are read from: batches and compactions that no compaction holds."""
+        compactions = self.compactions()
+        held = set().union(*compactions.values())
+        return [f"batch={b}" for b in self.committed() if b not in held] + [f"compact={c}/sums" for c in compactions if c not in held]
 
     def batches(self) -> DataFrame:
-        paths = [f"{self.path}/batch={b}" for b in self.live()]
+        paths = [f"{self.path}/{b}" for b in self.live()]
         if not paths:
             return self.spark.createDataFrame([], SCHEMA)
         return self.spark.read.schema(SCHEMA).parquet(*paths)
@@ -120,18 +137,27 @@ class Rollup:
         """Current totals by key."""
         return self.batches().groupBy(*KEYS).agg(*(F.sum(c).cast("long").alias(c) for c in SUMS))
 
-    def compact(self, batch_id: str) -> None:
-        """Fold the live batches into one; their ids stay known, so a late retry still changes nothing.
+    def compact(self, batch_id: str) -> bool:
+        """Fold all that is live into one batch. False, with nothing changed, if the id is known already.
 
-        Readers switch over when the new batch's marker appears; the old folders go after that.
+        Folders that a compaction holds go after it is published; what a failure leaves of them goes with the next one.
         """
-        old = self.live()
-        held = self.totals().filter("docs <> 0 OR tokens <> 0")
-        self.spark.createDataFrame([(b, batch_id) for b in old], "batch string, id string").coalesce(1).write.mode("append").parquet(f"{self.path}/folded")
-        held.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
-        for b in old:
-            fs, p = self._fs(f"{self.path}/batch={b}")
-            fs.delete(p, True)
+        earlier, batches = self.compactions(), self.committed()
+        if batch_id in earlier or batch_id in batches or any(batch_id in m for m in earlier.values()):
+            return False
+        known = set(batches).union(earlier, *earlier.values())
+        draft = f"_draft-{uuid.uuid4().hex}"
+        self.totals().filter("docs <> 0 OR tokens <> 0").write.parquet(f"{self.path}/{draft}/sums")
+        members = [(batch_id, b) for b in sorted(known)] or [(batch_id, "")]
+        self.spark.createDataFrame(members, "id string, member string").coalesce(1).write.parquet(f"{self.path}/{draft}/members")
+        fs, to = self._fs(f"{self.path}/compact={batch_id}")
+        if not fs.rename(self._fs(f"{self.path}/{draft}")[1], to):
+            raise RuntimeError(f"compaction {batch_id} could not be published")
+        for b in batches:
+            self._delete(f"batch={b}")
+        for c in earlier:
+            self._delete(f"compact={c}")
+        return True
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,10 +167,8 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     the next version, words_v2: a delete of its old count and an insert of the revised one. The third repeats the first
     one's id and changes nothing. words_v1 stays as rows of zeros.
     """
-    import uuid
-
     docs = table(spark, sf_dir, "documents")
-    rollup = Rollup(spark, f"{shared_dir(spark)}/kwforge/rollup-{uuid.uuid4().hex}")
+    rollup = Rollup(spark, f"{shared_dir(spark)}/kwforge/{spark.sparkContext.applicationId}/rollup-{uuid.uuid4().hex}")
     first = signed_counts(docs, ("byte_bpe_50k", "words_v1"))
     rollup.commit("0001", first)
     rollup.commit("0002", revised(signed_counts(docs, ("words_v1",)), signed_counts(docs, ("words_v2",))))
