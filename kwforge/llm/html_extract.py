@@ -6,8 +6,8 @@ valid if it occurs on several pages, its tags keep one order on each of them, an
 classes are the host's template. What lies between two template tags is a slot, told apart by the tag before it and its
 occurrence. A slot with the same content on nearly all pages belongs to the template, as does a block that nearly all
 pages have: both go, inside an article too. Of the varying slots, the fixed names of menus, notices and the like drop
-some more. The main text is what is left inside the article; on pages that have no article element, it is all that is
-left but the blocks that more than half of the host's pages have.
+some more. The main text is what is left inside the main element, else inside the articles; on pages that have neither,
+it is all that is left but the blocks that more than half of the host's pages have.
 
 How it scales: a vector is never stored. Each token of a page gives a hash of (page, count), and the xor of those over
 a host, with the number of pages and the total, stands for the vector; that is one aggregation with partial sums, so a
@@ -36,7 +36,7 @@ from kwforge.llm.common import cut, table
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(script|style|noscript|template|svg|iframe|textarea|select|object|canvas|title)\b[^>]*(?:>.*?(?:</\1\s*>|\Z)|\Z)"
-    r"|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    r"|<(/?)([a-zA-Z][\w:-]*)((?:[\s=]++|[^>=\s]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+)*+)(?:>|\Z)",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"([^\s\"'=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -47,11 +47,11 @@ BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th thead tbo
 VOID = frozenset("br hr img input meta link area base col embed source track wbr param".split())
 BOILERPLATE_TAGS = frozenset("nav footer aside form dialog menu head button".split())
 BOILERPLATE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|nav\w*|menu|breadcrumbs?|sidebar|side|aside|footer|header|masthead|comments?|replies|disqus|share|social|related|recommend\w*|widget|toolbar|login|signup|search|pagination|pager|complementary|contentinfo|navigation)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|nav\w*|menu|breadcrumbs?|sidebar|side|aside|footer|header|masthead|comments?|replies|responses|disqus|share|social|related|recommend\w*|widget|toolbar|login|signup|search|pagination|pager|complementary|contentinfo|navigation)(?:$|[\s_-])",
     re.I,
 )
 #: Names that tell furniture even where an article lies around; the others are also names of an article's own parts.
-FURNITURE = re.compile(r"ads?|advert\w*|sponsor(?:ed)?|cookie-?(?:notice|consent|banner)|newsletter|subscribe|breadcrumbs?|sidebar|comments?|disqus|share|sharing|pagination|navigation|complementary|contentinfo", re.I)
+FURNITURE = re.compile(r"ads?|advert\w*|sponsor(?:ed)?|cookie-?(?:notice|consent|banner)|newsletter|subscribe|breadcrumbs?|sidebar|comments?|comment-?list|replies|responses|disqus|share|sharing|pagination|navigation|complementary|contentinfo", re.I)
 ADVERTS = re.compile(r"ads?|advert\w*|sponsor(?:ed)?", re.I)
 
 #: Start tags that end an open element of the same or a like name without its end tag: (elements ended, where the search stops).
@@ -64,6 +64,8 @@ IMPLIED_ENDS = {
     "thead": (_GROUPS, _TABLE), "tbody": (_GROUPS, _TABLE), "tfoot": (_GROUPS, _TABLE), "option": (_OPTION, frozenset(["select"])),
 }
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements of a head; any other start tag ends it.
+_OF_HEAD = frozenset("head title meta link base script style noscript template".split())
 _ENDS_P = (CONTAINERS | HEADINGS | frozenset("p pre hr li dt dd address details summary fieldset figcaption".split())) - {"html", "body"}
 #: An end tag closes nothing beyond these.
 _SCOPE = {"li": _LISTS, "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "td": _TABLE, "th": _TABLE, "tr": _TABLE, "p": _TABLE}
@@ -96,6 +98,8 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, tuple]]:
             continue
         if not m.group(2):
             names, hidden = _telling(m.group(4)) if m.group(4) and _TELLING.search(m.group(4)) else ("", "")
+            if name not in _OF_HEAD:
+                _end(path, _HEAD, ())
             if name in _ENDS_P:
                 _end(path, _PARAGRAPH, _TABLE)
             if name in IMPLIED_ENDS:
@@ -113,7 +117,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, tuple]]:
         yield "text", "", page[at:], tuple(path)
 
 
-_PARAGRAPH = ("p",)
+_PARAGRAPH, _HEAD = ("p",), ("head",)
 #: What the path says of a hidden element; "!" tells it apart from a class of that name.
 HIDDEN = " !hidden"
 
@@ -294,6 +298,8 @@ def _boilerplate(path: tuple) -> bool:
     for tag, names in path:
         if tag in BOILERPLATE_TAGS or names.endswith(HIDDEN):
             return True
+        if inside and tag == "article" and any(FURNITURE.fullmatch(x) for x in names.split()):
+            return True
         if names and tag not in ("html", "body", "article", "main"):
             if inside:
                 telling = FURNITURE if tag in CONTAINERS else ADVERTS
@@ -307,17 +313,20 @@ def _boilerplate(path: tuple) -> bool:
     return False
 
 
-def _main(path: tuple) -> bool:
-    return any(t in ("article", "main") or "articlebody" in n.replace("-", "") for t, n in path)
+def _main(path: tuple) -> int:
+    """0 outside the article, 1 inside, 2 inside the element that the page itself calls main."""
+    if any(t == "main" for t, _ in path):
+        return 2
+    return int(any(t == "article" or "articlebody" in n.replace("-", "") for t, n in path))
 
 
-def slots(parsed: Iterable[tuple], tags: frozenset, digest) -> list[tuple[str, tuple, list[str], bool]]:
+def slots(parsed: Iterable[tuple], tags: frozenset, digest) -> list[tuple[str, tuple, list[str], int]]:
     """Slots of a page, cut at template tags: (name, path, blocks, in the article). A block ends at a block-level tag.
 
     A slot's name is the template tag before it, which occurrence on the page that is, and the path; it is empty before
     the first template tag.
     """
-    out: list[tuple[str, tuple, list[str], bool]] = []
+    out: list[tuple[str, tuple, list[str], int]] = []
     where: tuple | None = None
     blocks: list[str] = []
     parts: list[str] = []
@@ -365,8 +374,8 @@ def content(slot: str, blocks: list[str], digest) -> int:
 def plain_text(found: list[tuple]) -> str:
     """Main text of a page's slots by the fixed names alone, without a template."""
     found = [s for s in found if not _boilerplate(s[1])]
-    some = any(main for *_, main in found)
-    return "\n".join(b for _, _, blocks, main in found if main or not some for b in blocks)
+    best = max((main for *_, main in found), default=0)
+    return "\n".join(b for _, _, blocks, main in found if main == best for b in blocks)
 
 
 def main_text(page: str | None, tags: frozenset, texts: frozenset, fixed: frozenset, constant: frozenset, digest) -> str:
@@ -377,10 +386,8 @@ def main_text(page: str | None, tags: frozenset, texts: frozenset, fixed: frozen
     """
     found = slots(tokens(page or ""), tags, digest)
     varying = [s for s in found if not (s[0] and constant and content(s[0], s[2], digest) in constant) and not _boilerplate(s[1])]
-    if any(main for _, path, _, main in found if not _boilerplate(path)):
-        varying, known = [s for s in varying if s[3]], fixed
-    else:
-        known = texts
+    best = max((main for _, path, _, main in found if not _boilerplate(path)), default=0)
+    varying, known = [s for s in varying if s[3] == best], fixed if best else texts
     return "\n".join(b for _, path, blocks, _ in varying for b in blocks if not known or digest(role("text", "", b, path)) not in known)
 
 
