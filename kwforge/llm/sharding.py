@@ -7,11 +7,13 @@ add up to the number of rows and are at most one apart, so row counts are at mos
 How it scales: the ring is cut into a fixed number of cells. One aggregation counts the rows of each cell; the driver
 walks that bounded table once and says, for each cell, which run of its rows (in the order of hash, then id) goes to
 which shard and from which slot. Rows then find their place by their rank in their cell and a range join against the
-bounded plan. A cell holds one part in `cells` of all rows; `cells` can grow with the table.
+bounded plan. A cell holds one part in `cells` of all rows; `cells` can grow with the table. One id, or the rows without
+one, may be a large part of the table and lie in one cell: a cell of more than `hot` times the mean is ranked in
+`PARTS` parts, dealt row by row, each from where the parts before it end.
 
 Nulls: a null text has 0 bytes and checksum 0; rows with a null id are placed as rows of one key. Repeated rows are
-rows of their own and may share a cell only as far as ids do, so a repeated id of many rows still splits over shards.
-An empty table gives an empty result; extra columns are not read.
+rows of their own; a repeated id of many rows splits over shards. An empty table gives an empty result; extra columns
+are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kwforge.llm.common import table
+from kwforge.llm.common import cut, table
+
+#: Parts that a hot cell is ranked in.
+PARTS = 64
 
 
 def _point(*parts) -> int:
@@ -77,7 +82,7 @@ def place_cells(counts: dict[int, int], shards: list, capacity: dict, virtual_no
     return runs
 
 
-def shard_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shards: int = 40, virtual_nodes: int = 64, cells: int = 1 << 14) -> DataFrame:
+def shard_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shards: int = 40, virtual_nodes: int = 64, cells: int = 1 << 14, hot: int = 16) -> DataFrame:
     """Place every row: id, size, text_crc32, shard, slot (gapless from 0 in a shard)."""
     h = F.xxhash64(F.col("id"))
     rows = df.select(
@@ -85,8 +90,9 @@ def shard_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_
         (F.coalesce(F.octet_length(text_col), F.lit(0)) + F.lit(16)).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"),
     )
-    keyed = rows.withColumn("h", h).withColumn("cell", F.pmod(F.col("h"), F.lit(cells)).cast("int"))
-    counts = {r["cell"]: r["n"] for r in df.select(F.col(id_col).alias("id")).select(F.pmod(h, F.lit(cells)).cast("int").alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    # written once, without texts: counts and ranks must see the same parts
+    keyed = cut(rows.withColumns({"h": h, "cell": F.pmod(h, F.lit(cells)).cast("int"), "deal": F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int")}), "keyed")
+    counts = {r["cell"]: r["n"] for r in keyed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
     shards = list(range(n_shards))
     by_point = sorted(shards, key=lambda s: _point("spare", s))
@@ -95,8 +101,17 @@ def shard_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_
     spark = df.sparkSession
     plan = spark.createDataFrame(runs or [(-1, 0, 0, 0, 0)], "cell int, from_rank long, to_rank long, shard int, first_slot long")
     # the plan has at most one row for each cell and one for each time a shard fills: a bound that no input changes
-    rank = Window.partitionBy("cell").orderBy("h", "id", "text_crc32", "size")
-    ranked = keyed.withColumn("rank", F.row_number().over(rank).cast("long") - 1)
+    crowded = sorted(c for c, n in counts.items() if n * cells > hot * total and n > PARTS)  # under cells / hot of them
+    parted = keyed.withColumn("part", F.when(F.col("cell").isin(crowded), F.col("deal")).otherwise(F.lit(0)) if crowded else F.lit(0))
+    within = parted.filter(F.col("cell").isin(crowded)).groupBy("cell", "part").agg(F.count("*").alias("n")).collect() if crowded else []
+    ahead, at = [], dict.fromkeys(crowded, 0)
+    for r in sorted(within, key=lambda r: (r["cell"], r["part"])):
+        ahead.append((r["cell"], r["part"], at[r["cell"]]))
+        at[r["cell"]] += r["n"]
+    before = spark.createDataFrame(ahead or [(-1, 0, 0)], "cell int, part int, before long")
+    rank = Window.partitionBy("cell", "part").orderBy("h", "id", "text_crc32", "size")
+    ranked = parted.withColumn("rank", F.row_number().over(rank).cast("long") - 1).join(F.broadcast(before), ["cell", "part"], "left")
+    ranked = ranked.withColumn("rank", F.col("rank") + F.coalesce("before", F.lit(0)))
     placed = ranked.join(F.broadcast(plan), (ranked.cell == plan.cell) & (ranked["rank"] >= plan.from_rank) & (ranked["rank"] < plan.to_rank))
     return placed.select(F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("first_slot") + F.col("rank") - F.col("from_rank")).alias("slot"))
 
