@@ -33,3 +33,12 @@ def test_empty(spark):
         out = stage(spark, docs, SF)
         assert out.count() == 0
         docs = out if name != corpus_pipeline.STAGES[-1][0] else docs
+
+
+def test_near_dedup_by_text(spark):
+    """Rows of one id with several texts stay; copies under other ids go; rows without an id or a text stay."""
+    copy, own = "one two three four five six seven eight", "other words that no other row of this table has at all"
+    rows = [(1, copy), (2, copy), (3, copy), (3, own), (None, copy), (4, None), (5, copy), (5, copy)]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_dedup_stage(spark, df, SF).collect()), key=str)
+    assert kept == sorted([(1, copy), (3, copy), (3, own), (None, copy), (4, None)], key=str)
