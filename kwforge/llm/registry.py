@@ -6,6 +6,7 @@ from kwforge.llm import (
     embedding_dedup,
     html_extract,
     minhash_dedup,
+    prefix_trie,
     quality_classifier,
     quality_rules,
     secret_scan,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
 ORACLE_SQL = {"op9_quality_rules": quality_rules.SQL}
