@@ -12,6 +12,7 @@ from kwforge.llm import (
     secret_scan,
     sharding,
     token_counts,
+    word_bpe,
 )
 
 QUERIES = {
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
+    "op12_word_bpe": word_bpe.op12_word_bpe,
     "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
