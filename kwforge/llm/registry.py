@@ -12,6 +12,7 @@ from kwforge.llm import (
     secret_scan,
     sharding,
     token_counts,
+    whitening,
     word_bpe,
 )
 
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
+    "op11_whitening": whitening.op11_whitening,
     "op12_word_bpe": word_bpe.op12_word_bpe,
     "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
