@@ -2,9 +2,10 @@
 
 A node's rows say, for every number k of branches that it may hand to its parent, the least cost of its subtree, how
 often these branches are visited, and which numbers of its two children's branches that takes. A node that is broken
-hands up its children's branches; a node that is kept hands up one. The rows of a level come from joining the rows of
-the two children on their parent; the pairs are weighed in SQL and the minimum is taken by (node, k), so no task holds
-more of a node than its partial sums. A node has at most as many rows as it has leaves below it.
+hands up its children's branches; a node that is kept hands up one. A node has at most as many rows as it has leaves
+below it, so the pairs of its children's rows are quadratic in its leaves. The rows of both children are dealt into blocks
+of numbers of branches, and each pair of blocks is a join key of its own: no key holds more than BLOCK^2 pairs, the root's
+neither. The pairs are weighed where they meet, and their minimum by (node, k) is taken there first and then over blocks.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 from kwforge.functions.cost import CostModel
 from kwforge.sources.shared import cut
 
+#: Rows of a child in one block.
+BLOCK = 256
+
 
 def kept_cost(branches: Column, visits: Column, model: CostModel) -> Column:
     """Cost of a kept inner node (omega, queries, sum_len) with so many branches, which are visited so often."""
@@ -24,7 +28,23 @@ def kept_cost(branches: Column, visits: Column, model: CostModel) -> Column:
     return (F.lit(model.storage_weight) * bits + F.lit(model.query_weight) * ns).cast("double")
 
 
-def solve(nodes: DataFrame, edges: DataFrame, model: CostModel) -> DataFrame:
+def block_pairs(below: DataFrame, level: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(node_id, l, l_cost, l_visits, r, r_cost, r_visits, omega, queries, sum_len) of all rows of a node's two children.
+
+    below: parent, child_pos (0 or 1), k, cost, visits. level: node_id, omega, queries, sum_len. A child's rows are copied to
+    each block of the other child, and what the node itself has travels with the left rows.
+    """
+    last = lambda i: F.max(F.when(F.col("child_pos") == i, F.floor(F.col("k") / block))).alias(f"last{i}")
+    dealt = below.join(below.groupBy("parent").agg(last(0), last(1)), "parent").join(level.withColumnRenamed("node_id", "parent"), "parent")
+
+    def side(pos: int, k: str, blocks: tuple[str, str], *more: str) -> DataFrame:
+        mine, others = F.floor(F.col("k") / block).alias(blocks[0]), F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"last{1 - pos}"))).alias(blocks[1])
+        return dealt.filter(F.col("child_pos") == pos).select(F.col("parent").alias("node_id"), F.col("k").alias(k), F.col("cost").alias(f"{k}_cost"), F.col("visits").alias(f"{k}_visits"), mine, others, *more)
+
+    return side(0, "l", ("lb", "rb"), "omega", "queries", "sum_len").join(side(1, "r", ("rb", "lb")), ["node_id", "lb", "rb"])
+
+
+def solve(nodes: DataFrame, edges: DataFrame, model: CostModel, block: int = BLOCK) -> DataFrame:
     """(node_id, k, cost, visits, l, r) for every node: k branches at this cost, from l and r branches of its children.
 
     nodes: node_id, depth, omega, queries, sum_len, cost (of a leaf). edges: parent, child_pos (0 or 1), child. Ties go to
@@ -39,8 +59,7 @@ def solve(nodes: DataFrame, edges: DataFrame, model: CostModel) -> DataFrame:
     while depth is not None and depth >= 0:
         level = inner.filter(F.col("depth") == depth).select("node_id", "omega", "queries", "sum_len")
         below = solved.join(edges, F.col("node_id") == F.col("child")).select("parent", "child_pos", "k", "cost", "visits")
-        side = lambda pos, k: below.filter(F.col("child_pos") == pos).select(F.col("parent").alias("node_id"), F.col("k").alias(k), F.col("cost").alias(f"{k}_cost"), F.col("visits").alias(f"{k}_visits"))  # noqa: B023, E731
-        pairs = level.join(side(0, "l"), "node_id").join(side(1, "r"), "node_id")
+        pairs = block_pairs(below, level, block)
         total, visits, branches = F.col("l_cost") + F.col("r_cost"), F.col("l_visits") + F.col("r_visits"), F.col("l") + F.col("r")
         broken = F.struct(total.alias("cost"), "l", "r", visits.alias("visits"), branches.alias("k"))
         kept = F.struct((total + kept_cost(branches, visits, model)).alias("cost"), "l", "r", F.col("queries").cast("long").alias("visits"), F.lit(1).alias("k"))

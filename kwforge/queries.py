@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from kwforge.functions.cost import BOTH, CostModel
 from kwforge.functions.text import TOKENIZERS
 from kwforge.operators import bitmaps, graph, keywords, routing, search
-from kwforge.plans import build, calibrate, dp, tree
+from kwforge.plans import build, calibrate, dp, stored, tree
 from kwforge.sources import readers
 from kwforge.sources.shared import cut, shared_dir
 
@@ -530,44 +530,71 @@ def subtree_keywords(s, d):
     return _node_kw(s, d)
 
 
-# --- the life of a tree: built, stored, searched, thinned out
+# --- the life of a tree: built, thinned, stored, searched
 
 
-def _built(s, d, depth=2):
+def _built(s, d, depth=3):
     """(objects, queries, leaves, edges) of a tree over all documents, split by 2-means on samples."""
     ow, qw = _ow_once(s, d), cut(_qw(s, d), "queries")
     leaves, edges = build.build(ow, qw, CostModel(), max_depth=depth)
     return ow, qw, cut(leaves, "leaves"), build.edge_table(s, edges)
 
 
-def _stored(s, d):
-    """The built tree after it was saved and loaded again."""
+def _tree_path(s):
+    return f"{shared_dir(s)}/kwforge/{s.sparkContext.applicationId}/tree-{uuid.uuid4().hex}"
+
+
+def _stored(s, d, thin=False):
+    """(queries, stored tree, leaves): the built tree, thinned or not, saved and loaded again."""
     ow, qw, leaves, edges = _built(s, d)
-    leaf_kw = cut(ow.join(leaves, "obj_id"), "sided")
-    node_kw = tree.subtree_keywords(edges, leaf_kw.select("leaf_id", "kw").distinct(), 2)
-    path = f"{shared_dir(s)}/kwforge/{s.sparkContext.applicationId}/tree-{uuid.uuid4().hex}"
-    readers.save_tree(path, edges, leaf_kw, node_kw)
-    return qw, *readers.load_tree(s, path)
+    if thin:
+        nodes = cut(build.node_table(leaves, ow, qw, CostModel()), "nodes")
+        edges = dp.materialize(dp.solve(nodes, edges, CostModel()), edges, 1)
+    path = _tree_path(s)
+    stored.save(path, edges, ow, leaves)
+    return qw, stored.load(s, path), leaves
 
 
-@query(f"WITH {_OW} SELECT obj_id, count(DISTINCT kw) AS n_keywords, CAST(1 AS BIGINT) AS n_leaves FROM ow GROUP BY obj_id")
+@query(f"WITH {_OW} SELECT obj_id, count(*) AS n_keywords, CAST(1 AS BIGINT) AS n_leaves FROM ow GROUP BY obj_id")
 def built_leaves(s, d):
     """Every object lies in one leaf of the built tree, with all its keywords."""
-    _, _, leaves, _ = _stored(s, d)
+    leaves = _stored(s, d)[1].leaves
     return leaves.groupBy("obj_id").agg(F.count("*").alias("n_keywords"), F.count_distinct("leaf_id").alias("n_leaves"))
 
 
 @query(f"{_DQ} SELECT query_id, obj_id FROM hits")
 def built_tree_search(s, d):
-    """Search over the built, saved and loaded tree; only the folders of candidate leaves hold answers."""
-    qw, _, leaves, _ = _stored(s, d)
-    return tree.search_leaves(search.held_pairs(leaves, qw), qw)
+    """Search over the built, saved and loaded tree, which opens the folders of candidate leaves alone."""
+    qw, tree_, _ = _stored(s, d)
+    return stored.search(tree_, qw)
+
+
+@query(f"{_DQ} SELECT query_id, obj_id FROM hits")
+def thinned_tree_search(s, d):
+    """The same over the tree that the node removal leaves of the built one."""
+    qw, tree_, _ = _stored(s, d, thin=True)
+    return stored.search(tree_, qw)
 
 
 @query("SELECT CAST(0 AS BIGINT) AS missing_children, CAST(0 AS BIGINT) AS shared_children, CAST(0 AS BIGINT) AS root_parents, CAST(0 AS BIGINT) AS orphans")
 def built_tree_integrity(s, d):
-    _, edges, leaves, _ = _stored(s, d)
-    return tree.integrity(edges, leaves.select("leaf_id", "obj_id").distinct(), 1)
+    tree_ = _stored(s, d)[1]
+    return tree.integrity(tree_.edges, tree_.leaves.select("leaf_id", "obj_id").distinct(), 1)
+
+
+@query("SELECT true AS claim_holds, true AS not_dearer, true AS split_pays")
+def thinned_tree_gain(s, d):
+    """What the node removal claims for the built tree is what the thinned tree costs, and no more than the whole one; splitting paid at all."""
+    ow, qw, leaves, edges = _built(s, d)
+    nodes = cut(build.node_table(leaves, ow, qw, CostModel()), "nodes")
+    solved = dp.solve(nodes, edges, CostModel())
+    claimed = solved.filter("node_id = 1 AND k = 1").select(F.col("cost").alias("claimed"))
+    thin = tree.cost_of(nodes, dp.materialize(solved, edges, 1), CostModel()).select(F.col("cost").alias("thin"))
+    leaf = nodes.join(edges.select(F.col("parent").alias("node_id")).distinct(), "node_id", "left_anti").agg(F.sum("cost").alias("leaf_bits"))
+    whole = tree.cost_of(nodes, edges, CostModel()).select(F.col("cost").alias("whole"))
+    one = nodes.filter("node_id = 1").select(F.col("cost").alias("one"))
+    all_ = claimed.join(thin).join(whole).join(leaf).join(one)  # five one-row tables
+    return all_.select((F.abs(F.col("claimed") - F.col("thin")) <= 1e-9 * F.col("claimed")).alias("claim_holds"), (F.col("thin") <= F.col("whole") * (1 + 1e-12)).alias("not_dearer"), (F.col("leaf_bits") < F.col("one")).alias("split_pays"))
 
 
 # a binary tree of eight leaves with the statistics of the documents, so that the node removal has an answer in SQL
