@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from kwforge.functions.cost import BOTH, CostModel
 from kwforge.functions.text import TOKENIZERS
-from kwforge.operators import bitmaps, graph, keywords, routing, search
+from kwforge.operators import bitmaps, graph, keywords, routing, search, similar
 from kwforge.plans import build, calibrate, dp, stored, tree
 from kwforge.sources import readers
 from kwforge.sources.shared import cut, shared_dir
@@ -391,6 +391,47 @@ def graph_smoothing(s, d):
     return graph.smooth(values, _jaccard(s, d)).select("id", F.col("item").alias("kw"), F.round("value", 6).alias("value"))
 
 
+# the same over documents, by the prefix index; equal keyword sets are one node
+_ALIKE = 0.5
+_SETS = f"{_OW}, st AS (SELECT obj_id, list_sort(list(kw)) AS ks FROM ow GROUP BY obj_id), mb AS (SELECT obj_id, min(obj_id) OVER (PARTITION BY ks) AS rep FROM st)"
+_DJ = f"{_SETS}, rw AS (SELECT ow.obj_id, kw FROM ow JOIN mb ON mb.obj_id = ow.obj_id AND rep = ow.obj_id), rl AS (SELECT obj_id, count(*) AS q FROM rw GROUP BY obj_id), dj1 AS (SELECT src, dst, shared / (x.q + y.q - shared) AS weight FROM (SELECT a.obj_id AS src, b.obj_id AS dst, count(*) AS shared FROM rw a JOIN rw b ON a.kw = b.kw AND a.obj_id < b.obj_id GROUP BY ALL) JOIN rl x ON x.obj_id = src JOIN rl y ON y.obj_id = dst WHERE 2 * shared >= x.q + y.q - shared), dj AS (SELECT * FROM dj1 UNION ALL SELECT dst, src, weight FROM dj1)"
+
+
+def _document_sets(s, d):
+    sets = cut(similar.keyword_sets(_ow_once(s, d), "obj_id", "kw"), "sets")
+    return sets, cut(similar.members(sets), "members")
+
+
+def _document_graph(s, d):
+    """Both directions of every pair of documents' keyword sets with a Jaccard of a half or more."""
+    met = similar.similar_sets(*_document_sets(s, d), _ALIKE)
+    return graph.both_ways(met.select("src", "dst", (F.col("shared") / (F.col("n_src") + F.col("n_dst") - F.col("shared"))).alias("weight")))
+
+
+@query(f"WITH {_SETS} SELECT obj_id, rep FROM mb")
+def document_sets(s, d):
+    """The smallest id with the same keyword set; the nodes of the document graph are these."""
+    return _document_sets(s, d)[1].select(F.col("id").alias("obj_id"), "rep")
+
+
+@query(f"WITH {_DJ} SELECT src, dst, round(weight, 6) AS weight FROM dj")
+def document_jaccard(s, d):
+    return _document_graph(s, d).select("src", "dst", F.round("weight", 6).alias("weight"))
+
+
+@query(f"WITH {_DJ} SELECT src, dst, round(weight, 6) AS weight FROM dj QUALIFY row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) <= 10")
+def document_neighbors(s, d):
+    return graph.top_neighbours(_document_graph(s, d), 10).select("src", "dst", F.round("weight", 6).alias("weight"))
+
+
+@query(f"WITH {_DJ}, a AS (SELECT src, dst, weight FROM dj QUALIFY row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) <= 20 UNION ALL SELECT DISTINCT rep, rep, 1 FROM mb), dg AS (SELECT src AS n, sum(weight) AS d FROM a GROUP BY src) SELECT src, dst, round(weight / sqrt(x.d * y.d), 6) AS weight FROM a JOIN dg x ON x.n = src JOIN dg y ON y.n = dst")
+def document_adjacency(s, d):
+    sets, member = _document_sets(s, d)
+    met = similar.similar_sets(sets, member, _ALIKE)
+    edges = cut(graph.top_neighbours(graph.both_ways(met.select("src", "dst", (F.col("shared") / (F.col("n_src") + F.col("n_dst") - F.col("shared"))).alias("weight"))), 20), "neighbours")
+    return graph.normalized(edges, member.filter("id = rep").select("id")).select("src", "dst", F.round("weight", 6).alias("weight"))
+
+
 # --- node statistics, cost, sizes
 
 
