@@ -54,8 +54,9 @@ FILE = "word_bpe_49k.json"
 SYMBOLS, ENDED = 512, 256
 #: Bits below a state's number in the keys of what it does not accept.
 _BITS = 17
-#: Words of more symbols go alone; words remembered by a process; characters of text that are split at once.
-LONG, MEMO_WORDS, BLOCK = 64, 1 << 19, 1 << 20
+#: Words of more symbols go alone; words remembered by a process; characters of text that are split at once; words of
+#: texts whose new ones are encoded together.
+LONG, MEMO_WORDS, BLOCK, TOGETHER = 64, 1 << 19, 1 << 20, 1 << 18
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-¬®-ſ]*")
 _GAP = re.compile(r"\s")
 
@@ -344,25 +345,34 @@ class Encoder:
     # --- batches
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, number of ids of each)."""
-        ids, counts = [], np.zeros(len(texts), np.int64)
+        """(ids of all texts, number of ids of each); new words of about TOGETHER words of texts are encoded side by side."""
+        ids, counts, held, n = [], np.zeros(len(texts), np.int64), [], 0
         for k, text in enumerate(texts):
             for words in self.words(text or ""):
-                if not words:
-                    continue
-                new = [w for w in dict.fromkeys(words) if w not in self.code]
-                if new:
-                    if len(self.code) + len(new) > MEMO_WORDS:
-                        self.forget()
-                        new = [w for w in dict.fromkeys(words) if w not in self.code]
-                    self.learn(new)
-                codes = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
-                n = self.count[codes]
-                total = int(n.sum())
-                ids.append(self.flat[np.repeat(self.first[codes] - (np.cumsum(n) - n), n) + np.arange(total)])
-                counts[k] += total
+                held.append((k, words))
+                n += len(words)
+                if n >= TOGETHER:
+                    self._encode_words(held, ids, counts)
+                    held, n = [], 0
+        self._encode_words(held, ids, counts)
         return np.concatenate(ids) if ids else np.zeros(0, np.int32), counts
 
+    def _encode_words(self, held: list[tuple[int, list[str]]], ids: list[np.ndarray], counts: np.ndarray) -> None:
+        if not held:
+            return
+        all_ = [w for _, words in held for w in words]
+        new = [w for w in dict.fromkeys(all_) if w not in self.code]
+        if len(self.code) + len(new) > MEMO_WORDS:
+            self.forget()
+            new = [w for w in dict.fromkeys(all_) if w not in self.code]
+        if new:
+            self.learn(new)
+        codes = np.fromiter(map(self.code.__getitem__, all_), np.int64, len(all_))
+        n = self.count[codes]
+        ids.append(self.flat[np.repeat(self.first[codes] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
+        ends = np.concatenate(([0], np.cumsum([len(words) for _, words in held])))
+        np.add.at(counts, [k for k, _ in held], np.diff(np.concatenate(([0], np.cumsum(n)))[ends]))
+
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
         """Texts: the labels of each row's ids, joined by one space; ids without a label are passed over."""
         n = len(self.a.labels)

@@ -58,12 +58,12 @@ def test_op12_alone_and_side_by_side(encoder):
     text = " ".join(f"word{i % 700} don't" for i in range(3000))
     once = encoder.encode([text])[0].tolist()
     small = word_bpe.Encoder(encoder.a)
-    old = word_bpe.BLOCK, word_bpe.MEMO_WORDS
+    old = word_bpe.BLOCK, word_bpe.MEMO_WORDS, word_bpe.TOGETHER
     try:
-        word_bpe.BLOCK, word_bpe.MEMO_WORDS = 50, 60
-        assert small.encode([text])[0].tolist() == once and len(small.code) <= 60
+        word_bpe.BLOCK, word_bpe.MEMO_WORDS, word_bpe.TOGETHER = 50, 60, 20
+        assert small.encode([text])[0].tolist() == once and len(small.code) <= 60 + 2
     finally:
-        word_bpe.BLOCK, word_bpe.MEMO_WORDS = old
+        word_bpe.BLOCK, word_bpe.MEMO_WORDS, word_bpe.TOGETHER = old
 
 
 def test_op12_gadgets():
