@@ -36,8 +36,14 @@ def single_step_deltas(objects: DataFrame, side: Column, queries: DataFrame, new
     for each the object answers.
     """
     sided = objects.withColumn("side", side).filter("side IS NOT NULL")
-    have = cut(sided.select("side", "kw").distinct(), "have")  # read four times below
-    state = sided.groupBy("side").agg(F.count_distinct("obj_id").alias("o"), F.count_distinct("kw").alias("omega"))
+    have = cut(sided.select("side", "kw").distinct(), "have")  # read five times below
+    counts = sided.groupBy("side").agg(F.count_distinct("obj_id").alias("o"))
+    return deltas_against(have, counts, queries, new, alpha, beta, gamma, epsilon)
+
+
+def deltas_against(have: DataFrame, counts: DataFrame, queries: DataFrame, new: DataFrame, alpha: float, beta: float, gamma: float, epsilon: float) -> DataFrame:
+    """The same from what the sides amount to: their distinct keywords, have (side, kw), and objects, counts (side, o)."""
+    state = counts.join(have.groupBy("side").agg(F.count("*").alias("omega")), "side")
     size = queries.groupBy("query_id").agg(F.count("*").alias("q"))
     sides = state.select("side")
     met = queries.join(have, "kw").groupBy("side", "query_id").agg(F.count("*").alias("m"))
@@ -65,6 +71,12 @@ def single_step_deltas(objects: DataFrame, side: Column, queries: DataFrame, new
     )
 
 
+def cheaper_side(deltas: DataFrame, model) -> DataFrame:
+    """(obj_id, side): where an object costs less under the model's weights; ties go left."""
+    cost = F.lit(model.storage_weight) * F.col("delta_storage") + F.lit(model.query_weight) * (F.col("delta_existing") + F.col("delta_new"))
+    return deltas.groupBy("obj_id").agg(F.min(F.struct(cost.alias("cost"), "side"))["side"].alias("side"))
+
+
 def assign_batches(seeds: DataFrame, queries: DataFrame, new: DataFrame, model, batches: int = 8) -> DataFrame:
     """(obj_id, side) of every new object: each goes where it costs less, against the sides as the batches before left them.
 
@@ -75,8 +87,7 @@ def assign_batches(seeds: DataFrame, queries: DataFrame, new: DataFrame, model,
     for k in range(batches):
         batch = new.filter(F.pmod(F.xxhash64("obj_id"), F.lit(batches)) == k)
         deltas = single_step_deltas(sides, F.col("side"), queries, batch, model.alpha, model.beta, model.gamma, model.epsilon)
-        cost = F.lit(model.storage_weight) * F.col("delta_storage") + F.lit(model.query_weight) * (F.col("delta_existing") + F.col("delta_new"))
-        chosen = cut(deltas.groupBy("obj_id").agg(F.min(F.struct(cost.alias("cost"), "side"))["side"].alias("side")), "chosen")
+        chosen = cut(cheaper_side(deltas, model), "chosen")
         out = chosen if out is None else out.unionByName(chosen)
         sides = cut(sides.unionByName(batch.join(chosen, "obj_id").select("obj_id", "kw", "side")), "sides") if k < batches - 1 else sides
     return out

@@ -19,6 +19,7 @@ from kwforge.operators import bitmaps, graph, keywords, routing, search, similar
 from kwforge.plans import build, calibrate, dp, stored, tree
 from kwforge.sources import readers
 from kwforge.sources.shared import cut, shared_dir
+from kwforge.streaming import assign
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -716,6 +717,33 @@ def assign_by_cost(s, d):
     return routing.assign_batches(seeds.filter("side IS NOT NULL"), _qw(s, d), new, CostModel(), batches=1)
 
 
+def _step_sql(i):
+    """One batch: so{i} are the objects with their sides so far, nw{i} the batch; gives ch{i}, and so{i + 1}."""
+    return f"""have{i} AS (SELECT DISTINCT side, kw FROM so{i}), st{i} AS (SELECT side, count(DISTINCT obj_id) AS o, count(DISTINCT kw) AS omega FROM so{i} GROUP BY side),
+act{i} AS (SELECT side, query_id, q FROM (SELECT side, query_id, count(*) AS m FROM qw JOIN have{i} USING (kw) GROUP BY ALL) JOIN ql USING (query_id) WHERE m = q),
+sq{i} AS (SELECT side, sum(q - 1) AS sum_q FROM act{i} GROUP BY side), nw{i} AS (SELECT ow.* FROM ow ANTI JOIN labels ON doc_id = obj_id WHERE obj_id % 3 = {i}), ids{i} AS (SELECT DISTINCT obj_id FROM nw{i}),
+fr{i} AS (SELECT n.obj_id, s.side, n.kw FROM nw{i} n CROSS JOIN st{i} s ANTI JOIN have{i} h ON h.side = s.side AND h.kw = n.kw), dw{i} AS (SELECT obj_id, side, count(*) AS d FROM fr{i} GROUP BY ALL),
+ho{i} AS (SELECT obj_id, query_id FROM (SELECT obj_id, query_id, count(*) AS m FROM nw{i} JOIN qw USING (kw) GROUP BY ALL) JOIN ql USING (query_id) WHERE m = q), hi{i} AS (SELECT obj_id, side, count(*) AS h FROM ho{i} JOIN act{i} USING (query_id) GROUP BY ALL),
+la{i} AS (SELECT s.side, qw.query_id, qw.kw FROM qw CROSS JOIN st{i} s ANTI JOIN have{i} h ON h.side = s.side AND h.kw = qw.kw), ln{i} AS (SELECT side, query_id, count(*) AS l FROM la{i} GROUP BY ALL),
+op{i} AS (SELECT obj_id, side, query_id, q FROM (SELECT obj_id, side, query_id, count(*) AS m FROM fr{i} JOIN la{i} USING (side, kw) GROUP BY ALL) JOIN ln{i} USING (side, query_id) JOIN ql USING (query_id) WHERE m = l),
+oq{i} AS (SELECT p.obj_id, side, count(*) AS n, sum(q - 1) AS sq, count(h.query_id) AS nh FROM op{i} p LEFT JOIN ho{i} h ON h.obj_id = p.obj_id AND h.query_id = p.query_id GROUP BY ALL),
+co{i} AS (SELECT obj_id, side, omega + coalesce(d, 0) * (o + 33) + 32 + CAST(0.106 AS DOUBLE) * coalesce(sum_q, 0) + CAST(1.749 AS DOUBLE) * coalesce(h, 0) + CAST(380.17 AS DOUBLE) * coalesce(n, 0) + (o + 1) * (CAST(0.106 AS DOUBLE) * coalesce(sq, 0)) + CAST(1.749 AS DOUBLE) * coalesce(nh, 0) AS cost
+FROM ids{i} CROSS JOIN st{i} LEFT JOIN sq{i} USING (side) LEFT JOIN dw{i} USING (obj_id, side) LEFT JOIN hi{i} USING (obj_id, side) LEFT JOIN oq{i} USING (obj_id, side)),
+ch{i} AS (SELECT obj_id, arg_min(side, (cost, side)) AS side FROM co{i} GROUP BY obj_id), so{i + 1} AS (SELECT obj_id, kw, side FROM so{i} UNION ALL SELECT obj_id, kw, side FROM nw{i} JOIN ch{i} USING (obj_id))"""
+
+
+@query(f"WITH {_OW}, {_QW}, so0 AS (SELECT obj_id, kw, 2 - quality AS side FROM ow JOIN labels ON doc_id = obj_id WHERE quality IS NOT NULL), {', '.join(map(_step_sql, range(3)))} SELECT obj_id, CAST(side AS INTEGER) AS side, CAST(batch AS INTEGER) AS batch FROM (" + " UNION ALL ".join(f"SELECT *, {i} AS batch FROM ch{i}" for i in range(3)) + ")")
+def assign_changing_sides(s, d):
+    """Unlabelled documents in three batches, storage and latency weighed alike; each batch meets the sides that the one before left."""
+    ow = _ow_once(s, d)
+    new = ow.join(_table(s, d, "labels").select(F.col("doc_id").alias("obj_id")), "obj_id", "left_anti")
+    sides = assign.Assignment(s, f"{_tree_path(s)}-sides", cut(_qw(s, d), "queries"), BOTH)
+    sides.seed(_sided(s, d, ow).withColumnRenamed("label_side", "side"))
+    for i in range(3):
+        sides.place(new.filter(F.col("obj_id") % 3 == i), i)
+    return sides.placed()
+
+
 # --- sets and samples
 
 
