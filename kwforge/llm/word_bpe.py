@@ -189,14 +189,36 @@ def compile_file(path: str | None = None) -> Automaton:
     return Automaton(vocabulary, merges, specials, d["model"]["end_of_word_suffix"])
 
 
+class Labels:
+    """Decoding: the labels of the automaton's arcs."""
+
+    def __init__(self, labels: list[str]):
+        self.n = len(labels)
+        self.spoken = pa.array([x + " " for x in labels] + labels + [""], pa.large_string())  # a label before others, and one at the end
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """Texts: the labels of each row's ids, joined by one space; ids without a label are passed over."""
+        n = self.n
+        known = (ids >= 0) & (ids < n)
+        if not known.all():
+            row = np.repeat(np.arange(len(counts)), counts)[known]
+            ids, counts = ids[known], np.bincount(row, minlength=len(counts))
+        ends = np.cumsum(counts)
+        pick = ids.astype(np.int64)
+        pick[ends[counts > 0] - 1] += n  # the last label of a text has no space behind it
+        spoken = pc.take(self.spoken, pa.array(pick))
+        at = np.frombuffer(spoken.buffers()[1], np.int64, len(pick) + 1) if len(pick) else np.zeros(1, np.int64)
+        data = spoken.buffers()[2] if len(pick) else pa.py_buffer(b"")
+        offsets = at[np.concatenate(([0], ends))]
+        return pa.LargeStringArray.from_buffers(len(counts), pa.py_buffer(np.ascontiguousarray(offsets)), data)
+
+
 class Encoder:
-    """Table-driven encoding and decoding with a compiled automaton; one a process."""
+    """Table-driven encoding with a compiled automaton; one a process."""
 
     def __init__(self, automaton: Automaton, path: str | None = None):
         self.a, self.path = automaton, path
         self.cut = re.compile("|".join(map(re.escape, sorted(automaton.specials, key=len, reverse=True))) or r"(?!)")
-        labels = automaton.labels
-        self.spoken = pa.array([x + " " for x in labels] + labels + [""], pa.large_string())  # a label before others, and one at the end
         self.full = None
         self.arcs = None
         self.forget()
@@ -373,31 +395,15 @@ class Encoder:
         ends = np.concatenate(([0], np.cumsum([len(words) for _, words in held])))
         np.add.at(counts, [k for k, _ in held], np.diff(np.concatenate(([0], np.cumsum(n)))[ends]))
 
-    def decode(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
-        """Texts: the labels of each row's ids, joined by one space; ids without a label are passed over."""
-        n = len(self.a.labels)
-        known = (ids >= 0) & (ids < n)
-        if not known.all():
-            row = np.repeat(np.arange(len(counts)), counts)[known]
-            ids, counts = ids[known], np.bincount(row, minlength=len(counts))
-        ends = np.cumsum(counts)
-        pick = ids.astype(np.int64)
-        pick[ends[counts > 0] - 1] += n  # the last label of a text has no space behind it
-        spoken = pc.take(self.spoken, pa.array(pick))
-        at = np.frombuffer(spoken.buffers()[1], np.int64, len(pick) + 1) if len(pick) else np.zeros(1, np.int64)
-        data = spoken.buffers()[2] if len(pick) else pa.py_buffer(b"")
-        offsets = at[np.concatenate(([0], ends))]
-        return pa.LargeStringArray.from_buffers(len(counts), pa.py_buffer(np.ascontiguousarray(offsets)), data)
-
 
-_ENCODERS: dict[str, Encoder] = {}
+_LOADED: dict[tuple[str, type], Encoder | Labels] = {}
 
 
-def _encoder(key: str, sent, path: str | None) -> Encoder:
-    """This process's encoder; the broadcast is read once a process."""
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(sent.value, path)
-    return _ENCODERS[key]
+def _loaded(kind: type, key: str, sent, *more):
+    """This process's encoder or labels; the broadcast is read once a process."""
+    if (key, kind) not in _LOADED:
+        _LOADED[key, kind] = kind(sent.value, *more)
+    return _LOADED[key, kind]
 
 
 def _parts(batch: pa.RecordBatch, column: pa.Array, limit: int) -> Iterator[pa.RecordBatch]:
@@ -413,13 +419,12 @@ def _parts(batch: pa.RecordBatch, column: pa.Array, limit: int) -> Iterator[pa.R
 def encode(df: DataFrame, text_col: str = "text", out: str = "ids", path: str | None = None) -> DataFrame:
     """df without its text, and `out`: the ids of the whole text as array<int>."""
     spark = df.sparkSession
-    automaton = compile_file(path)
-    sent, key = spark.sparkContext.broadcast(automaton), f"{spark.sparkContext.applicationId}:{path}"
+    sent, key = spark.sparkContext.broadcast(compile_file(path)), f"{spark.sparkContext.applicationId}:{path}"
     rest = [f for f in df.schema.fields if f.name not in (text_col, out)]
     schema = StructType([*rest, StructField(out, ArrayType(IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = _encoder(key, sent, path)
+        e = _loaded(Encoder, key, sent, path)
         for batch in batches:
             for part in _parts(batch, batch.column(text_col), 4 << 20):
                 ids, counts = e.encode(part.column(text_col).to_pylist())
@@ -432,13 +437,12 @@ def encode(df: DataFrame, text_col: str = "text", out: str = "ids", path: str |
 def decode(df: DataFrame, ids_col: str = "ids", out: str = "text", path: str | None = None) -> DataFrame:
     """df with `out`: the decoded text of an array of ids (null: the empty text)."""
     spark = df.sparkSession
-    automaton = compile_file(path)
-    sent, key = spark.sparkContext.broadcast(automaton), f"{spark.sparkContext.applicationId}:{path}"
+    sent, key = spark.sparkContext.broadcast(compile_file(path).labels), f"{spark.sparkContext.applicationId}:{path}"
     rest = [f for f in df.schema.fields if f.name != out]
     schema = StructType([*rest]).add(out, "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = _encoder(key, sent, path)
+        e = _loaded(Labels, key, sent)
         for batch in batches:
             for part in _parts(batch, batch.column(ids_col), 1 << 20):
                 lists = part.column(ids_col)
