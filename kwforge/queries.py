@@ -19,7 +19,7 @@ from kwforge.operators import bitmaps, graph, keywords, routing, search, similar
 from kwforge.plans import build, calibrate, dp, stored, tree
 from kwforge.sources import readers
 from kwforge.sources.shared import cut, shared_dir
-from kwforge.streaming import assign
+from kwforge.streaming import assign, upkeep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -744,6 +744,26 @@ def assign_changing_sides(s, d):
     return sides.placed()
 
 
+_KEPT_UP = f"""docs AS (SELECT doc_id AS obj_id, CASE WHEN doc_id % 5 = 1 THEN substr(text, 1, length(text) // 2) ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0
+UNION ALL SELECT 1000000000 + conv_id * 1000 + turn, text FROM conversations), ow AS (SELECT DISTINCT obj_id, unnest({_W.format("text")}) AS kw FROM docs), {_QW}, {_HITS}"""
+
+
+@query(f"WITH {_KEPT_UP} SELECT query_id, obj_id FROM hits")
+def kept_up_search(s, d):
+    """Search over a tree of all documents after two batches of updates: deletes and shortened texts, folded into a new
+    version, and then the turns of all conversations as new objects, which are read as deltas."""
+    ow, qw = _ow_once(s, d), cut(_qw(s, d), "queries")
+    index = upkeep.Index(s, f"{_tree_path(s)}-kept-up")
+    index.create(ow, qw, max_depth=2)
+    row = lambda i, text, gone, n: (i.alias("obj_id"), text.alias("text"), gone.alias("deleted"), F.lit(n).cast("long").alias("version"))
+    docs, turns, i = _table(s, d, "documents"), _table(s, d, "conversations"), F.col("doc_id")
+    gone = i % 7 == 0
+    index.apply(docs.filter(gone | (i % 5 == 1)).select(*row(i, F.expr("substring(text, 1, length(text) div 2)"), gone, 1)), 0)
+    index.fold(qw, max_depth=1)
+    index.apply(turns.select(*row(F.lit(1_000_000_000) + F.col("conv_id") * 1000 + F.col("turn"), F.col("text"), F.lit(False), 2)), 1)
+    return index.search(qw)
+
+
 # --- sets and samples
 
 
@@ -764,10 +784,11 @@ def workload_load_counts(s, d):
     return readers.workload_ids(turns, keywords.vocabulary(_ow(s, d)))[1]
 
 
-@query(f"WITH {_OW}, {_VOCAB}, {_QW}, e AS (SELECT kw, embedding FROM vocab JOIN embeddings ON vec_id = kw_id % 500), x AS (SELECT query_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM qw JOIN e USING (kw)) SELECT query_id, CAST(dim AS INTEGER) AS dim, round(avg(CAST(x AS DOUBLE)), 5) AS value FROM x GROUP BY ALL")
+@query(f"WITH {_OW}, {_VOCAB}, {_QW}, e AS (SELECT kw, embedding FROM vocab JOIN embeddings ON vec_id = kw_id % (SELECT count(*) FROM embeddings)), x AS (SELECT query_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM qw JOIN e USING (kw)) SELECT query_id, CAST(dim AS INTEGER) AS dim, round(avg(CAST(x AS DOUBLE)), 5) AS value FROM x GROUP BY ALL")
 def mean_keyword_vectors(s, d):
     """The mean of the vectors of an item's keywords."""
-    vectors = keywords.vocabulary(_ow(s, d)).withColumn("vec_id", F.col("kw_id") % 500).join(_table(s, d, "embeddings"), "vec_id").select("kw", F.col("embedding").alias("vector"))
+    embeddings = _table(s, d, "embeddings")
+    vectors = keywords.vocabulary(_ow(s, d)).withColumn("vec_id", F.col("kw_id") % F.lit(embeddings.count())).join(embeddings, "vec_id").select("kw", F.col("embedding").alias("vector"))
     return keywords.mean_vectors(_qw(s, d), vectors, "query_id").select("query_id", "dim", F.round("value", 5).alias("value"))
 
 
