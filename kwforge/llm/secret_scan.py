@@ -35,20 +35,22 @@ from kwforge.llm.tokens import RANK_FILE, read_ranks, vocabulary_path
 
 _KEYWORD = r"(?:[Pp]ass(?:word|wd)?|PASS(?:WORD|WD)?|[Pp]wd|PWD|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY|[Aa]ccess[_-]?[Kk]ey|ACCESS[_-]?KEY)"
 #: A name may go on after its keyword: API_KEY_PROD, token2.
-_REST = r"(?:[_-][A-Za-z0-9_-]{0,32}|[0-9]{1,3})?"
-_ASSIGN = _KEYWORD + _REST + r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?"
+_REST = r"(?:[_-][A-Za-z0-9_-]*+|[0-9]++)?+"
+#: A name is looked into once, from its start, and only if it is assigned to; so names of any length cost one pass.
+_NAME = "[A-Za-z0-9_-]"
+_ASSIGN = f"(?<!{_NAME})(?={_NAME}*+[\"']?\\s*+[:=]){_NAME}*?" + _KEYWORD + _REST + r"[\"']?\s*+[:=]\s*+[\"']?"
 #: What stands before a value and is no part of it: a telling name, an authorisation header, the user of a connection string.
-_BEFORE = f"(?:{_ASSIGN}|[Bb]earer\\s{{1,3}}|://[^\\s/:@\"']++:)"
+_BEFORE = f"(?:{_ASSIGN}|[Bb]earer\\s++|://[^\\s/:@\"']++:)"
 _KNOWN = (
     r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_(?:live|test)_[A-Za-z0-9]{16,}"
-    r"|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
+    r"|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}|-----BEGIN [A-Z ]*?PRIVATE KEY-----(?:[A-Za-z0-9+/=\s\\:,]*+-----END [A-Z ]*?PRIVATE KEY-----)?+"
 )
 _RUN = "[A-Za-z0-9+/_-]"
 _OPAQUE = f"(?<!{_RUN})(?=[A-Za-z+/_-]*+[0-9])(?={_RUN}{{16}})(?!{_RUN}*?{_ASSIGN}){_RUN}{{16,}}+(?:={{1,2}}(?![A-Za-z0-9]))?"
 #: The password of a connection string, a value under a telling name or in a header, a known form, or a long run with a digit.
-CANDIDATE = f"://[^\\s/:@\"']++:[^\\s/@\"']{{6,}}(?=@)|(?:{_ASSIGN}|[Bb]earer\\s{{1,3}})[^\\s\"']{{8,}}|{_KNOWN}|{_OPAQUE}"
+CANDIDATE = f"://[^\\s/:@\"']++:[^\\s/@\"']{{6,}}(?=@)|(?:{_ASSIGN}|[Bb]earer\\s++)[^\\s\"']{{8,}}|{_KNOWN}|{_OPAQUE}"
 _CONTEXT = 40
-_NEAR_KEY = r"(?i)(password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|credential|auth)" + _REST + r"[\"']?\s{0,3}[:=]?\s{0,3}[\"']?$|bearer\s{1,3}$"
+_NEAR_KEY = r"(?i)(password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|credential|auth)" + _REST + r"[\"']?\s*+[:=]?\s*+[\"']?$|bearer\s++$"
 _NEAR_BENIGN = r"(?i)(commit|checksum|sha-?\d*|md5|digest|hash|uuid|guid|revision|etag|build|version|example|sample|dummy|placeholder|phone|card|order|invoice|ticket|isbn)\W{0,3}$"
 #: Values that stand for a secret that is elsewhere, or for none.
 _STAND_IN = r"(?i)example|sample|dummy|placeholder|change.?me|your|^\$|[<{\[(]|\benv\b|environ|getenv|x{4,}|\*{3,}|0{8,}|1234567"
@@ -88,7 +90,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
         "text_key",
         (F.col("x.starts") + F.length(prefix)).cast("long").alias("start"),
         value.alias("value"),
-        F.right(F.concat(F.get("between", F.col("i")), prefix), F.lit(_CONTEXT)).alias("before"),
+        F.right(F.concat(F.get("between", F.col("i")), prefix), F.greatest(F.lit(_CONTEXT), F.length(prefix))).alias("before"),
         F.left(F.get("between", F.col("i") + 1), F.lit(_CONTEXT)).alias("after"),
     )
 
