@@ -112,7 +112,9 @@ def pack(
         if n < 2:
             break
         fewer = max(1, -(-n // items_per_task), tasks // 8)
-        merged = cut(was.repartition(fewer, F.xxhash64("items")).mapInArrow(merge, BIN), "bins")
+        # by content and place in the written table: repeated rows make equal bins, which may be a large part of all
+        dealt = was.withColumn("at", F.monotonically_increasing_id()).repartition(fewer, F.xxhash64("items", "at")).drop("at")
+        merged = cut(dealt.mapInArrow(merge, BIN), "bins")
         done = done.unionByName(merged.filter(F.col("fill") >= capacity - slack))
         was = merged.filter(F.col("fill") < capacity - slack)
         saved = n - merged.count()
