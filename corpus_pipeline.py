@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kwforge.llm import best_fit_packing, minhash_dedup, quality_classifier, quality_rules, secret_scan
-from kwforge.llm.common import cut, table
+from kwforge.llm.common import cut, each_salt, salt, salts_met, table
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,15 +25,24 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, the smallest id, of every group of near-duplicates; rows without an id or a text stay.
+    """Keep one document, the smallest id, of every group of near-duplicates; rows without a text stay.
 
-    Rows of one id that has several texts stay too: an id can't say which of them is the copy.
+    Of rows with one text a single one stays, whatever their ids: repeated rows, rows without an id, ids with several
+    texts. A text of an id with several texts that is only near another text stays, as links are between ids.
     """
     reps, links = minhash_dedup.near_links(docs)
     classes = minhash_dedup.components(links).filter(F.col("id") != F.col("component")).select("id")
     several = reps.groupBy("id").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high")).filter("low <> high").select("id")
     gone = reps.filter(F.col("id") != F.col("rep")).select("id").union(classes).distinct().join(several, "id", "left_anti")
-    return docs.join(gone.hint("merge"), docs.doc_id == gone.id, "left_anti")
+    # docs are a written table, so a row has the same number in every scan
+    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    left = rows.join(gone.hint("merge"), rows.doc_id == gone.id, "left_anti")
+    keyed = cut(left.filter("text IS NOT NULL").select("__row", "doc_id", F.xxhash64("text").alias("x"), F.sha2("text", 256).alias("key"), salt("__row").alias("salt")), "text-keys")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row"))["__row"].alias("first")
+    repeated = keyed.groupBy("x", "key").agg(F.count("*").alias("n"), first, salts_met("salt").alias("mask")).filter("n > 1")
+    # the rows of a text meet its first one dealt into parts, as one text may be a large part of all rows
+    extra = keyed.join(repeated.select("x", "key", "first", each_salt().alias("salt")), ["x", "key", "salt"]).filter("__row <> first").select("__row")
+    return left.join(extra.hint("merge"), "__row", "left_anti").select(docs.columns)
 
 
 def secret_scan_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,10 +35,12 @@ def test_empty(spark):
         docs = out if name != corpus_pipeline.STAGES[-1][0] else docs
 
 
-def test_near_dedup_by_text(spark):
-    """Rows of one id with several texts stay; copies under other ids go; rows without an id or a text stay."""
-    copy, own = "one two three four five six seven eight", "other words that no other row of this table has at all"
-    rows = [(1, copy), (2, copy), (3, copy), (3, own), (None, copy), (4, None), (5, copy), (5, copy)]
-    df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    kept = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_dedup_stage(spark, df, SF).collect()), key=str)
-    assert kept == sorted([(1, copy), (3, copy), (3, own), (None, copy), (4, None)], key=str)
+def test_near_dedup_by_text(spark, tmp_path):
+    """One row of each text stays: under other ids, repeated, without an id, beside other texts of an id; rows without a text stay."""
+    copy, own, lost = "one two three four five six seven eight", "other words that no other row of this table has at all", "a text that rows without an id alone have"
+    rows = [(1, copy), (1, copy), (1, copy), (2, copy), (3, copy), (3, own), (None, copy), (4, None), (4, None), (5, copy), (None, lost), (None, lost), (6, own)]
+    spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d"))
+    out = corpus_pipeline.near_dedup_stage(spark, df, SF)
+    kept = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert out.columns == df.columns and kept == sorted([(1, copy), (3, own), (None, lost), (4, None), (4, None)], key=str)
