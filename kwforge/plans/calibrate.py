@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kwforge.functions.medians import middle_pair
+
 ANCHORS, UNIVERSAL, FILLERS = 200, 8, 4
 
 
@@ -32,8 +34,9 @@ def controlled_queries(spark: SparkSession, lengths: range = range(2, 9), result
 
 
 def median_of_repeats(samples: DataFrame, features: list[str], target: str) -> DataFrame:
-    """One row a feature tuple with the interpolated median of the target."""
-    return samples.groupBy(*features).agg(F.median(target).alias(target))
+    """One row a feature tuple with the interpolated median of the target; tuples without a target leave none."""
+    pair = middle_pair(samples, features, target)
+    return pair.select(*features, ((F.col("low") + F.col("high")) / 2).alias(target))
 
 
 def gram(samples: DataFrame, columns: dict, target) -> dict[str, float]:

@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kwforge.functions import medians
 from kwforge.functions.cost import BOTH, CostModel
 from kwforge.functions.text import TOKENIZERS
 from kwforge.operators import bitmaps, graph, keywords, routing, search, similar
-from kwforge.plans import build, calibrate, dp, stored, tree
+from kwforge.plans import build, calibrate, dp, learn, lloyd, stored, svd, tree
 from kwforge.sources import readers
 from kwforge.sources.shared import cut, shared_dir
 from kwforge.streaming import assign, upkeep
@@ -832,6 +833,74 @@ def sampling_ratios(s, d):
     return a.join(seen).select(F.round(F.col("o") / F.col("so"), 6).alias("r_objects"), F.round(F.col("w") / F.col("sw"), 6).alias("r_keywords"))
 
 
+# --- splits over a whole node
+
+_UNIT = f"w AS (SELECT obj_id, kw, 1 / sqrt(n) AS x FROM ow JOIN (SELECT obj_id, count(*) AS n FROM ow GROUP BY obj_id) USING (obj_id)), ids AS (SELECT DISTINCT obj_id FROM w), c1 AS (SELECT kw, x AS v FROM w WHERE obj_id = (SELECT min(obj_id) FROM w)), far AS (SELECT obj_id, round(coalesce(sum(x * v), 0), 9) AS d FROM w LEFT JOIN c1 USING (kw) GROUP BY obj_id), c2 AS (SELECT kw, x AS v FROM w WHERE obj_id = (SELECT arg_min(obj_id, (d, obj_id)) FROM far))"
+
+
+def _lloyd_sql(m, i):
+    """One round of a metric: centres c{m}{i} (kw, side, v), the sides s{m}{i}, what they cost, and the centres of the next round."""
+    half = f"(SELECT 0.5 * sum(v * v) FROM c{m}{i} WHERE side = %d)" if m == "euclidean" else "0.0"
+    near = lambda k: f"round(coalesce(sum(x * v) FILTER (side = {k}), 0) - {half.replace('%d', str(k))}, 9)"
+    scaled = "v / sqrt(sum(v * v) OVER (PARTITION BY side))" if m == "cosine" else "v"
+    return f"""s{m}{i} AS (SELECT obj_id, CASE WHEN {near(1)} > {near(0)} THEN 1 ELSE 0 END AS side FROM w LEFT JOIN c{m}{i} USING (kw) GROUP BY obj_id),
+b{m}{i} AS (SELECT '{m}' AS metric, {i} AS round, sum(omega * o + 32 * omega + 32 * o) AS bits FROM (SELECT side, count(DISTINCT obj_id) AS o, count(DISTINCT kw) AS omega FROM w JOIN s{m}{i} USING (obj_id) GROUP BY side)),
+c{m}{i + 1} AS (SELECT kw, side, {scaled} AS v FROM (SELECT kw, side, sum(x) / any_value(n) AS v FROM w JOIN s{m}{i} USING (obj_id) JOIN (SELECT side, count(*) AS n FROM s{m}{i} GROUP BY side) USING (side) GROUP BY kw, side))"""
+
+
+_ROUNDS, _METRICS = 3, ("cosine", "euclidean")
+_CURVE = ", ".join(f"c{m}0 AS (SELECT kw, 0 AS side, v FROM c1 UNION ALL SELECT kw, 1, v FROM c2), " + ", ".join(_lloyd_sql(m, i) for i in range(_ROUNDS)) for m in _METRICS)
+
+
+@query(f"WITH {_OW}, {_UNIT}, {_CURVE} SELECT metric, CAST(round AS INTEGER) AS round, CAST(bits AS DOUBLE) AS bits FROM (" + " UNION ALL ".join(f"SELECT * FROM b{m}{i}" for m in _METRICS for i in range(_ROUNDS)) + ")")
+def two_means_curve(s, d):
+    """Storage of the two sides of all documents after each of three rounds of 2-means, by either metric."""
+    ow, out = _ow_once(s, d), []
+    for m in _METRICS:
+        curve = {i: bits for i, bits, _ in lloyd.two_means(ow, _ROUNDS, m)[1]}
+        out += [(m, i, curve.get(i, curve[max(curve)])) for i in range(_ROUNDS)]  # settled sides stay
+    return s.createDataFrame(out, "metric string, round int, bits double")
+
+
+def keyword_svd(s, d):
+    """The two leading singular values of the documents' keyword matrix, and every document on these axes; SQL has no such form."""
+    values, x, _ = svd.truncated_svd(_ow_once(s, d), tolerance=1e-7)
+    return x.select(F.col("obj_id"), *(F.get("x", F.lit(i)).alias(f"x{i}") for i in range(2)), *(F.lit(v).alias(f"singular{i}") for i, v in enumerate((*values, 0.0, 0.0)[:2])))
+
+
+QUERIES["keyword_svd"] = keyword_svd
+
+_GATED = f"""fx AS (SELECT obj_id, kw, CAST('0x' || md5(kw)[1:8] AS BIGINT) % 256 AS f, 1 / sqrt(n) AS x FROM ow JOIN (SELECT obj_id, count(*) AS n FROM ow GROUP BY obj_id) USING (obj_id)), wt AS (SELECT f, ((f * 7919) % 1009) / 1009.0::DOUBLE - 0.5::DOUBLE AS w FROM range(256) t(f)),
+pi AS (SELECT obj_id, 1 / (1 + exp(-sum(w * x))) AS pi FROM fx JOIN wt USING (f) GROUP BY obj_id), ms AS (SELECT kw, sum(pi) AS sl, sum(1 - pi) AS sr FROM fx JOIN pi USING (obj_id) GROUP BY kw),
+gt AS (SELECT kw, least(1 - exp(-sl), 0.999999::DOUBLE) AS kl, least(1 - exp(-sr), 0.999999::DOUBLE) AS kr, exp(-sl) AS el, exp(-sr) AS er FROM ms), rs AS (SELECT query_id, count(*) AS r FROM hits GROUP BY query_id),
+mq AS (SELECT query_id, q, coalesce(r, 0) AS r, ml, mr FROM (SELECT query_id, count(*) AS q, exp(sum(coalesce(ln(kl + 1e-9::DOUBLE), ln(1e-9::DOUBLE)))) AS ml, exp(sum(coalesce(ln(kr + 1e-9::DOUBLE), ln(1e-9::DOUBLE)))) AS mr FROM qw LEFT JOIN gt USING (kw) GROUP BY query_id) LEFT JOIN rs USING (query_id)),
+tt AS (SELECT * FROM (SELECT count(*) AS n, sum(pi) AS ol, sum(1 - pi) AS o_r, avg(-(pi * ln(pi) + (1 - pi) * ln(1 - pi))) AS h FROM pi), (SELECT sum(kl) AS wl, sum(kr) AS wr FROM gt), (SELECT sum(ml) AS ql, sum(mr) AS qr, sum(ml * q) AS lql, sum(mr * q) AS lqr, sum(ml * r) AS rl, sum(mr * r) AS rr FROM mq))"""
+_C = {k: f"CAST({v} AS DOUBLE)" for k, v in (("e", 380.17), ("a", 0.106), ("g", 1.749))}
+
+
+def _soft_step(s, d):
+    ow, qw = _ow_once(s, d), cut(_qw(s, d), "queries")
+    results = search.contains_all(ow, qw).groupBy("query_id").agg(F.count("*").alias("r"))
+    return learn.step(cut(learn.hashed(ow), "hashed"), qw, results, learn.first_weights(s), BOTH)
+
+
+@query(f"""{_DQ}, {_GATED} SELECT round(ol, 6) AS o_l, round(wl, 6) AS omega_l, round(wr, 6) AS omega_r, round(ql, 6) AS w_l, round(rr, 6) AS sum_r_r,
+round(wl * ol + 32 * wl + 32 * ol + wr * o_r + 32 * wr + 32 * o_r + {_C['e']} * (ql + qr) + {_C['a']} * (lql * ol + lqr * o_r) + {_C['g']} * (rl + rr) + 0.01::DOUBLE * power(ol / n - 0.5, 2) - 0.001::DOUBLE * h, 2) AS cost FROM tt""")
+def soft_split_cost(s, d):
+    """The soft cost of a split of all documents at the first weights, and what it is made of."""
+    one = _soft_step(s, d)[1]
+    return one.select(*(F.round(c, 6).alias(c) for c in ("o_l", "omega_l", "omega_r", "w_l", "sum_r_r")), F.round("cost", 2).alias("cost"))
+
+
+@query(f"""{_DQ}, {_GATED}, aq AS (SELECT kw, sum(({_C['e']} + {_C['a']} * q * ol + {_C['g']} * r) * ml) AS al, sum(({_C['e']} + {_C['a']} * q * o_r + {_C['g']} * r) * mr) AS ar FROM mq JOIN qw USING (query_id), tt GROUP BY kw),
+bk AS (SELECT kw, (ol + 32 + coalesce(al, 0) / (kl + 1e-9::DOUBLE)) * el - (o_r + 32 + coalesce(ar, 0) / (kr + 1e-9::DOUBLE)) * er AS dk FROM gt LEFT JOIN aq USING (kw), tt),
+bo AS (SELECT obj_id, (dk + wl + 32 + {_C['a']} * lql - wr - 32 - {_C['a']} * lqr + 0.02::DOUBLE * (ol / n - 0.5) / n + 0.001::DOUBLE * ln(pi / (1 - pi)) / n) * pi * (1 - pi) AS g FROM (SELECT obj_id, sum(dk) AS dk FROM fx JOIN bk USING (kw) GROUP BY obj_id) JOIN pi USING (obj_id), tt)
+SELECT CAST(f AS INTEGER) AS f, round(sum(g * x), 3) AS g FROM fx JOIN bo USING (obj_id) GROUP BY f""")
+def soft_split_gradient(s, d):
+    """The gradient of that cost, bucket by bucket."""
+    return _soft_step(s, d)[2].select("f", F.round("g", 3).alias("g"))
+
+
 # --- calibration (events stand in for latency samples)
 
 
@@ -847,9 +916,15 @@ def latency_median(s, d):
 
 @query(f"WITH {_SAMPLES}, r AS (SELECT n_obj, ns, row_number() OVER (PARTITION BY n_obj ORDER BY ns) AS i, count(*) OVER (PARTITION BY n_obj) AS n FROM s) SELECT n_obj, CAST(sum(ns) // count(*) AS BIGINT) AS ns FROM r WHERE i IN ((n + 1) // 2, n // 2 + 1) GROUP BY n_obj")
 def median_int(s, d):
-    w = Window.partitionBy("n_obj")
-    r = _samples(s, d).select("n_obj", "ns", F.row_number().over(w.orderBy("ns")).alias("i"), F.count("*").over(w).alias("n"))
-    return r.filter("i IN ((n + 1) div 2, n div 2 + 1)").groupBy("n_obj").agg(F.expr("sum(ns) div count(*)").alias("ns"))
+    m = medians.middle_pair(_samples(s, d), ["n_obj"], "ns")
+    return m.select("n_obj", F.expr("(low + high) div 2").alias("ns"))
+
+
+@query("SELECT l_returnflag, count(*) AS n, round(median(l_extendedprice), 4) AS price FROM lineitem GROUP BY l_returnflag")
+def hot_group_median(s, d):
+    """Median price of three groups, the largest with half of all rows."""
+    m = medians.middle_pair(_table(s, d, "lineitem"), ["l_returnflag"], "l_extendedprice")
+    return m.select("l_returnflag", "n", F.round((F.col("low") + F.col("high")) / 2, 4).alias("price"))
 
 
 @query(f"WITH {_PRED} SELECT plot_type, qk, round(avg(ns), 4) AS mean_ns, round(avg(pred), 4) AS mean_pred, count(*) AS n FROM p GROUP BY ALL")
