@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from kwforge.functions import medians
 from kwforge.functions.cost import BOTH, CostModel
 from kwforge.functions.text import TOKENIZERS
-from kwforge.operators import bitmaps, graph, keywords, routing, search, similar
+from kwforge.operators import bitmaps, containers, graph, keywords, routing, search, similar
 from kwforge.plans import build, calibrate, dp, learn, lloyd, stored, svd, tree
 from kwforge.sources import readers
 from kwforge.sources.shared import cut, shared_dir
@@ -280,6 +280,21 @@ def bitmap_search(s, d):
     return bitmaps.decode(met, ["query_id"]).select("query_id", F.col("position").alias("obj_id"))
 
 
+@query(f"{_DQ} SELECT query_id, obj_id FROM hits")
+def container_search(s, d):
+    """The same search over compressed bitmaps."""
+    held = containers.encode(search.held_pairs(_ow(s, d), _qw(s, d)), ["kw"], "obj_id")
+    return containers.intersect(held, _qw(s, d)).select("query_id", F.col("position").alias("obj_id"))
+
+
+@query(f"""WITH {_OW}, ch AS (SELECT kw, obj_id // 32768 AS chunk, CASE WHEN lag(obj_id) OVER (PARTITION BY kw, obj_id // 32768 ORDER BY obj_id) = obj_id - 1 THEN 0 ELSE 1 END AS run FROM ow), ct AS (SELECT kw, chunk, count(*) AS n, sum(run) AS runs FROM ch GROUP BY ALL),
+k AS (SELECT *, CASE WHEN 2 * n <= least(4 * runs, 4096) THEN 'array' WHEN 4 * runs <= 4096 THEN 'runs' ELSE 'bitmap' END AS kind FROM ct)
+SELECT kind, count(*) AS containers, CAST(sum(n) AS BIGINT) AS positions, CAST(sum(CASE kind WHEN 'array' THEN 2 * n WHEN 'runs' THEN 4 * runs ELSE 4096 END) AS BIGINT) AS bytes FROM k GROUP BY kind""")
+def container_sizes(s, d):
+    """What compressed bitmaps of all documents take, by kind."""
+    return containers.sizes(containers.encode(_ow(s, d), ["kw"], "obj_id"))
+
+
 @query(f"WITH {_OW}, {_EDGES}, lo AS (SELECT obj_id % 8 AS leaf_id, obj_id, row_number() OVER (PARTITION BY obj_id % 8 ORDER BY obj_id) - 1 AS pos FROM (SELECT DISTINCT obj_id FROM ow)) SELECT leaf_id, kw, pos // 32 AS word_idx, bit_or(1::BIGINT << (pos % 32)::INT) AS word FROM ow JOIN lo USING (obj_id) GROUP BY ALL")
 def leaf_bitmaps(s, d):
     ow = _ow_once(s, d)
