@@ -18,7 +18,7 @@ from kwforge.functions.cost import BOTH, CostModel
 from kwforge.functions.text import TOKENIZERS
 from kwforge.operators import bitmaps, containers, graph, keywords, routing, search, similar
 from kwforge.plans import build, calibrate, dp, learn, lloyd, stored, svd, tree
-from kwforge.sources import readers
+from kwforge.sources import indexed, readers
 from kwforge.sources.shared import cut, shared_dir
 from kwforge.streaming import assign, upkeep
 
@@ -130,6 +130,15 @@ def postings(s, d):
     return p.select("kw", F.size("ids").cast("long").alias("n"), total.alias("id_sum"), F.element_at("ids", 1).alias("first_id"), F.element_at("ids", -1).alias("last_id"))
 
 
+@query(r"WITH t AS (SELECT DISTINCT p_partkey, unnest(list_filter(regexp_split_to_array(p_name, '[,\s;|]+'), lambda x: x <> '')) AS kw FROM part) SELECT dense_rank() OVER (ORDER BY kw) - 1 AS kw_id, kw, count(*) AS n FROM t GROUP BY kw")
+def csv_postings(s, d):
+    """Part names written as a CSV file under the heading Title, and indexed from it in one go."""
+    path = f"{shared_dir(s)}/kwforge/{s.sparkContext.applicationId}/csv-{uuid.uuid4().hex}"
+    _table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("Title")).write.csv(path, header=True, quoteAll=True, escape='"')
+    ix = indexed.index_csv(s, path)
+    return ix.postings.join(ix.vocabulary, "kw_id").select("kw_id", "kw", F.size("ids").cast("long").alias("n"))
+
+
 @query(f"WITH {_OW}, {_VOCAB} SELECT obj_id, kw_id FROM ow JOIN vocab USING (kw)")
 def object_keywords(s, d):
     ow = _ow_once(s, d)
