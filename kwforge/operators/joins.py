@@ -1,4 +1,4 @@
-"""A join for keys that may be very frequent on one side and have a few rows on the other."""
+"""Joins with a side whose size is not known before: keys that may be very frequent, tables that may be small."""
 
 from __future__ import annotations
 
@@ -6,6 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PARTS = 16
+#: Rows of a few numbers that a broadcast may have; a table of more is joined by a shuffle.
+FEW = 1 << 20
+
+
+def if_few(df: DataFrame, most: int = FEW) -> DataFrame:
+    """The table, marked for a broadcast if it has `most` rows at most. It should be cheap to count: written, or a scan."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def join_dealt(rows: DataFrame, told: DataFrame, key: str, by: str, parts: int = PARTS) -> DataFrame:

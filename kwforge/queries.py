@@ -600,7 +600,7 @@ def subtree_keywords(s, d):
 # --- the life of a tree: built, thinned, stored, searched
 
 
-def _built(s, d, depth=3):
+def _built(s, d, depth=2):
     """(objects, queries, leaves, edges) of a tree over all documents, split by 2-means on samples."""
     ow, qw = _ow_once(s, d), cut(_qw(s, d), "queries")
     leaves, edges = build.build(ow, qw, CostModel(), max_depth=depth)
@@ -613,7 +613,7 @@ def _tree_path(s):
 
 def _stored(s, d, thin=False):
     """(queries, stored tree, leaves): the built tree, thinned or not, saved and loaded again."""
-    ow, qw, leaves, edges = _built(s, d)
+    ow, qw, leaves, edges = _built(s, d, 3 if thin else 2)
     if thin:
         nodes = cut(build.node_table(leaves, ow, qw, CostModel()), "nodes")
         edges = dp.materialize(dp.solve(nodes, edges, CostModel()), edges, 1)
@@ -652,7 +652,7 @@ def built_tree_integrity(s, d):
 @query("SELECT true AS claim_holds, true AS not_dearer, true AS split_pays")
 def thinned_tree_gain(s, d):
     """What the node removal claims for the built tree is what the thinned tree costs, and no more than the whole one; splitting paid at all."""
-    ow, qw, leaves, edges = _built(s, d)
+    ow, qw, leaves, edges = _built(s, d, 3)
     nodes = cut(build.node_table(leaves, ow, qw, CostModel()), "nodes")
     solved = dp.solve(nodes, edges, CostModel())
     claimed = solved.filter("node_id = 1 AND k = 1").select(F.col("cost").alias("claimed"))
