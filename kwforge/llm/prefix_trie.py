@@ -208,3 +208,19 @@ def prefix_trie(conversations: DataFrame, parts: int | None = None) -> DataFrame
 
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations")).drop("chars")
+
+
+#: CRC-32 of a decimal number by its definition: bits shifted out of each byte in turn.
+_CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, len(CAST({0} AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST({0} AS VARCHAR), CAST(i AS INTEGER), 1)) AS BIGINT))),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), CAST(range(8) AS BIGINT[])), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, CAST(3988292384 AS BIGINT)) ELSE x >> 1 END)), CAST(4294967295 AS BIGINT))"""
+
+#: The same nodes in DuckDB, with whole beginnings as keys. Rows of one turn number come in no set order there.
+SQL = f"""WITH t AS (SELECT conv_id, list({{'r': coalesce(role, ''), 'x': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS own FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, own, {_CRC.format('conv_id')} % 6 AS h FROM t),
+b AS (SELECT h.conv_id, CASE WHEN p.own IS NULL THEN h.own[h.h + 1:] ELSE list_concat(p.own[1:h.h], h.own[h.h + 1:]) END AS path FROM h LEFT JOIN t p ON p.conv_id = h.conv_id - h.conv_id % 100),
+m AS (SELECT conv_id, path, unnest(range(0, len(path) + 1)) AS d FROM b),
+g AS (SELECT path[1:d] AS p, d, min(conv_id) AS conv_id, count(*) AS n, string_agg(CASE WHEN len(path) = d THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id) AS e FROM m GROUP BY ALL),
+k AS (SELECT p[1:d - 1] AS p, count(*) AS kids FROM g WHERE d > 0 GROUP BY ALL), g2 AS (SELECT g.*, coalesce(kids, 0) AS kids FROM g LEFT JOIN k USING (p)),
+a AS (SELECT p[1:j] AS p, count(*) FILTER (kids = 0) AS leaves, sum(CASE WHEN d = 0 THEN 0 ELSE (n - 1) * length(p[d].x) END) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS j FROM g2) GROUP BY ALL)
+SELECT g2.conv_id, g2.d AS depth, u.conv_id AS parent_conv_id, g2.n AS n_convs, g2.kids AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(g2.e, '')) AS ends_sha256
+FROM g2 JOIN a ON a.p = g2.p LEFT JOIN g u ON g2.d > 0 AND u.p = g2.p[1:g2.d - 1]"""

@@ -32,4 +32,4 @@ QUERIES = {
     "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
-ORACLE_SQL = {"op9_quality_rules": quality_rules.SQL}
+ORACLE_SQL = {"op9_quality_rules": quality_rules.SQL, "op13_prefix_trie": prefix_trie.SQL}

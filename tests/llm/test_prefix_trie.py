@@ -4,8 +4,8 @@ import hashlib
 import random
 import zlib
 
+import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 from kwforge.llm import prefix_trie
 
@@ -56,6 +56,14 @@ def test_op13(spark):
     assert dict(df.dtypes) == {n: "string" if n == "ends_sha256" else "bigint" for n in NAMES}
 
 
+def test_op13_sql():
+    """The SQL that the query is held against, itself held against brute force."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
+    rows = con.execute("SELECT conv_id, turn, role, text FROM conversations").fetchall()
+    assert sorted(con.execute(f"SELECT {', '.join(NAMES)} FROM ({prefix_trie.SQL})").fetchall(), key=str) == brute_force(rows, BY_TURN)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_op13_random(spark, seed):
     """Shared beginnings, nulls, short bases, absent bases, conversations without turns, negative ids, null ids."""
