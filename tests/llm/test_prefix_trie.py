@@ -106,4 +106,3 @@ def test_op13_one_exchange_a_family(spark):
     plan = prefix_trie.family_nodes(turns, prefix_trie._contexts(turns))._jdf.queryExecution().executedPlan().toString()
     above = plan.split("Exchange hashpartitioning(part")[0]
     assert "Window" in above and "Aggregate" in above and "Exchange" not in above
-    assert F is not None
