@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kwforge.llm import best_fit_packing, minhash_dedup, quality_classifier, quality_rules, secret_scan
-from kwforge.llm.common import cut, each_salt, salt, salts_met, table
+from kwforge.llm.common import cut, table
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,13 +36,10 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     gone = reps.filter(F.col("id") != F.col("rep")).select("id").union(classes).distinct().join(several, "id", "left_anti")
     # docs are a written table, so a row has the same number in every scan
     rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    left = rows.join(gone.hint("merge"), rows.doc_id == gone.id, "left_anti")
-    keyed = cut(left.filter("text IS NOT NULL").select("__row", "doc_id", F.xxhash64("text").alias("x"), F.sha2("text", 256).alias("key"), salt("__row").alias("salt")), "text-keys")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row"))["__row"].alias("first")
-    repeated = keyed.groupBy("x", "key").agg(F.count("*").alias("n"), first, salts_met("salt").alias("mask")).filter("n > 1")
-    # the rows of a text meet its first one dealt into parts, as one text may be a large part of all rows
-    extra = keyed.join(repeated.select("x", "key", "first", each_salt().alias("salt")), ["x", "key", "salt"]).filter("__row <> first").select("__row")
-    return left.join(extra.hint("merge"), "__row", "left_anti").select(docs.columns)
+    keys = rows.select("__row", "doc_id", F.coalesce(F.sha2("text", 256), F.col("__row").cast("string")).alias("key"))
+    left = keys.join(cut(gone, "gone").hint("merge"), keys.doc_id == F.col("id"), "left_anti")
+    kept = left.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row"))["__row"].alias("__row"))
+    return rows.join(kept.select("__row").hint("merge"), "__row", "left_semi").select(docs.columns)
 
 
 def secret_scan_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
