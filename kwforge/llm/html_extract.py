@@ -6,8 +6,9 @@ valid if it occurs on several pages, its tags keep one order on each of them, an
 classes are the host's template. What lies between two template tags is a slot, told apart by the tag before it and its
 occurrence. A slot with the same content on nearly all pages belongs to the template, as does a block that nearly all
 pages have: both go, inside an article too. Of the varying slots, the fixed names of menus, notices and the like drop
-some more. The main text is what is left inside the main element, else inside the articles; on pages that have neither,
-it is all that is left but the blocks that more than half of the host's pages have.
+some more. The main text is what is left inside the main element, else inside the articles. On pages that have neither,
+statistics of each slot over the host tell furniture (mostly links, or text that other pages share) from content, and
+the main text is the content slots without the blocks that more than half of the host's pages have.
 
 How it scales: a vector is never stored. Each token of a page gives a hash of (page, count), and the xor of those over
 a host, with the number of pages and the total, stands for the vector; that is one aggregation with partial sums, so a
@@ -22,6 +23,7 @@ the same main text, count once for the template and each give their row. An empt
 from __future__ import annotations
 
 import collections
+import functools
 import html
 import re
 from collections.abc import Iterable, Iterator
@@ -33,14 +35,19 @@ from pyspark.sql.window import Window
 
 from kwforge.llm.common import cut, table
 
+#: Elements whose content is never shown text: to their end tag, to the end of the page, or to a tag that ends them.
+#: A drawing ends where an element of text starts, as browsers have it; fallbacks of media end with what lies around them.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|textarea|select|object|canvas|title)\b[^>]*(?:>.*?(?:</\1\s*>|\Z)|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(script|style|noscript|template|iframe|textarea|title)\b[^>]*(?:>.*?(?:</\1\s*>|\Z)|\Z)"
+    r"|<(svg)\b(?:[^>]*/>|[^>]*(?:>(?:<foreignobject\b.*?(?:</foreignobject\s*>|\Z)|.)*?"
+    r"(?:</svg\s*>|(?=</?(?:article|aside|body|div|footer|form|h[1-6]|header|html|main|nav|ol|p|section|table|ul)\b)|\Z)|\Z))"
+    r"|<(audio|canvas|object|select|video)\b[^>]*(?:>.*?(?:</\3\s*>|(?=</(?:article|body|html|main)\b)|\Z)|\Z)"
     r"|<(/?)([a-zA-Z][\w:-]*)((?:[\s=]++|[^>=\s]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+)*+)(?:>|\Z)",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"([^\s\"'=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_TELLING = re.compile(r"class|id|role|hidden|style", re.I)
+_TELLING = re.compile(r"class|id|role|hidden|style|itemprop", re.I)
 _NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 CONTAINERS = frozenset("html body article main section div nav header footer aside form ul ol dl table figure dialog blockquote menu".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th thead tbody tfoot caption pre hr br figcaption address details summary fieldset head".split())
@@ -51,8 +58,17 @@ BOILERPLATE_NAMES = re.compile(
     re.I,
 )
 #: Names that tell furniture even where an article lies around; the others are also names of an article's own parts.
-FURNITURE = re.compile(r"ads?|advert\w*|sponsor(?:ed)?|cookie-?(?:notice|consent|banner)|newsletter|subscribe|breadcrumbs?|sidebar|comments?|comment-?list|replies|responses|disqus|share|sharing|pagination|navigation|complementary|contentinfo", re.I)
-ADVERTS = re.compile(r"ads?|advert\w*|sponsor(?:ed)?", re.I)
+FURNITURE = re.compile(
+    r"ads?|advert\w*|sponsor(?:ed)?|promo(?:tion)?s?|cookie[-_]?(?:notice|consent|banner|bar)|newsletter|subscribe|breadcrumbs?|sidebar|comments?|replies|responses|disqus(?:[-_]thread)?|share|sharing|pagination|pager|navigation|navbar|toolbar|complementary|contentinfo|dialog|alertdialog|modal|popup|related"
+    r"|(?:ads?|advert|sponsor|promo|newsletter|subscribe|sidebar|signup|popup|modal)[-_](?:area|banner|bar|block|box|container|form|inner|label|panel|section|slot|unit|widget|wrap|wrapper)"
+    r"|(?:reader|user|post|blog)?[-_]?comments?[-_]?(?:area|block|body|box|container|feed|form|list|panel|section|thread|wrap|wrapper)"
+    r"|(?:reader|user)[-_]comments?"
+    r"|(?:share|sharing|social)[-_](?:bar|box|buttons?|icons?|links?|list|media|menu|share|sharing|tools|widget)"
+    r"|(?:related|recommended)[-_](?:articles?|box|content|items|links?|list|news|pages|posts?|reading|section|stories)",
+    re.I,
+)
+#: Names that tell furniture on any element but a heading.
+ANYWHERE = re.compile(r"ads?|advert\w*|sponsor(?:ed)?|share|sharing|(?:share|sharing|social)[-_](?:bar|box|buttons?|icons?|links?|list|media|menu|share|sharing|tools|widget)", re.I)
 
 #: Start tags that end an open element of the same or a like name without its end tag: (elements ended, where the search stops).
 _LISTS, _TABLE = frozenset("ul ol menu".split()), frozenset(["table"])
@@ -73,7 +89,7 @@ _SCOPE = {"li": _LISTS, "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "td":
 
 #: A page's own token, and what a template holds.
 PAGE = "@page"
-KINDS = ("tags", "texts", "fixed", "constant")
+KINDS = ("tags", "texts", "fixed", "constant", "furniture")
 
 
 def host(url: Column) -> Column:
@@ -91,13 +107,14 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, tuple]]:
         if m.start() > at:
             yield "text", "", page[at : m.start()], tuple(path)
         at = m.end()
-        name = (m.group(3) or "").lower()
+        skipped, (ends, name, attributes) = (m.group(1) or m.group(2) or m.group(3) or "").lower(), m.group(4, 5, 6)
+        name = (name or "").lower()
         if not name:
-            if m.group(1) and m.group(1).lower() not in ("script", "style"):
-                yield "skip", m.group(1).lower(), "", tuple(path)
+            if skipped and skipped not in ("script", "style"):
+                yield "skip", skipped, "", tuple(path)
             continue
-        if not m.group(2):
-            names, hidden = _telling(m.group(4)) if m.group(4) and _TELLING.search(m.group(4)) else ("", "")
+        if not ends:
+            names, marks = _telling(attributes) if attributes and _TELLING.search(attributes) else ("", "")
             if name not in _OF_HEAD:
                 _end(path, _HEAD, ())
             if name in _ENDS_P:
@@ -107,9 +124,9 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, tuple]]:
             elif name in HEADINGS and path and path[-1][0] in HEADINGS:
                 path.pop()
             yield "open", name, names, tuple(path)
-            if name in CONTAINERS or hidden or (names and BOILERPLATE_NAMES.search(names)) or name in BOILERPLATE_TAGS or any(t == name for t, _ in path):
-                if name not in VOID and not m.group(4).rstrip().endswith("/"):
-                    path.append((name, names + hidden))
+            if name in CONTAINERS or marks or (names and BOILERPLATE_NAMES.search(names)) or name in BOILERPLATE_TAGS or any(t == name for t, _ in path):
+                if name not in VOID and not attributes.rstrip().endswith("/"):
+                    path.append((name, names + marks))
         else:
             _end(path, (name,), _SCOPE.get(name, ()))
             yield "close", name, "", tuple(path)
@@ -118,20 +135,25 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, tuple]]:
 
 
 _PARAGRAPH, _HEAD = ("p",), ("head",)
-#: What the path says of a hidden element; "!" tells it apart from a class of that name.
-HIDDEN = " !hidden"
+#: What the path says of a hidden element and of one that a role or property names as the main or article element; the
+#: control character tells them apart from classes of that name.
+HIDDEN, MAIN, ARTICLE = " \x01hidden", " \x01main", " \x01article"
 
 
 def _telling(attributes: str) -> tuple[str, str]:
-    """(class, id and role in lower case, HIDDEN if the element is hidden) from a tag's attributes, each by its own name."""
-    names, hidden = [], ""
+    """(class, id and role in lower case, marks) from a tag's attributes, each by its own name."""
+    names, marks = [], set()
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), values[0] or values[1] or values[2]
         if key in ("class", "id", "role"):
             names.append(value.lower())
+            if key == "role":
+                marks |= {{"main": MAIN, "article": ARTICLE}.get(r, "") for r in value.lower().split()}
+        elif key == "itemprop" and "articlebody" in value.lower().split():
+            marks.add(ARTICLE)
         elif key == "hidden" or (key == "aria-hidden" and value.strip().lower() == "true") or (key == "style" and _NO_DISPLAY.search(value)):
-            hidden = HIDDEN
-    return " ".join(x for x in names if x), hidden
+            marks.add(HIDDEN)
+    return " ".join(x for x in names if x), "".join(sorted(marks))
 
 
 def _end(path: list[tuple[str, str]], names, stop) -> None:
@@ -167,7 +189,7 @@ def page_tokens(pages: DataFrame) -> DataFrame:
                 found = slots(parsed, frozenset(), _xxhash64)
                 doc = _xxhash64(plain_text(found))
                 seen = collections.Counter(role(*t) for t in parsed if t[0] in ("open", "close"))
-                runs = collections.Counter(role("text", "", b, path) for _, path, blocks, _ in found for b in blocks)
+                runs = collections.Counter(role("text", "", b, path) for _, path, blocks, *_ in found for b in blocks)
                 out.append((h, PAGE, False, doc, 1))
                 out += [(h, r, False, doc, n) for r, n in seen.items()] + [(h, r, True, doc, n) for r, n in runs.items()]
             cols = list(zip(*out, strict=True)) or [()] * 5
@@ -181,7 +203,9 @@ def class_orders(page: str, classes: dict[int, tuple[int, int]], sizes: dict[int
     """By class that is on the page: the hash of its tokens' order, or None where it has none or crosses a class of more pages.
 
     A class has an order if its tokens come in one sequence, each once, and that sequence is repeated. Two classes nest
-    if no repetition of the one starts inside a repetition of the other and ends after it.
+    if no repetition of the one starts inside a repetition of the other and ends after it. Classes of as many pages that
+    cross, as the boxes of a page and the headings in them do, nest once their repetitions are told apart by place, if
+    they interleave alike on all pages; so the hash is then that of their common sequence.
     """
     met: dict[int, list[tuple[int, int]]] = {}
     for place, t in enumerate(tokens(page)):
@@ -197,17 +221,24 @@ def class_orders(page: str, classes: dict[int, tuple[int, int]], sizes: dict[int
         if good:
             spans += [(found[k][0], found[k + m - 1][0], c) for k in range(0, len(found), m)]
     open_spans: list[tuple[int, int, int]] = []
+    woven: dict[int, set[int]] = {}
     for span in sorted(spans):
-        while open_spans and open_spans[-1][1] < span[0]:
-            open_spans.pop()
-        while open_spans and open_spans[-1][1] < span[1]:
-            worse = min(open_spans[-1][2], span[2], key=lambda c: (pages[c], c))
-            out[worse] = None
-            if worse == span[2]:
-                break
-            open_spans.pop()
-        else:
-            open_spans.append(span)
+        open_spans = [o for o in open_spans if o[1] >= span[0]]
+        crossed = [o for o in open_spans if o[1] < span[1] and pages[o[2]] != pages[span[2]]]
+        if any(pages[o[2]] > pages[span[2]] for o in crossed):
+            out[span[2]] = None
+            continue
+        for o in crossed:
+            out[o[2]] = None
+            open_spans.remove(o)
+        for o in open_spans:
+            if o[1] < span[1]:
+                woven.setdefault(o[2], set()).add(span[2])
+                woven.setdefault(span[2], set()).add(o[2])
+        open_spans.append(span)
+    for c, others in woven.items():
+        if out[c] is not None:
+            out[c] = digest("|".join(str(t) for _, t in sorted(x for k in (c, *others) for x in met[k])))
     return out
 
 
@@ -222,12 +253,16 @@ def with_template(pages: DataFrame, known: DataFrame, broadcast_bytes: int, salt
 
 
 def templates(pages: DataFrame, least_pages: int = 3, broadcast_bytes: int = 32 << 20, salts: int = 32) -> DataFrame:
-    """One row a host: tags, texts (blocks on more than half of its pages), fixed (blocks on nine tenths), constant (slots with their content).
+    """One row a host: tags, texts (blocks on more than half of its pages), fixed (blocks on nine tenths), constant (slots
+    with their content), furniture (slots of pages without a main element or article).
 
     Pages with the same main text count once, so that copies of an article don't make it a template. A class is valid if
     it lies on least_pages pages and at least a tenth of the host's, occurs equally often on each of them, has two tags
     or more, and keeps one order and nests on every page. A slot is constant if nine tenths of the pages that have it,
     and least_pages at least, have the same content there.
+    Furniture is told by a slot's text over all pages of the host that have it, least_pages at least: half of it or more
+    lies in links, or three quarters in blocks that pages with another main text have too, on any host. The slot with the
+    most text of its own is the host's content and never furniture.
     """
     once = page_tokens(pages).groupBy("host", "token", "is_text", "doc").agg(F.min("n").alias("lo"), F.max("n").alias("n"))
     vectors = once.groupBy("host", "token", "is_text").agg(
@@ -273,77 +308,115 @@ def templates(pages: DataFrame, least_pages: int = 3, broadcast_bytes: int = 32
                         kept.clear()
                     kept[h] = frozenset(batch.column(2)[i].as_py())
                 found = slots(tokens(page or ""), kept[h], _xxhash64)
-                doc = _xxhash64(plain_text(found))
-                out += [(h, _xxhash64(slot), content(slot, blocks, _xxhash64), doc) for slot, _, blocks, _ in found if slot]
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["host", "slot", "token", "doc"])
+                doc, plain = _xxhash64(plain_text(found)), not any(s[3] for s in found if not _boilerplate(s[1]))
+                for name, _, blocks, _, links in found:
+                    if name:
+                        slot = _xxhash64(name)
+                        out.append((h, slot, content(name, blocks, _xxhash64), doc, None, None))
+                        if plain:
+                            out += [(h, slot, _xxhash64(b), doc, len(b), n) for b, n in zip(blocks, links, strict=True)]
+            cols = list(zip(*out, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), *[pa.int64()] * 5), strict=True)], names=["host", "slot", "token", "doc", "chars", "linked"])
 
     held = with_template(pages.select("page", "host", "html"), known, broadcast_bytes, salts).filter(F.col("tags").isNotNull()).select("host", "html", "tags")
-    held = cut(held.mapInArrow(contents, "host string, slot long, token long, doc long").distinct(), "slots")
+    held = cut(held.mapInArrow(contents, "host string, slot long, token long, doc long, chars long, linked long").distinct(), "slots")
+    furniture = furniture_slots(held.filter("chars is not null"), least_pages).select("host", F.lit("furniture").alias("kind"), F.col("slot").alias("token"))
+    held = held.filter("chars is null")
     total = held.select("host", "slot", "doc").distinct().groupBy("host", "slot").agg(F.count("*").alias("total"))
     same = held.groupBy("host", "slot", "token").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages)
     constant = same.join(total, ["host", "slot"]).filter(F.col("n") * 10 >= F.col("total") * 9).select("host", F.lit("constant").alias("kind"), "token")
-    every = tags.union(texts).union(constant)
+    every = tags.union(texts).union(constant).union(furniture)
     return every.groupBy("host").agg(*(F.collect_list(F.when(F.col("kind") == k, F.col("token"))).alias(k) for k in KINDS))
 
 
+def furniture_slots(blocks: DataFrame, least_pages: int) -> DataFrame:
+    """(host, slot) that are furniture, of (host, slot, token, doc, chars, linked): the blocks, by hash, of each page and slot.
+
+    Sums by host, slot and block come first, so a block or host of a third of all rows is one row a slot in what follows.
+    """
+    sums = blocks.groupBy("host", "slot", "token").agg(F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+    repeated = sums.groupBy("token").agg((F.min("lo") < F.max("hi")).alias("repeated"))
+    shown = F.when(F.col("repeated"), F.col("chars")).otherwise(0)
+    slot = sums.join(repeated, "token").groupBy("host", "slot").agg(F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.sum(shown).alias("shared"))
+    slot = slot.join(blocks.select("host", "slot", "doc").distinct().groupBy("host", "slot").agg(F.count("*").alias("pages")), ["host", "slot"])
+    own = F.col("chars") - F.greatest("linked", "shared")
+    slot = slot.withColumn("place", F.row_number().over(Window.partitionBy("host").orderBy(own.desc(), F.desc("chars"), "slot")))
+    return slot.filter((F.col("place") > 1) & (F.col("pages") >= least_pages) & ((F.col("linked") * 2 >= F.col("chars")) | (F.col("shared") * 4 >= F.col("chars") * 3))).select("host", "slot")
+
+
+@functools.lru_cache(4096)
 def _boilerplate(path: tuple) -> bool:
     """A menu, notice or the like lies above; a header is one only outside the article.
 
-    Inside an article a name counts only if it is a whole name of FURNITURE on a container (or an advert's on any element
-    but a heading); above one, only if it is a whole name. What else is furniture there, the template tells by its content.
+    Inside an article a name counts only if it is a whole name of FURNITURE on a container (or one of ANYWHERE on any
+    element but a heading); above one, only if it is a whole name. What else is furniture there, the template tells by its
+    content.
     """
-    around = any(tag in ("article", "main") for tag, _ in path)
+    around = any(_rank(*entry) for entry in path)
     inside = False
     for tag, names in path:
-        if tag in BOILERPLATE_TAGS or names.endswith(HIDDEN):
+        if tag in BOILERPLATE_TAGS or HIDDEN in names:
             return True
-        if inside and tag == "article" and any(FURNITURE.fullmatch(x) for x in names.split()):
+        main = _rank(tag, names)
+        if inside and main and any(FURNITURE.fullmatch(x) for x in names.split()):
             return True
-        if names and tag not in ("html", "body", "article", "main"):
+        if names and tag not in ("html", "body") and not main:
             if inside:
-                telling = FURNITURE if tag in CONTAINERS else ADVERTS
+                telling = FURNITURE if tag in CONTAINERS else ANYWHERE
                 if tag not in HEADINGS and any(telling.fullmatch(x) for x in names.split()):
                     return True
             elif BOILERPLATE_NAMES.search(names) and (not around or any(BOILERPLATE_NAMES.fullmatch(x) for x in names.split())):
                 return True
         if tag == "header" and not inside:
             return True
-        inside = inside or tag in ("article", "main")
+        inside = inside or main > 0
     return False
 
 
-def _main(path: tuple) -> int:
-    """0 outside the article, 1 inside, 2 inside the element that the page itself calls main."""
-    if any(t == "main" for t, _ in path):
+def _rank(tag: str, names: str) -> int:
+    """2 for the element that the page itself calls main, 1 for an article, by tag, role, property or class; else 0."""
+    if tag == "main" or MAIN in names:
         return 2
-    return int(any(t == "article" or "articlebody" in n.replace("-", "") for t, n in path))
+    return int(tag == "article" or ARTICLE in names or "articlebody" in names.replace("-", ""))
+
+
+@functools.lru_cache(4096)
+def _main(path: tuple) -> int:
+    """0 outside the article, 1 inside, 2 inside the main element."""
+    return max((_rank(*entry) for entry in path), default=0)
+
 
+def slots(parsed: Iterable[tuple], tags: frozenset, digest) -> list[tuple[str, tuple, list[str], int, list[int]]]:
+    """Slots of a page, cut at template tags: (name, path, blocks, in the article, characters of each block in links).
 
-def slots(parsed: Iterable[tuple], tags: frozenset, digest) -> list[tuple[str, tuple, list[str], int]]:
-    """Slots of a page, cut at template tags: (name, path, blocks, in the article). A block ends at a block-level tag.
+    A block ends at a block-level tag.
 
     A slot's name is the template tag before it, which occurrence on the page that is, and the path; it is empty before
     the first template tag.
     """
-    out: list[tuple[str, tuple, list[str], int]] = []
+    out: list[tuple[str, tuple, list[str], int, list[int]]] = []
     where: tuple | None = None
     blocks: list[str] = []
     parts: list[str] = []
-    after = ""
+    links: list[int] = []
+    after, in_link, linked = "", False, 0
     met: dict[int, int] = {}
 
     def end_block() -> None:
+        nonlocal linked
         run = " ".join(html.unescape("".join(parts)).split())
         if run:
             blocks.append(run)
+            links.append(min(linked, len(run)))
         parts.clear()
+        linked = 0
 
     def end_slot() -> None:
         end_block()
         if blocks:
-            out.append((role("slot", after, "", where or ()) if after else "", where or (), blocks.copy(), _main(where or ())))
+            out.append((role("slot", after, "", where or ()) if after else "", where or (), blocks.copy(), _main(where or ()), links.copy()))
             blocks.clear()
+            links.clear()
 
     for t in parsed:
         kind, name, value, path = t
@@ -352,6 +425,10 @@ def slots(parsed: Iterable[tuple], tags: frozenset, digest) -> list[tuple[str, t
                 end_slot()
                 where = path
             parts.append(value)
+            if in_link:
+                linked += len(value.strip())
+        elif name == "a":
+            in_link = kind == "open"
         elif kind == "skip":
             end_block()
         elif name in BLOCKS:
@@ -374,21 +451,23 @@ def content(slot: str, blocks: list[str], digest) -> int:
 def plain_text(found: list[tuple]) -> str:
     """Main text of a page's slots by the fixed names alone, without a template."""
     found = [s for s in found if not _boilerplate(s[1])]
-    best = max((main for *_, main in found), default=0)
-    return "\n".join(b for _, _, blocks, main in found if main == best for b in blocks)
+    best = max((s[3] for s in found), default=0)
+    return "\n".join(b for s in found if s[3] == best for b in s[2])
 
 
-def main_text(page: str | None, tags: frozenset, texts: frozenset, fixed: frozenset, constant: frozenset, digest) -> str:
+def main_text(page: str | None, tags: frozenset, texts: frozenset, fixed: frozenset, constant: frozenset, furniture: frozenset, digest) -> str:
     """Blocks of the main slots, in page order, one a line.
 
     What the template holds goes first: constant slots and fixed blocks, also inside the article; the fixed names check
-    what is left.
+    what is left. On a page without a main element or article, slots that are furniture on their host go too.
     """
     found = slots(tokens(page or ""), tags, digest)
     varying = [s for s in found if not (s[0] and constant and content(s[0], s[2], digest) in constant) and not _boilerplate(s[1])]
-    best = max((main for _, path, _, main in found if not _boilerplate(path)), default=0)
+    best = max((s[3] for s in found if not _boilerplate(s[1])), default=0)
     varying, known = [s for s in varying if s[3] == best], fixed if best else texts
-    return "\n".join(b for _, path, blocks, _ in varying for b in blocks if not known or digest(role("text", "", b, path)) not in known)
+    if not best and furniture:
+        varying = [s for s in varying if not s[0] or digest(s[0]) not in furniture]
+    return "\n".join(b for s in varying for b in s[2] if not known or digest(role("text", "", b, s[1])) not in known)
 
 
 def _xxhash64(s: str) -> int:

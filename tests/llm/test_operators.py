@@ -99,8 +99,33 @@ def test_op1_template_decides():
     first = html_extract.slots(parsed, tags, d)[0]
     constant = frozenset([html_extract.content(first[0], first[2], d)])
     none = frozenset()
-    assert html_extract.main_text(page, tags, none, none, constant, d) == "same"
-    assert html_extract.main_text(page, none, none, none, constant, d) == "same\nsame"
+    assert html_extract.main_text(page, tags, none, none, constant, none, d) == "same"
+    assert html_extract.main_text(page, none, none, none, constant, none, d) == "same\nsame"
+
+
+def test_op1_furniture_slots(spark):
+    """Without telling names and elements, the statistics of the slots find menus and adverts; headings and texts stay."""
+    want, bare = {}, []
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        page = re.sub(r"<(/?)(?:nav|article|footer)>", r"<\1div>", r.html.replace(' class="ad"', ""))
+        foot = re.search(r"<footer>(.*?)(?:</|$)", r.html, re.S)
+        text = html_extract.main_text(r.html, *[frozenset()] * 5, html_extract._xxhash64)
+        want[r.page_id] = text + (f"\n{' '.join(html.unescape(foot[1]).split())}" if foot else "")  # own to each page: no statistic tells it
+        bare.append((r.page_id, "http://one.x/", page))
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(bare, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+def test_op1_woven_classes():
+    d = html_extract._xxhash64
+    page = "<body><div><ul></ul></div><div><h1></h1></div>"
+    parsed = [d(html_extract.role(*t)) for t in html_extract.tokens(page)]
+    box, once = [parsed[1], parsed[4]], [parsed[0], parsed[2], parsed[3], parsed[6], parsed[7]]
+    classes = {t: (1, 3) for t in box} | {t: (2, 3) for t in once}
+    orders = html_extract.class_orders(page, classes, {1: 2, 2: 5}, d)
+    assert None not in orders.values()
+    assert orders != html_extract.class_orders("<body><div></div><div><ul></ul><h1></h1></div>", classes, {1: 2, 2: 5}, d)
+    assert html_extract.class_orders(page, classes | {t: (2, 2) for t in once}, {1: 2, 2: 5}, d)[2] is None  # on fewer pages
 
 
 @pytest.mark.parametrize(("page", "want"), [
@@ -121,10 +146,19 @@ def test_op1_template_decides():
     ('<article class="teaser">t</article><main><p>i</p><article>a</article></main><article>u</article>', "i\na"),
     ('<article>a<article class="comment">no</article><div class="responses"><p>no</p></div><section class="discussion">b</section></article>', "a\nb"),
     ('<article><section id="related-work">a</section><h2 id="search-algorithms">b</h2><div class="article-header">c</div></article>', "a\nb\nc"),
+    ('<article>a<svg class="i"/>b<svg><text>no</text></svg>c<svg><path d="x"><p>d</p><svg><foreignObject><p>no</p></foreignObject></svg></article>', "a\nb\nc\nd"),
+    ("<article>a<!-->b<!--->c<!-- x --!>d<!-- y --></article><footer>no</footer><!-- open <p>no", "abcd"),
+    ('<article>a<div class="comments-area">no</div><section id="comments-section">no</section><div id="related-posts">no</div><div class="related">no</div></article>', "a"),
+    ('<article>a<ul class="social-links"><li>no</ul><div class="promo-box">no</div><div class="sidebar-box">no</div><p class="share">no<p>b<div role="dialog">no</div></article>', "a\nb"),
+    ('<div>top</div><div role="main"><p>a</p><div class="comments">no</div></div><div>foot</div>', "a"),
+    ('<div>top</div><div role="article"><p>a</p></div><span>foot</span>', "a"),
+    ('<div>top</div><div itemprop="articleBody"><p>a</p></div><div>foot</div>', "a"),
+    ('<article>a<video src=x>no</video><audio><p>no</p></audio>b<video>no</article><p>no', "a\nb"),
+    ('<div class="!main">a</div><div class="x !hidden">b</div>', "a\nb"),
 ])
 def test_op1_keeps_article_text(page, want):
     none = frozenset()
-    assert html_extract.main_text(page, none, none, none, none, html_extract._xxhash64) == want
+    assert html_extract.main_text(page, none, none, none, none, none, html_extract._xxhash64) == want
 
 
 def test_op1_classes():
