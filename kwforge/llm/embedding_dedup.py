@@ -8,7 +8,8 @@ double precision, reaches the threshold.
 Equal vectors of a label are one entry with a count. A list is dealt into blocks of about `block` entries, and each
 pair of blocks is one group: it multiplies the two blocks, masks the pairs by their shared-pivot count, and counts a
 pair only in the first list that both are in, so no pair is counted twice. A group returns one row for each entry with
-links: how many it has found there and one link of a spanning forest; pairs never leave a group.
+links: how many it has found there and one link of a spanning forest; pairs never leave a group. The entries of a list
+meet its length, and the rows of an entry its outcome, dealt into parts, as either may be a third of all rows.
 
 Nulls: a null label, a null, empty or zero vector, or one with a null or non-finite component links with nothing. Vectors
 of different lengths never link. Repeated rows (the same id) count as vectors of their own in n_links and share one
@@ -26,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kwforge.llm.common import components, cut, drop_cut, table
-
+from kwforge.llm.common import components, cut, drop_cut, each_salt, salt, salts_met, table
 
 #: Vector lengths that get pivots of their own; vectors of any other length are compared in one list.
 LENGTHS = 32
+#: Rows of one id that are made in one go.
+RUN = 1 << 16
 
 
 def unit_vectors(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -191,25 +193,34 @@ def link(
     if pivots is None:
         pivots = max(64, min(2048, usable.count() // 64))
     described = cut(describe(usable, choose_pivots(usable, pivots, near, apart), near), "described")
-    entries = described.groupBy("label", "key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.any_value("unit").alias("unit"), F.any_value("nearest").alias("nearest"))
+    described_parts = described.select("id", "label", "key", salt("id").alias("part"))
+    entries = described.withColumn("part", salt("id")).groupBy("label", "key").agg(
+        F.min("id").alias("rep"), F.count("*").alias("copies"), F.any_value("unit").alias("unit"), F.any_value("nearest").alias("nearest"), salts_met("part").alias("mask")
+    )
     entries = cut(entries, "entries")
-    listed = entries.select("label", "rep", "copies", "unit", "nearest", F.explode("nearest").alias("pivot"))
-    lengths = entries.select("label", F.explode("nearest").alias("pivot")).groupBy("label", "pivot").agg(F.count("*").alias("n")).filter("n > 1")
+    listed = entries.select("label", "rep", "copies", "unit", "nearest", salt("rep").alias("part"), F.explode("nearest").alias("pivot"))
+    lengths = entries.select("label", salt("rep").alias("part"), F.explode("nearest").alias("pivot")).groupBy("label", "pivot").agg(F.count("*").alias("n"), salts_met("part").alias("mask")).filter("n > 1")
     parts = F.ceil(F.col("n") / F.lit(block)).cast("int")
     mine = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("mine")).alias("i"), F.greatest(k, F.col("mine")).alias("j")))
-    dealt = listed.join(lengths.withColumn("parts", parts).drop("n"), ["label", "pivot"]).withColumn("mine", mine).withColumn("pair", F.explode(pairs))
+    lengths = lengths.select("label", "pivot", parts.alias("parts"), each_salt().alias("part"))
+    dealt = listed.join(lengths, ["label", "pivot", "part"]).withColumn("mine", mine).withColumn("pair", F.explode(pairs))
     dealt = dealt.select("label", "pivot", "rep", "copies", "unit", "nearest", "mine", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"))
     found = cut(dealt.groupBy("label", "pivot", "i", "j").applyInPandas(lambda pdf: _group(pdf, threshold, shared, block), "rep long, n long, other long"), "found")
     linked = found.groupBy("rep").agg(F.sum("n").alias("n"))
     parts_of = components(found, "rep", "other").select(F.col("id").alias("rep"), "component")
     # the least id of a component is the least rep, as a rep is the least id of its entry
-    result = entries.select("label", "key", "rep", "copies").join(linked, "rep", "left").join(parts_of, "rep", "left")
-    result = result.select("label", "key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    by_id = described.select("id", "label", "key").join(result, ["label", "key"]).groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
-    out = vectors.select("id").join(by_id, "id", "left")
+    result = entries.select("label", "key", "rep", "copies", "mask").join(linked, "rep", "left").join(parts_of, "rep", "left")
+    result = result.select("label", "key", each_salt().alias("part"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    by_id = described_parts.join(result, ["label", "key", "part"]).groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
+    # all rows of an id come out alike, so they are counted and repeated instead of joined; rows without an id need neither
+    counted = vectors.filter("id is not null").groupBy("id").agg(F.count("*").alias("n")).join(by_id, "id", "left")
+    runs = counted.withColumn("run", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(RUN))))
+    each = runs.withColumn("row", F.explode(F.sequence(F.col("run"), F.least(F.col("run") + (RUN - 1), F.col("n") - 1))))
     component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    out = each.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("id")).alias("kept"))
+    alone = vectors.filter("id is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    return out.union(alone).withColumnRenamed("id", id_col)
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

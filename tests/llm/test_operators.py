@@ -384,6 +384,22 @@ def test_op6_hot_group(spark):
     assert sum(got.values()) >= 0.98 * sum(want.values()) and [got[i] for i in range(900, 904)] == [want[i] for i in range(900, 904)] == [3] * 4
 
 
+def test_op6_repeats(spark):
+    """A vector that a third of the rows hold, an id of many rows and vectors, and columns named like the operator's own."""
+    g = np.random.default_rng(5)
+    a, b, c = (g.normal(size=8).tolist() for _ in range(3))
+    rows = [(i, a, 0) for i in range(100, 200)] + [(7, b, 0)] * 60 + [(7, a, 0)] * 2 + [(8, b, 0), (9, c, 1), (9, None, 1), (None, a, 0)] + [(1000 + i, g.normal(size=8).tolist(), 2) for i in range(130)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    for x in ("id", "part", "mask", "n", "run", "row", "rep", "key", "unit"):
+        df = df.withColumn(x, F.lit("clash"))
+    out = [tuple(r) for r in embedding_dedup.link(df, pivots=16, near=4, shared=1).collect()]
+    assert collections.Counter(r[0] for r in out) == collections.Counter(r[0] for r in rows)
+    got = {r[0]: r[1:] for r in out}
+    assert len(set(out)) == len(got)
+    assert got[7] == (101, 7, True) and got[8] == (60, 7, False)
+    assert got[100] == (101, 7, False) and got[199] == (101, 7, False) and got[9] == (0, 9, True) and got[None] == (0, None, True)
+
+
 def test_op6_recall(spark):
     """10,000 vectors of five labels with groups of near copies, against all cosines."""
     g = np.random.default_rng(11)
@@ -564,7 +580,7 @@ def test_op8_movement():
         return {(c, i): s for c, a, b, s, _ in runs for i in range(a, b)}
 
     a, b = owner(40), owner(41)
-    assert len(a) == total and sum(a[k] != b[k] for k in a) < 0.5 * total  # plain hashing modulo would move 97 %
+    assert len(a) == total and sum(a[k] != b[k] for k in a) < 0.06 * total  # a 41st share is 2.4 %; plain hashing modulo would move 97 %
 
 
 def test_op9(odd, none):
