@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from kwforge.operators import search
+from kwforge.operators import joins, search
 from kwforge.sources import shared
 
 
@@ -29,3 +29,16 @@ def test_search_broadcasts_queries_alone(spark, monkeypatch):
     assert not sides
     got = {(r.query_id, r.obj_id) for r in hits.collect()}
     assert got == {(1, i) for i in range(200) if i % 5 == 3} | {(2, i) for i in range(200)}
+
+
+def test_rows_of_few_files_are_dealt(spark):
+    """A scan of one small file is dealt into tasks by rows, and the distinct hits of an object need no further shuffle."""
+    one = shared.cut(spark.range(20_000).coalesce(1), "one")
+    dealt = joins.deal(one, "id", 1000)
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 1300
+    objects = dealt.select(F.col("id").alias("obj_id"), F.explode(F.array(F.lit("a"), F.concat(F.lit("w"), (F.col("id") % 3).cast("string")))).alias("kw"))
+    queries = spark.createDataFrame([(1, "a"), (1, "w1"), (2, "w2"), (3, "none")], "query_id long, kw string")
+    hits = search.contains_any(objects, queries)
+    assert _plan(hits).count("Exchange hashpartitioning") == 1
+    assert {r.query_id: r["count"] for r in hits.groupBy("query_id").count().collect()} == {1: 20_000, 2: 6666}
