@@ -18,8 +18,19 @@ ARRAY, RUNS, BITMAP = "array", "runs", "bitmap"
 
 
 def _bits(word: Column, bits: Column) -> Column:
-    """Offsets of a word's set bits."""
-    return F.transform(F.filter(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda b: F.getbit(bits, b) == 1), lambda b: word * F.lit(BITS) + b)
+    """Offsets of a word's set bits, looked up byte by byte: the work is that of the bits that are set, not of all 32."""
+    told = F.lit([[b for b in range(8) if byte >> b & 1] for byte in range(256)])
+    byte = lambda k: F.get(told, F.shiftrightunsigned(bits, 8 * k).bitwiseAND(F.lit(255)))
+    at = lambda k: F.transform(byte(k), lambda b: word * F.lit(BITS) + F.lit(8 * k) + b)
+    return F.concat(*(at(k) for k in range(BITS // 8)))
+
+
+def _dense(words: Column) -> Column:
+    """All 1,024 words from the sorted (word, bits) that are not zero: each behind the zeros since the one before it."""
+    zeros = lambda n: F.array_repeat(F.lit(0), n)
+    after = lambda i: F.coalesce(F.get(words, i)["word"] + 1, F.lit(0))
+    filled = F.flatten(F.transform(words, lambda w, i: F.concat(zeros(w["word"] - after(i - 1)), F.array(w["bits"]))))
+    return F.concat(filled, zeros(F.lit(WORDS) - after(F.size(words) - 1)))
 
 
 def encode(pairs: DataFrame, keys: list[str], position: str) -> DataFrame:
@@ -33,11 +44,10 @@ def encode(pairs: DataFrame, keys: list[str], position: str) -> DataFrame:
     runs = offsets.withColumns({"starts": edge(-1), "ends": edge(1)})
     small, few = 2 * F.col("n"), 4 * F.size("starts")
     kind = F.when((small <= few) & (small <= 4 * WORDS), F.lit(ARRAY)).when(few <= 4 * WORDS, F.lit(RUNS)).otherwise(F.lit(BITMAP))
-    told = F.map_from_entries("words")
     data = (
         F.when(F.col("kind") == ARRAY, F.col("offsets"))
         .when(F.col("kind") == RUNS, F.flatten(F.zip_with("starts", "ends", lambda s, e: F.array(s, e - s))))
-        .otherwise(F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda i: F.coalesce(F.try_element_at(told, i), F.lit(0))))
+        .otherwise(_dense(F.col("words")))
     )
     return runs.withColumn("kind", kind).select(*keys, "chunk", "kind", F.col("n").cast("int").alias("n"), data.cast("array<int>").alias("data"))
 

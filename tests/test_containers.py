@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from kwforge.operators import bitmaps, containers
 
@@ -60,3 +61,12 @@ def test_smaller_than_words(held):
     s = {r.kind: r for r in containers.sizes(c).collect()}
     assert c.count() < words / 100 and sum(r.bytes for r in s.values()) < 4 * words
     assert containers.encode(pairs.limit(0), ["kw"], "position").count() == 0
+
+
+def test_words_are_filled_in_one_pass(spark, held):
+    """The 1,024 words of a bitmap come from one pass over those that are set, not from a map built anew for each."""
+    assert "map_from_entries" not in containers.encode(held[0], ["kw"], "position")._jdf.queryExecution().toString()
+    words = [(0, -1), (3, 5), (1022, 7)]
+    df = spark.createDataFrame([(words,), ([],)], "w array<struct<word int, bits int>>")
+    got = [r.x for r in df.select(containers._dense(F.col("w")).alias("x")).collect()]
+    assert got == [[dict(words).get(i, 0) for i in range(1024)], [0] * 1024]
