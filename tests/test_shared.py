@@ -1,8 +1,10 @@
 """Written tables as the planner sees them."""
 
+import re
+
 from pyspark.sql import functions as F
 
-from kwforge.operators import joins, search
+from kwforge.operators import bitmaps, joins, search
 from kwforge.sources import shared
 
 
@@ -42,3 +44,24 @@ def test_rows_of_few_files_are_dealt(spark):
     hits = search.contains_any(objects, queries)
     assert _plan(hits).count("Exchange hashpartitioning") == 1
     assert {r.query_id: r["count"] for r in hits.groupBy("query_id").count().collect()} == {1: 20_000, 2: 6666}
+
+
+def test_words_are_combined_in_tasks_of_bounded_size(spark):
+    """Pairs that share no word are dealt by word; nothing is combined where a split of files is read."""
+    pairs = spark.range(4_000).select((F.col("id") % 400).alias("kw"), (F.col("id") * 32).alias("pos"))
+    words = bitmaps.encode(pairs, ["kw"], "pos", 20)
+    plan = _plan(words)
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
+    assert plan.index("partial_bit_or") < plan.index("Exchange")  # the tree is printed from the top
+    sizes = [r["count"] for r in words.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 400 and words.exceptAll(bitmaps.encode(pairs, ["kw"], "pos")).count() == 0 == 4_000 - words.count()
+
+
+def test_bitmaps_meet_at_the_rarest_keyword(spark):
+    """Words of frequent keywords are joined by place to those of the keyword that sets the fewest bits."""
+    objects = spark.range(2_000).select(F.col("id").alias("obj_id"), F.explode(F.array(F.lit("all"), F.concat(F.lit("w"), (F.col("id") % 500).cast("string")))).alias("kw"))
+    queries = spark.createDataFrame([(1, "all"), (1, "w3"), (2, "w7"), (3, "none"), (3, "all"), (4, "w1"), (4, "w2")], "query_id long, kw string")
+    met = bitmaps.intersect(bitmaps.encode(objects, ["kw"], "obj_id"), queries)
+    assert re.search(r"Join \[kw#\d+, word_idx#\d+L\]", _plan(met))
+    got = {tuple(r) for r in bitmaps.decode(met, ["query_id"]).collect()}
+    assert got == {(1, i) for i in range(3, 2000, 500)} | {(2, i) for i in range(7, 2000, 500)}
