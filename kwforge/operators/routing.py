@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kwforge.operators.search import contains_all
+from kwforge.operators.search import contains_all, few, held_pairs
 from kwforge.sources.shared import cut
 
 LEFT, RIGHT = 1, 2
@@ -50,14 +50,18 @@ def deltas_against(have: DataFrame, counts: DataFrame, queries: DataFrame, new:
     active = cut(met.join(size, "query_id").filter("m = q").select("side", "query_id", "q"), "active")
     base = state.join(active.groupBy("side").agg(F.sum(F.col("q") - 1).alias("sum_q"), F.count("*").alias("n_act")), "side", "left").na.fill(0)
     each = new.select("obj_id").distinct().join(F.broadcast(sides))  # two sides
-    fresh = cut(new.join(F.broadcast(sides)).join(have, ["side", "kw"], "left_anti"), "fresh")
+    # a keyword comes once, with all sides that have it, so an object's pairs are shuffled once, not once a side
+    had = have.groupBy("kw").agg(F.collect_set("side").alias("had"))
+    missed = F.array_except("all", F.coalesce("had", F.slice("all", 1, 0)))
+    fresh = new.join(had, "kw", "left").join(F.broadcast(sides.agg(F.collect_set("side").alias("all")))).select("obj_id", F.explode(missed).alias("side"))
     d_omega = fresh.groupBy("obj_id", "side").agg(F.count("*").alias("d_omega"))
-    holds = cut(contains_all(new, queries), "holds")
+    held = held_pairs(new, queries)
+    holds = cut(contains_all(new, queries, held=held), "holds")
     hit = holds.join(active, "query_id").groupBy("obj_id", "side").agg(F.count("*").alias("hits"))
     # a query becomes feasible if the object has every keyword of it that the side lacks
     lacks = queries.join(F.broadcast(sides)).join(have, ["side", "kw"], "left_anti")
     n_lacks = lacks.groupBy("side", "query_id").agg(F.count("*").alias("lacks"))
-    given = fresh.join(lacks, ["side", "kw"]).groupBy("obj_id", "side", "query_id").agg(F.count("*").alias("m"))
+    given = held.join(F.broadcast(lacks) if few(queries) else lacks, "kw").groupBy("obj_id", "side", "query_id").agg(F.count("*").alias("m"))
     opened = given.join(n_lacks, ["side", "query_id"]).filter("m = lacks").join(size, "query_id")
     opened = opened.join(holds.withColumn("hit", F.lit(1)), ["obj_id", "query_id"], "left")
     opened = opened.groupBy("obj_id", "side").agg(F.count("*").alias("n_new"), F.sum(F.col("q") - 1).alias("new_q"), F.count("hit").alias("new_hits"))

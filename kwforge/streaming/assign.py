@@ -43,7 +43,7 @@ class Assignment:
 
     def place(self, objects: DataFrame, number: int) -> None:
         """Assign a batch of (obj_id, kw): each object to the side where it costs less, all against the same sides."""
-        new = cut(objects.filter("obj_id IS NOT NULL").select("obj_id", "kw").distinct().join(self._before("placed", number).select("obj_id"), "obj_id", "left_anti"), "batch")
+        new = cut(objects.filter("obj_id IS NOT NULL").select("obj_id", "kw").join(self._before("placed", number).select("obj_id"), "obj_id", "left_anti").distinct(), "batch")
         have = cut(self._before("keywords", number).distinct(), "have")
         counts = self._before("objects", number).groupBy("side").agg(F.sum("o").alias("o"))
         m = self.model

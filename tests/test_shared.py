@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from kwforge.operators import bitmaps, joins, search
+from kwforge.operators import bitmaps, joins, routing, search
 from kwforge.sources import shared
 
 
@@ -65,3 +65,19 @@ def test_bitmaps_meet_at_the_rarest_keyword(spark):
     assert re.search(r"Join \[kw#\d+, word_idx#\d+L\]", _plan(met))
     got = {tuple(r) for r in bitmaps.decode(met, ["query_id"]).collect()}
     assert got == {(1, i) for i in range(3, 2000, 500)} | {(2, i) for i in range(7, 2000, 500)}
+
+
+def test_new_keywords_are_met_once_for_all_sides(spark, monkeypatch):
+    """Pairs of new objects are shuffled by keyword as they are, not once for each side."""
+    new = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (2, "c"), (2, "d"), (3, "a")], "obj_id long, kw string")
+    have = spark.createDataFrame([(1, "a"), (2, "a"), (1, "b"), (2, "c")], "side int, kw string")
+    counts = spark.createDataFrame([(1, 2), (2, 1)], "side int, o long")
+    queries = spark.createDataFrame([(1, "a"), (1, "c"), (2, "d")], "query_id long, kw string")
+    written = []
+    monkeypatch.setattr(routing, "cut", lambda df, label: written.append(label) or shared.cut(df, label))
+    out = routing.deltas_against(have, counts, queries, new, 0.0, 0.0, 0.0, 1.0)
+    assert "fresh" not in written
+    got = {(r.obj_id, r.side): (r.delta_storage, r.delta_new) for r in out.collect()}
+    fresh = {(1, 1): 1, (1, 2): 1, (2, 1): 2, (2, 2): 1, (3, 1): 0, (3, 2): 0}
+    opened = {(1, 1): 1.0, (2, 1): 2.0, (2, 2): 1.0}
+    assert got == {k: (2 + n * ({1: 2, 2: 1}[k[1]] + 33) + 32, opened.get(k, 0.0)) for k, n in fresh.items()}
