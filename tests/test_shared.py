@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from kwforge.operators import bitmaps, joins, routing, search
+from kwforge.plans import tree
 from kwforge.sources import shared
 
 
@@ -81,3 +82,13 @@ def test_new_keywords_are_met_once_for_all_sides(spark, monkeypatch):
     fresh = {(1, 1): 1, (1, 2): 1, (2, 1): 2, (2, 2): 1, (3, 1): 0, (3, 2): 0}
     opened = {(1, 1): 1.0, (2, 1): 2.0, (2, 2): 1.0}
     assert got == {k: (2 + n * ({1: 2, 2: 1}[k[1]] + 33) + 32, opened.get(k, 0.0)) for k, n in fresh.items()}
+
+
+def test_masks_are_not_broadcast(spark):
+    """The masks of a stored tree are many rows in small files."""
+    masks = spark.createDataFrame([(1, "a", 0, 1), (1, "b", 0, 3)], "parent long, kw string, word_idx long, child_mask long")
+    edges = spark.createDataFrame([(1, 0, 2), (1, 1, 3)], "parent long, child_pos int, child long")
+    queries = spark.createDataFrame([(1, "b"), (2, "a"), (2, "b")], "query_id long, kw string")
+    seen = tree.descend(edges, shared.cut(masks, "masks"), queries, 1, 1)
+    assert re.search(r"SortMergeJoin \[kw#\d+\]", _plan(seen)) and "BroadcastHashJoin [kw" not in _plan(seen)
+    assert {tuple(r) for r in seen.filter("depth = 1").collect()} == {(1, 2, 1), (1, 3, 1), (2, 2, 1)}
