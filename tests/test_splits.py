@@ -133,6 +133,29 @@ def test_svd(spark, objects):
     assert svd.truncated_svd(pairs(spark, {1: {"a"}, 2: {"a"}}), 2)[0] == [pytest.approx(math.sqrt(2))]
 
 
+@pytest.mark.parametrize("frequent", [0, 1, 4])
+def test_svd_of_rare_keywords(spark, objects, frequent):
+    """The same where only few keywords, or none, count as frequent and the others are joined."""
+    df = pairs(spark, objects)
+    _, (u, s, vt) = dense(df)
+    values, coords, axes = svd.truncated_svd(df, 2, frequent=frequent)
+    assert np.allclose(values, s[:2], rtol=1e-8)
+    assert np.allclose(np.abs([r.x for r in coords.orderBy("obj_id").collect()]), np.abs(u[:, :2] * s[:2]), atol=1e-4 * s[0])
+    v = np.array([r.v for r in axes.orderBy("kw").collect()])
+    assert np.allclose(np.abs((v * vt[:2].T).sum(0)), 1, atol=1e-6)
+
+
+def test_svd_shuffles_rare_pairs_alone(spark, objects):
+    """The rows that power steps hand on by shuffles are bounded by tasks and frequent keywords, not by pairs."""
+    df = pairs(spark, objects)
+    all_ = [(r.obj_id, r.kw) for r in df.collect()]
+    many = spark.createDataFrame([(i + 100 * copy, kw) for copy in range(50) for i, kw in all_], "obj_id long, kw string")
+    words = svd._frequent(many, 1 << 10)
+    ids = many.join(words, "kw").groupBy("obj_id").agg(F.collect_list("id").alias("ids")).select("obj_id", "ids", F.lit(None).cast("array<double>").alias("r"))
+    rows = svd._rows(ids.coalesce(2), np.ones((words.count(), 3)), np.eye(3), keep=False)
+    assert rows.count() <= 2 * (words.count() + 3) < many.count()
+
+
 def test_svd_query(spark):
     ids, (u, s, _) = dense(queries._ow(spark, SF))
     rows = queries.keyword_svd(spark, SF).orderBy("obj_id").collect()
