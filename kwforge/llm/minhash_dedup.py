@@ -41,6 +41,8 @@ IDF_BUCKETS = 1 << 20
 IDF_BLOCK = 1 << 14
 #: Rows of random numbers that features share by hash: two features of one row draw alike, one pair in 65,536.
 PARAMS = 1 << 16
+#: Features that two blocks are compared by at once: a dense matrix of these by 512 texts, 8 MB, for either block.
+FEATURES = 1 << 12
 
 
 def word_frequencies(texts: DataFrame, column: str) -> tuple[np.ndarray, int]:
@@ -116,12 +118,18 @@ def _sampling_params(seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         shape = (PARAMS, SAMPLES)
         r = g.standard_gamma(2.0, shape, dtype=np.float32)
         np.maximum(r, np.float32(1e-3), out=r)
-        c = np.log(g.standard_gamma(2.0, shape, dtype=np.float32))
+        c = g.standard_gamma(2.0, shape, dtype=np.float32)
+        np.log(c, out=c)
         beta = g.random(shape, dtype=np.float32)
         _PARAMS[seed] = r, beta, c
     return _PARAMS[seed]
 
 
+def forget_sampling() -> None:
+    """Free the random numbers of this process, 113 MB: Spark uses its workers again for tasks that draw no samples."""
+    _PARAMS.clear()
+
+
 def samples(feature: np.ndarray, weight: np.ndarray, seed: int = 1) -> np.ndarray:
     """One draw a sample: a 64-bit key of (feature, t), by the least ln a = ln c - r (t - beta) - r."""
     r_all, beta_all, c_all = _sampling_params(seed)
@@ -183,8 +191,8 @@ def _links(shared_blocks: list[tuple], threshold: float, other: list[tuple] | No
     both = np.zeros(pairs.shape)
     names = np.unique(np.concatenate([left[i][1] for i in used_l]))
     names = names[np.isin(names, np.concatenate([right[j][1] for j in used_r]))]
-    for at in range(0, len(names), 16384):
-        part = names[at : at + 16384]
+    for at in range(0, len(names), FEATURES):
+        part = names[at : at + FEATURES]
 
         def dense(rows, used, part=part, weigh=False):
             m = np.zeros((len(used), len(part)), np.float32)
@@ -289,6 +297,7 @@ def _star_links(texted: DataFrame, pairs: DataFrame, idf, threshold: float, bloc
     dealt = texted.join(rays.union(centres).hint("merge"), "id")
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
+        forget_sampling()
         hub = int(pdf["hub"].iloc[0])
         at_hub = pdf["id"] == hub
         hf, hw = weighted_shingles(pdf["text"][at_hub].iloc[0] if at_hub.any() else None, idf.value)
@@ -342,6 +351,7 @@ def _block_links(texted: DataFrame, signed: DataFrame, mixed: DataFrame, idf, th
     dealt = vectored.withColumn("pair", F.explode("pairs")).select("id", "component", "mine", "bands", "f", "w", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"))
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
+        forget_sampling()
         rows = [(int(r.id), np.frombuffer(r.f, np.uint64), np.frombuffer(r.w, np.float32), np.asarray(r.bands)) for r in pdf.itertuples()]
         i, j, mine_ = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0]), pdf["mine"].to_numpy()
         out = []

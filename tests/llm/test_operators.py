@@ -5,6 +5,7 @@ import hashlib
 import html
 import random
 import re
+import tracemalloc
 import zlib
 
 import duckdb
@@ -347,6 +348,24 @@ def test_op5_brute_force(spark, drift, rounds):
     assert sure > 50 and got == {i: root(i) for i in range(len(texts))}
 
 
+def test_op5_memory_of_a_worker():
+    """Blocks are compared by a bounded number of features at once, and the random numbers can go once the samples are drawn."""
+    g = np.random.default_rng(1)
+    bands = np.arange(minhash_dedup.BANDS)
+    pool = np.unique(g.integers(0, 1 << 63, 40_000, np.uint64))
+    sets = [np.sort(g.choice(pool, 300, replace=False)) for _ in range(256)]
+    rows = [(i, f, np.ones(300, np.float32), bands) for i, f in enumerate([*sets, *sets])]
+    tracemalloc.start()
+    links = minhash_dedup._links(rows[:256], 0.8, rows[256:])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(links) == [(i, i + 256) for i in range(256)] and most < 20e6
+    drawn = minhash_dedup.samples(sets[0], np.ones(300, np.float32))
+    minhash_dedup.forget_sampling()
+    assert not minhash_dedup._PARAMS and (minhash_dedup.samples(sets[0], np.ones(300, np.float32)) == drawn).all()
+    minhash_dedup.forget_sampling()
+
+
 def test_op6(spark):
     g = np.random.default_rng(6)
     centers = g.normal(size=(20, 16))
